@@ -1,0 +1,64 @@
+"""The chunked scan must give what a plain window gives, whatever the skew."""
+
+import random
+
+import pytest
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from tidemill.operators import hotkeys
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    rng = random.Random(7)
+    data = []
+    for i in range(600):
+        key = rng.choice([1, 1, 1, None, None, 2, 3, rng.randint(10, 200)])
+        data.append((key, i, rng.choice([5, 5, 5, 6, 9]), rng.choice([None, 1.25, 2.5, 4.0])))
+    return spark.createDataFrame(data, "k int, id int, t int, v double").repartition(3)
+
+
+def _steps():
+    return {
+        "rn": hotkeys.row_number(),
+        "total": hotkeys.running_sum(F.col("v")),
+        "prev": hotkeys.previous(F.col("v")),
+        "next": hotkeys.following(F.col("v")),
+        "seen": hotkeys.last_seen(F.col("v")),
+    }
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_scan_equals_plain_window(skewed, as_rows, descending):
+    order = [F.col("t").desc(), F.col("id")] if descending else ["t", "id"]
+    hot = hotkeys.find(skewed, ["k"], 20)
+    assert hot is not None and hot.frame.count() == 4  # 1, 2, 3 and the null key
+    assert hot.chunks > 4
+    got = as_rows(hotkeys.scan(skewed, ["k"], order, _steps(), hot))
+    want = as_rows(hotkeys.scan(skewed, ["k"], order, _steps(), None))
+    assert got == want
+
+
+def test_a_hot_key_is_cut_into_chunks(skewed):
+    hot = hotkeys.find(skewed, ["k"], 50)
+    chunks = hotkeys._chunked(skewed, hot, ["t", "id"])
+    per_key = chunks.groupBy("__key").agg(F.countDistinct("__chunk").alias("n"))
+    assert per_key.agg(F.max("n")).first()[0] > 1
+    # Positions follow the order across chunks.
+    w = W.partitionBy("__key").orderBy("t", "id")
+    wrong = chunks.withColumn("p", F.lag("__pos").over(w)).filter("p >= __pos")
+    assert wrong.count() == 0
+
+
+def test_no_hot_key_gives_a_plain_plan(skewed):
+    assert hotkeys.find(skewed, ["k"], 10_000) is None
+    assert hotkeys.find(skewed, ["k"], None) is None
+
+
+def test_keys_of_several_columns_and_empty_input(spark, skewed, as_rows):
+    hot = hotkeys.find(skewed, ["k", "t"], 10)
+    step = {"rn": hotkeys.row_number()}
+    got = as_rows(hotkeys.scan(skewed, ["k", "t"], ["id"], step, hot))
+    assert got == as_rows(hotkeys.scan(skewed, ["k", "t"], ["id"], step, None))
+    assert hotkeys.number_rows(skewed.filter("false"), ["k"], ["id"], "rn", 1).count() == 0
