@@ -124,7 +124,6 @@ def normalize_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT p_partkey, TRY_CAST(split_part(p_brand, '#', 2) AS INTEGER) AS brand_no,
            split_part(p_brand, '#', 2) IS NOT NULL
              AND TRY_CAST(split_part(p_brand, '#', 2) AS INTEGER) IS NULL AS brand_no_failed,
-           TRY_CAST(p_name AS INTEGER) AS name_no,
            p_name IS NOT NULL AND TRY_CAST(p_name AS INTEGER) IS NULL AS name_no_failed
     FROM part
     """,
@@ -136,7 +135,7 @@ def safe_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.split_part("p_brand", F.lit("#"), F.lit(2)).alias("brand_no"),
         F.col("p_name").alias("name_no"),
     )
-    return clean.safe_cast(clean.safe_cast(parts, "brand_no", "int"), "name_no", "int")
+    return clean.safe_cast(clean.safe_cast(parts, "brand_no", "int"), "name_no", "int").drop("name_no")
 
 
 @query(

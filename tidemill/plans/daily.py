@@ -78,7 +78,7 @@ def customer_star(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "elt_daily",
     """
-    SELECT CAST(ts AS DATE) AS day, r_name, event_type, count(*) AS n_events,
+    SELECT date_trunc('day', ts)::TIMESTAMP AS day, r_name, event_type, count(*) AS n_events,
            round(sum(value), 2) AS value
     FROM events JOIN customer ON user_id = c_custkey
     JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
@@ -97,4 +97,10 @@ def elt_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_daily(spark, landing, star, out, days[: half + 1])
     run_daily(spark, landing, star, out, days[half:])
     mart = spark.read.parquet(f"{out}/mart")
-    return mart.select("day", "r_name", "event_type", "n_events", F.round("value", 2).alias("value"))
+    return mart.select(
+        F.col("day").cast("timestamp_ntz").alias("day"),
+        "r_name",
+        "event_type",
+        "n_events",
+        F.round("value", 2).alias("value"),
+    )

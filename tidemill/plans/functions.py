@@ -60,7 +60,7 @@ def udaf_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""
     SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, token FROM (
       SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos
-      FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '') AS t
+      FROM (SELECT doc_id, [x FOR x IN regexp_split_to_array(text, '\s+') IF x <> ''] AS t
             FROM documents))
     """,
 )

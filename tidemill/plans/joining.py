@@ -94,22 +94,23 @@ def orders_without_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "asof_join",
     """
-    SELECT p.event_id, p.user_id, p.ts, p.value, v.event_id AS view_id, v.ts AS view_ts
+    SELECT p.event_id, p.user_id, p.ts, p.value, coalesce(v.event_id, -1) AS view_id, v.ts AS view_ts
     FROM (SELECT * FROM events WHERE event_type = 'purchase') p
     ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v
       ON p.user_id = v.user_id AND p.ts >= v.ts
     """,
 )
 def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each purchase with the user's latest view before it."""
+    """Each purchase with the user's latest view before it; -1 where there is none."""
     events = read_table(spark, sf_dir, "events")
     bought = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts", "value")
     views = events.filter("event_type = 'view'").select(
         "user_id", "ts", "event_id", F.col("ts").alias("at")
     )
-    return joins.asof_join(
+    joined = joins.asof_join(
         bought, views, "ts", ["user_id"], {"event_id": "view_id", "at": "view_ts"}
     )
+    return joined.withColumn("view_id", F.coalesce("view_id", F.lit(-1)))
 
 
 @query(
@@ -176,7 +177,7 @@ def basket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH d AS (SELECT CAST(ts AS DATE) AS day, user_id FROM events),
     days AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day
              FROM d)
-    SELECT n_nationkey, n_name, days.day AS day, count(d.day) AS n_events
+    SELECT n_nationkey, n_name, CAST(days.day AS TIMESTAMP) AS day, count(d.day) AS n_events
     FROM nation CROSS JOIN days
     LEFT JOIN (SELECT c_nationkey, d.day FROM d JOIN customer ON user_id = c_custkey) d
       ON d.c_nationkey = n_nationkey AND d.day = days.day
@@ -194,6 +195,7 @@ def dense_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     placed = joins.enrich(per_user, [(customers, {"user_id": "c_custkey"})])
     nations = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return joins.densify(
+    dense = joins.densify(
         placed, nations, {"n_nationkey": "c_nationkey"}, "on", {"n_events": F.sum("n")}
     )
+    return dense.withColumn("day", F.col("day").cast("timestamp_ntz"))

@@ -21,7 +21,8 @@ HOUR, DAY = timedelta(hours=1), timedelta(days=1)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run.read_stream(spark, f"{sf_dir}/events.parquet", TABLES["events"])
+    # In braces the name is a pattern, which may stand for one file or a folder of them.
+    return run.read_stream(spark, f"{sf_dir}/{{events.parquet}}", TABLES["events"])
 
 
 @query(

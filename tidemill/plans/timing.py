@@ -161,6 +161,6 @@ def event_type_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors nearest to the first one."""
     vectors = read_table(spark, sf_dir, "embeddings")
-    first = vectors.filter("vec_id = 0").select("embedding").scalar()
+    first = vectors.filter("vec_id = 0").select("embedding").first()[0]
     near = nested.cosine_top_k(spread(vectors), first, 10, "vec_id", "embedding")
     return near.withColumn("cosine", F.round("cosine", 6))

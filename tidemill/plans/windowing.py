@@ -80,15 +80,17 @@ def moving_sum_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
     "period_growth",
     """
     WITH p AS (SELECT year(o_orderdate) AS period, count(*) AS value FROM orders GROUP BY 1)
-    SELECT c.period AS period, c.value AS value, b.value AS prior_value, c.value - b.value AS change
+    SELECT c.period AS period, c.value AS value, CAST(b.value AS DOUBLE) AS prior_value,
+           CAST(c.value - b.value AS DOUBLE) AS change
     FROM p c LEFT JOIN p b ON c.period = b.period + 1
     """,
 )
 def period_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders per year and the change on the year before."""
-    return windows.growth(
-        read_table(spark, sf_dir, "orders"), F.year("o_orderdate"), F.count(F.lit(1))
-    )
+    orders = read_table(spark, sf_dir, "orders")
+    changes = windows.growth(orders, F.year("o_orderdate"), F.count(F.lit(1)))
+    doubles = {c: F.col(c).cast("double") for c in ("prior_value", "change")}
+    return changes.withColumns(doubles)
 
 
 @query(
@@ -153,9 +155,9 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     "union_evolved",
     """
     SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment,
-           NULL::INTEGER AS nation FROM customer
+           NULL::VARCHAR AS nation FROM customer
     UNION ALL
-    SELECT s_suppkey, s_name, s_acctbal, NULL, s_nationkey FROM supplier
+    SELECT s_suppkey, s_name, s_acctbal, NULL, CAST(s_nationkey AS VARCHAR) FROM supplier
     """,
 )
 def union_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +166,7 @@ def union_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey AS id", "c_name AS name", "c_acctbal AS balance", "c_mktsegment AS segment"
     )
     suppliers = read_table(spark, sf_dir, "supplier").selectExpr(
-        "s_suppkey AS id", "s_name AS name", "s_acctbal AS balance", "s_nationkey AS nation"
+        "s_suppkey AS id", "s_name AS name", "s_acctbal AS balance", "CAST(s_nationkey AS STRING) AS nation"
     )
     return sets.union_evolved(customers, suppliers)
 
