@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Pattern -> replacement, applied in this order.
-PII_PATTERNS = {
-    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}": "[EMAIL]",
-    r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}": "[PHONE]",
-}
+# Fixed values.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+PHONE = r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}"
+PII_PATTERNS = {EMAIL: "[EMAIL]", PHONE: "[PHONE]"}
 
+# Text that every match of a pattern contains: where it is missing, a plain search
+# settles the matter and the slower pattern is not tried.
+PATTERN_HINTS = {EMAIL: "@"}
 
-def redact(df: DataFrame, col: str, patterns: dict[str, str] | None = None) -> DataFrame:
-    """Every match of every pattern replaced, over the whole text."""
+
+def redact(df: DataFrame, col: str, patterns: dict[str, str] = PII_PATTERNS) -> DataFrame:
+    """Every match of every pattern replaced, in the order given, over the whole text."""
     text = F.col(col)
-    for pattern, replacement in (patterns or PII_PATTERNS).items():
-        text = F.regexp_replace(text, pattern, replacement)
+    for pattern, replacement in patterns.items():
+        replaced = F.regexp_replace(text, pattern, replacement)
+        hint = PATTERN_HINTS.get(pattern)
+        text = replaced if hint is None else F.when(text.contains(hint), replaced).otherwise(text)
     return df.withColumn(col, text)
 
 

@@ -57,7 +57,7 @@ def weighted_median(values: pd.Series, counts: pd.Series) -> float:
 
 def register_table_fn(spark: SparkSession, name: str, cls: type, schema: str):
     """A class with ``eval(*row)`` that yields rows, for SQL ``LATERAL`` and Python."""
-    return spark.udtf.register(name, F.udtf(cls, returnType=schema))
+    return spark.udtf.register(name, F.udtf(cls, returnType=schema, useArrow=True))
 
 
 class Tokens:
@@ -91,4 +91,7 @@ def map_groups(
     if salts > 1:
         slice_no = F.pmod(F.xxhash64(spread_by or df.columns[0]), F.lit(salts))
         df, keys = df.withColumn("__slice", slice_no), [*by, "__slice"]
-    return df.groupBy(*keys).applyInPandas(grouped, schema)
+    # A fixed number of partitions: sized by bytes, as adaptive execution does, a
+    # shuffle of few bytes but much Python work would end up in one task.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys).groupBy(*keys).applyInPandas(grouped, schema)

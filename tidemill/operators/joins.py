@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemill.operators import hotkeys
 from tidemill.operators.hotkeys import HOT_ROWS
 from tidemill.operators.windows import top_k
+from tidemill.session import stage
 
 # Distinct items up to which a group's pairs are listed directly: at most half as
 # many pairs per input row.  Larger groups take the other way in ``pairs``.
@@ -148,29 +149,42 @@ def pairs(
       candidates are formed - the very largest groups never form any - and the
       surviving candidates are counted exactly afterwards.
     """
-    members = df.select(F.col(group).alias("g"), F.col(item).alias("i")).dropna().distinct()
+    rows = df.select(F.col(group).alias("g"), F.col(item).alias("i")).dropna()
+    # A group with few rows has few items; only the others need their items counted.
+    suspects = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > direct_items)
+    if suspects.isEmpty():
+        counted = _listed(rows).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        return counted.filter(F.col("n") >= min_n)
+
+    members = rows.distinct()
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    large = sizes.filter(F.col("size") > direct_items)
-    # An item in too few groups is in no result pair.
-    frequent = members.groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n)
-    members = members.join(frequent.select("i"), "i", "left_semi")
-
-    some_large = not large.isEmpty()
-    small = members.join(large, "g", "left_anti") if some_large else members
-    counted = _listed(small).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    if some_large:
-        in_large = members.join(large, "g")
-        largest = _largest_groups(in_large, min_n - 1)
-        prefix = in_large.join(largest, ["i", "g"], "left_anti")
-        only_large = _listed(prefix).distinct().withColumn("n", F.lit(0).cast("bigint"))
-        # Small-group counts and candidates meet in one row per pair.
-        known = counted.unionByName(only_large).groupBy("a", "b").agg(F.sum("n").alias("n"))
-        counted = _add_large(known, in_large.select("i", "g"))
-    return counted.filter(F.col("n") >= min_n)
+    large = stage(sizes.filter(F.col("size") > direct_items), "large-groups")
+    counted = _listed(members.join(large, "g", "left_anti")).groupBy("a", "b")
+    counted = counted.agg(F.count(F.lit(1)).alias("n"))
+    in_large = members.join(large, "g")
+    largest = _largest_groups(in_large, min_n - 1)
+    # An item in too few large groups forms no candidate there.
+    enough = in_large.groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n)
+    prefix = in_large.join(enough.select("i"), "i", "left_semi")
+    prefix = prefix.join(largest, ["i", "g"], "left_anti").select("g", "i")
+    only_large = _paired(prefix).distinct().withColumn("n", F.lit(0).cast("bigint"))
+    # Pairs of small groups and candidates of large ones meet in one row per pair.
+    known = counted.unionByName(only_large).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    known = stage(known, "known-pairs")
+    return _add_large(known, in_large.select("i", "g")).filter(F.col("n") >= min_n)
 
 
 def _listed(members: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` that share a group."""
+    """Pairs ``a < b`` of each small group, from its items as one short array."""
+    items = F.array_sort(F.collect_set("i"))
+    baskets = members.groupBy("g").agg(items.alias("items")).filter(F.size("items") > 1)
+    first = baskets.select("items", F.posexplode("items").alias("at", "a"))
+    rest = F.slice("items", F.col("at") + 2, F.size("items"))
+    return first.select("a", F.explode(rest).alias("b"))
+
+
+def _paired(members: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` that share a group, by a join that splits over tasks."""
     first = members.select("g", F.col("i").alias("a"))
     second = members.select("g", F.col("i").alias("b"))
     return first.join(second, "g").filter("a < b").select("a", "b")

@@ -12,30 +12,28 @@ from pyspark.sql import functions as F
 from tidemill.operators.clean import dedup_latest
 
 
-def profile(df: DataFrame, exact: bool = True) -> DataFrame:
+def profile(df: DataFrame) -> DataFrame:
     """One row per column: rows, nulls, distinct values, smallest and largest as text.
 
-    ``exact=False`` estimates distinct values and so needs no shuffle of values.
+    Each column is grouped by itself, and everything follows from its values and
+    their counts.  A columnar scan reads each column once in all, repeated values
+    are combined before the shuffle, and no row is copied per column, as it is when
+    one aggregation counts several distinct columns.
     """
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    aggs = []
-    for c in df.columns:
-        aggs += [
-            F.count(F.lit(1)).alias(f"{c}__rows"),
-            F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"),
-            distinct(F.col(c)).alias(f"{c}__distinct"),
-            F.min(c).cast("string").alias(f"{c}__min"),
-            F.max(c).cast("string").alias(f"{c}__max"),
-        ]
-    facts = ("rows", "nulls", "distinct", "min", "max")
-    per_column = [
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{f}").alias(f"{f}_") for f in facts])
-        for c in df.columns
-    ]
-    one_row = df.agg(*aggs)
-    return one_row.select(F.inline(F.array(*per_column))).toDF(
-        "column", "n_rows", "n_nulls", "n_distinct", "min_value", "max_value"
-    )
+    found = []
+    for name in df.columns:
+        value = F.col("v")
+        counts = df.groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        found.append(
+            counts.agg(
+                F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+                F.coalesce(F.sum(F.when(value.isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"),
+                F.count(value).alias("n_distinct"),
+                F.min(value).cast("string").alias("min_value"),
+                F.max(value).cast("string").alias("max_value"),
+            ).select(F.lit(name).alias("column"), "*")
+        )
+    return reduce(DataFrame.unionByName, found)
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,7 @@ import sys
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -57,10 +58,11 @@ def stream_state(
                 first = batch["ts"].min()
                 held[0] = first if held[0] is None else min(held[0], first)
             held[1] += len(batch)
-            last = batch.sort_values(["ts", "id"]).iloc[-1]
-            newest = (last["ts"], int(last["id"]))
+            ts, ids = batch["ts"].to_numpy(), batch["id"].to_numpy()
+            last = np.lexsort((ids, ts))[-1]
+            newest = (pd.Timestamp(ts[last]), int(ids[last]))
             if held[2] is None or newest > (pd.Timestamp(held[2]), held[3]):
-                held[2], held[3], held[4] = last["ts"], int(last["id"]), last["event"]
+                held[2], held[3], held[4] = *newest, batch["event"].iat[last]
         state.update(tuple(held))
         due = int(pd.Timestamp(held[2]).timestamp() * 1000) + idle_ms
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
