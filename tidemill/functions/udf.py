@@ -9,7 +9,10 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,19 +58,47 @@ def weighted_median(values: pd.Series, counts: pd.Series) -> float:
     return float((v[low] + v[high]) / 2)
 
 
-def register_table_fn(spark: SparkSession, name: str, cls: type, schema: str):
-    """A class with ``eval(*row)`` that yields rows, for SQL ``LATERAL`` and Python."""
-    return spark.udtf.register(name, F.udtf(cls, returnType=schema, useArrow=True))
+def register_table_fn(
+    spark: SparkSession, name: str, cls: type, schema: str, batches: bool = False
+):
+    """A class with ``eval`` as a table function for SQL and Python.
+
+    ``eval(*values)`` yields rows and joins a table by ``LATERAL``.  With ``batches``
+    it is ``eval(record_batch)``, yields Arrow tables and takes ``TABLE(...)``: much
+    faster, as no Python code runs per row.
+    """
+    make = F.arrow_udtf if batches else F.udtf
+    return spark.udtf.register(name, make(cls, returnType=schema))
 
 
 class Tokens:
-    """Words of a text with their position."""
+    """Words of one text with their position."""
 
     def eval(self, text: str):
         for i, token in enumerate((text or "").split()):
             yield i, token
 
 
+class TokenBatches:
+    """Words of a batch of ``(doc_id, text)`` rows with their position."""
+
+    def eval(self, batch: pa.RecordBatch):
+        words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(batch.column("text")))
+        owner, token = pc.list_parent_indices(words), pc.list_flatten(words)
+        # Position within a text: the running index less that of the text's first word.
+        rows = np.arange(len(token))
+        first = np.searchsorted(owner.to_numpy(), np.arange(len(words)))
+        pos = rows - first[owner.to_numpy()]
+        out = pa.table(
+            {
+                "doc_id": batch.column("doc_id").take(owner),
+                "pos": pa.array(pos, pa.int32()),
+                "token": token,
+            }
+        )
+        yield out.filter(pc.not_equal(token, ""))
+
+
 def map_groups(
     df: DataFrame,
     by: Sequence[str],

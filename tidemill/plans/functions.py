@@ -66,11 +66,10 @@ def udaf_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def udtf_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to one row per token, in SQL."""
-    udf.register_table_fn(spark, "tokens_of", udf.Tokens, "pos int, token string")
+    schema = "doc_id bigint, pos int, token string"
+    udf.register_table_fn(spark, "tokens_of", udf.TokenBatches, schema, batches=True)
     documents = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return spark.sql(
-        "SELECT doc_id, pos, token FROM {documents}, LATERAL tokens_of(text)", documents=documents
-    )
+    return spark.sql("SELECT * FROM tokens_of(TABLE({documents}))", documents=documents)
 
 
 def spending(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -112,7 +112,7 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and last event per user from custom state."""
     snapshots = stream_state(
-        _events(spark, sf_dir), "user_id", "ts", "event_id", "event_type", HOUR, timedelta(days=3)
+        _events(spark, sf_dir), "user_id", "ts", "event_id", "event_type", HOUR, timedelta(days=10)
     )
     return merge_state(run.result_of(snapshots, "stream-state"), "user_id").drop("expired")
 

@@ -15,11 +15,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_OUT = (
-    "key bigint, slice int, started timestamp, n bigint, last_ts timestamp, last_id bigint,"
-    " last_event string, expired boolean"
-)
-_STATE = "started timestamp, n bigint, last_ts timestamp, last_id bigint, last_event string"
+# Times are microseconds here: Python workers then convert no time zones.
+_STATE = "started bigint, n bigint, last_ts bigint, last_id bigint, last_event string"
+_OUT = f"key bigint, slice int, {_STATE}, expired boolean"
 _COLUMNS = ["key", "slice", "started", "n", "last_ts", "last_id", "last_event", "expired"]
 
 
@@ -31,7 +29,7 @@ def stream_state(
     event: str,
     delay: timedelta,
     idle: timedelta,
-    slices: int = 8,
+    slices: int = 4,
 ) -> DataFrame:
     """A snapshot of each key's state after every batch that changes it.
 
@@ -49,30 +47,31 @@ def stream_state(
             state.remove()
             yield pd.DataFrame([row], columns=_COLUMNS)
             return
-        held = list(state.get) if state.exists else [None, 0, None, None, None]
+        fresh = not state.exists
+        started, n, last_ts, last_id, last_event = (None, 0, None, None, None) if fresh else state.get
         for batch in batches:
             if batch.empty:
                 continue
-            # The start names a run, so it never changes once the run was emitted.
-            if not state.exists:
-                first = batch["ts"].min()
-                held[0] = first if held[0] is None else min(held[0], first)
-            held[1] += len(batch)
             ts, ids = batch["ts"].to_numpy(), batch["id"].to_numpy()
-            last = np.lexsort((ids, ts))[-1]
-            newest = (pd.Timestamp(ts[last]), int(ids[last]))
-            if held[2] is None or newest > (pd.Timestamp(held[2]), held[3]):
-                held[2], held[3], held[4] = *newest, batch["event"].iat[last]
-        state.update(tuple(held))
-        due = int(pd.Timestamp(held[2]).timestamp() * 1000) + idle_ms
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            if fresh:
+                # The start names a run, so it never changes once the run was emitted.
+                started = int(ts.min()) if started is None else min(started, int(ts.min()))
+            n += len(batch)
+            at = np.lexsort((ids, ts))[-1]
+            newest = (int(ts[at]), int(ids[at]))
+            if last_ts is None or newest > (last_ts, last_id):
+                (last_ts, last_id), last_event = newest, batch["event"].iat[at]
+        held = (started, n, last_ts, last_id, last_event)
+        state.update(held)
+        state.setTimeoutTimestamp(max(last_ts // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(*key, *held, False)], columns=_COLUMNS)
 
     slice_no = F.pmod(F.xxhash64(id_col), F.lit(slices)).cast("int")
     rows = sdf.withWatermark(ts, f"{int(delay.total_seconds())} seconds").select(
+        F.col(ts).alias("event_time"),
         F.col(by).alias("key"),
         slice_no.alias("slice"),
-        F.col(ts).alias("ts"),
+        F.unix_micros(ts).alias("ts"),
         F.col(id_col).alias("id"),
         F.col(event).alias("event"),
     )
