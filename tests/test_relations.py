@@ -92,6 +92,13 @@ def test_set_forms(spark, as_rows):
     assert as_rows(sets.common(a, b, all=True)) == [(1,), (1,), (None,)]
     assert as_rows(sets.minus(a, b)) == [(2,)]
     assert as_rows(sets.minus(a, b, all=True)) == [(1,), (2,)]
+    many = spark.createDataFrame([(1,)] * 25 + [(2,)] * 3, "k int")
+    few = spark.createDataFrame([(1,)] * 4 + [(2,)] * 9, "k int")
+    for copies in (1, 4, 7, 100):
+        got = sets.minus(many, few, all=True, copies=copies)
+        assert as_rows(got) == as_rows(many.exceptAll(few)) == [(1,)] * 21
+        got = sets.common(many, few, all=True, copies=copies)
+        assert as_rows(got) == as_rows(many.intersectAll(few)) == [(1,)] * 4 + [(2,)] * 3
     c = spark.createDataFrame([(5, "x")], "k int, extra string")
     stacked = sets.union_evolved(b, c)
     assert stacked.columns == ["k", "extra"] and stacked.count() == 5

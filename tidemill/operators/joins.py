@@ -161,7 +161,7 @@ def pairs(
     large = stage(sizes.filter(F.col("size") > direct_items), "large-groups")
     counted = _listed(members.join(large, "g", "left_anti")).groupBy("a", "b")
     counted = counted.agg(F.count(F.lit(1)).alias("n"))
-    in_large = members.join(large, "g")
+    in_large = stage(members.join(large, "g"), "large-group-items")
     largest = _largest_groups(in_large, min_n - 1)
     # An item in too few large groups forms no candidate there.
     enough = in_large.groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n)

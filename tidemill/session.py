@@ -19,7 +19,7 @@ SQL_SETTINGS = {
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
-_own_dirs: dict[str, str] = {}
+_own_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(app: str = "tidemill", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,8 +53,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     if context.applicationId not in _own_dirs:
-        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="tidemill-")
-    return _own_dirs[context.applicationId]
+        _own_dirs[context.applicationId] = tempfile.TemporaryDirectory(
+            prefix="tidemill-", ignore_cleanup_errors=True
+        )
+    return _own_dirs[context.applicationId].name
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -64,12 +64,30 @@ def stream_dedup(
     return marked.dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_enrich(sdf: DataFrame, dim: DataFrame, on: dict[str, str]) -> DataFrame:
-    """Each row with its dimension row, if there is one."""
+def stream_enrich(
+    sdf: DataFrame,
+    dim: DataFrame,
+    on: dict[str, str],
+    broadcast_rows: int = 500_000,
+    salts: int = 16,
+) -> DataFrame:
+    """Each row with its dimension row, if there is one.
+
+    The dimension is counted when the stream is built.  Up to ``broadcast_rows`` it
+    is broadcast and the stream is not shuffled.  A larger one is listed once per
+    salt and the stream's rows draw one of the salts, so a busy key is spread over
+    tasks - streams have no adaptive split of skewed partitions.
+    """
     match = F.lit(True)
     for x, y in on.items():
         match = match & (F.col(x) == F.col(y))
-    return sdf.join(dim, match, "left")
+    if dim.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return sdf.join(F.broadcast(dim), match, "left")
+    listed = dim.withColumn("__dim_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*sdf.columns), F.lit(salts)).cast("int")
+    salted = sdf.withColumn("__salt", salt)
+    match = match & (F.col("__salt") == F.col("__dim_salt"))
+    return salted.join(listed, match, "left").drop("__salt", "__dim_salt")
 
 
 def stream_interval_join(
