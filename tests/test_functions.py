@@ -43,16 +43,19 @@ def test_token_batches_equal_rows(spark, as_rows):
     assert got == [(1, 0, "x"), (1, 1, "y"), (1, 2, "z"), (5, 0, "one")]
 
 
-def test_map_groups_slices_cover_a_group(spark):
-    df = spark.range(1000).select("id", F.lit(1).alias("k"))
+def test_map_groups_cuts_large_groups(spark, as_rows):
+    df = spark.range(1000).select("id", F.when(F.col("id") < 950, 1).otherwise(F.col("id")).alias("k"))
 
-    def count(key, batches):
-        yield pd.DataFrame([(int(key[0]), sum(len(b) for b in batches))], columns=["k", "n"])
+    def count(key, rows):
+        return pd.DataFrame({"k": [key[0]], "n": [len(rows)], "calls": [1]})
 
-    whole = udf.map_groups(df, ["k"], count, "k int, n bigint").collect()
-    assert [(r.k, r.n) for r in whole] == [(1, 1000)]
-    slices = udf.map_groups(df, ["k"], count, "k int, n bigint", salts=4, spread_by="id").collect()
-    assert len(slices) == 4 and sum(r.n for r in slices) == 1000
+    def counted(max_rows):
+        parts = udf.map_groups(df, ["k"], count, "k bigint, n bigint, calls bigint", "id", max_rows)
+        return {r.k: (r.n, r.c) for r in parts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("calls").alias("c")).collect()}
+
+    whole, cut = counted(1000), counted(100)
+    assert whole[1] == (950, 1) and cut[1][0] == 950 and cut[1][1] > 5
+    assert {k: n for k, (n, _) in whole.items()} == {k: n for k, (n, _) in cut.items()}
 
 
 PYTHON = {"udf_scalar", "udaf_median", "udtf_tokens", "grouped_map", "stream_user_state"}

@@ -28,12 +28,12 @@ def feed(spark):
     return df
 
 
-@pytest.mark.parametrize("max_rows", [30, 1])
+@pytest.mark.parametrize("max_rows", [30, 3])
 def test_moving_sum(feed, as_rows, max_rows):
     span = timedelta(days=2)
     args = (feed, ["user"], "ts", "value", span)
-    got = as_rows(windows.moving_sum(*args, cells=8, max_rows=max_rows))
-    assert got == as_rows(windows.moving_sum(*args, max_rows=None))
+    got = as_rows(windows.moving_sum(*args, cells=8, frame_rows=20, max_rows=max_rows))
+    assert got == as_rows(windows.moving_sum(*args, frame_rows=None))
     by_id = {r[0]: r[-1] for r in got}
     for i, user, at, _, _ in feed.rows:
         inside = [

@@ -1,7 +1,7 @@
 """User-defined functions: scalar, aggregate, table and grouped map.
 
-These are the extension surface, for what no built-in function expresses.  Each
-processes Arrow batches; none needs a whole unbounded group in one batch.
+These are the extension surface, for what no built-in function expresses.  All
+exchange Arrow batches; none receives an unbounded group in one call.
 """
 
 from __future__ import annotations
@@ -17,6 +17,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators import hotkeys
+
+# Rows of one group that one Python call receives.
+GROUP_ROWS = 500_000
+
 # Executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -102,27 +107,40 @@ class TokenBatches:
 def map_groups(
     df: DataFrame,
     by: Sequence[str],
-    fn: Callable[[tuple, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    fn: Callable[[tuple, pd.DataFrame], pd.DataFrame],
     schema: str,
-    salts: int = 1,
-    spread_by: str | None = None,
+    spread_by: str,
+    max_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """``fn(key, batches)`` per group, as a stream of batches rather than one frame.
+    """``fn(key, rows)`` per group, for results that an ordinary ``groupBy`` can combine.
 
-    With ``salts`` above 1 a group is split into that many slices by a hash of
-    ``spread_by``; the key ends with the slice number and ``fn`` returns partial
-    results, which the caller combines with an ordinary ``groupBy``.
+    A group of up to ``max_rows`` is one call.  A larger one is cut into slices by a
+    hash of ``spread_by``, and ``fn`` gets each batch of a slice by itself: no call
+    sees more rows than ``max_rows``, and the caller adds the partial results up.
     """
 
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return fn(key, rows)
+
     # Spark picks the batch form by these annotations.
-    def grouped(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from fn(key, batches)
-
-    keys = list(by)
-    if salts > 1:
-        slice_no = F.pmod(F.xxhash64(spread_by or df.columns[0]), F.lit(salts))
-        df, keys = df.withColumn("__slice", slice_no), [*by, "__slice"]
-    # A fixed number of partitions: sized by bytes, as adaptive execution does, a
-    # shuffle of few bytes but much Python work would end up in one task.
+    def sliced(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield fn(key[:-1], batch)
+
+    hot = hotkeys.find(df, by, max_rows)
+    small = df if hot is None else hot.cold_rows(df)
+    out = _by_count(small, by).groupBy(*by).applyInPandas(whole, schema)
+    if hot is None:
+        return out
+    slice_no = F.pmod(F.xxhash64(spread_by), F.lit(hot.chunks)).alias("__slice")
+    large = hot.hot_rows(df).drop("__key").select("*", slice_no)
+    keys = [*by, "__slice"]
+    return out.unionByName(_by_count(large, keys).groupBy(*keys).applyInPandas(sliced, schema))
+
+
+def _by_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A fixed number of partitions: sized by bytes, as adaptive execution does, few
+    bytes that cost much Python work would end up in one task."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *keys).groupBy(*keys).applyInPandas(grouped, schema)
+    return df.repartition(partitions, *keys)

@@ -12,6 +12,10 @@ from tidemill.operators import hotkeys
 from tidemill.operators.hotkeys import HOT_ROWS
 
 
+# Rows of one key up to which a sliding frame is added up row by row.
+FRAME_ROWS = 10_000
+
+
 def top_k(df: DataFrame, by: Sequence[str], order_by: Sequence[Column], k: int) -> DataFrame:
     """The first ``k`` rows per key, numbered in ``rn``.
 
@@ -120,17 +124,19 @@ def moving_sum(
     span: timedelta,
     cells: int = 168,
     name: str = "moving_sum",
+    frame_rows: int | None = FRAME_ROWS,
     max_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Sum over ``[ts - span, ts]`` of the same key, rows at equal times included.
 
-    A key above ``max_rows`` is cut into time cells, ``cells`` to a span.  Its sum is
+    Spark adds up a sliding frame anew for every row, which is fine for keys of up to
+    ``frame_rows``.  A larger key is cut into time cells, ``cells`` to a span.  Its sum is
     the part of the oldest cell at or after ``ts - span``, the whole cells between,
     and the part of the row's own cell up to ``ts``: sums only, no differences of
     large totals.  The two parts are scans per (key, cell), themselves chunked where
-    a cell is hot.
+    a cell is above ``max_rows``.
     """
-    hot = hotkeys.find(df, by, max_rows)
+    hot = hotkeys.find(df, by, frame_rows)
     micros = int(span.total_seconds() * 1_000_000)
     days = span / timedelta(days=1)
     frame = (
