@@ -102,10 +102,6 @@ def _before(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _after(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(1, Window.unboundedFollowing)
-
-
 def _through(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -134,7 +130,7 @@ def previous(value: Column) -> Step:
     return Step(
         local=lambda w: F.lag(boxed).over(w),
         state=lambda pos: F.max_by(boxed, pos),
-        carry=lambda c, w: F.last(c, ignorenulls=True).over(_before(w)),
+        carry=lambda c, w: F.lag(c).over(w),
         combine=F.coalesce,
     )
 
@@ -145,7 +141,7 @@ def following(value: Column) -> Step:
     return Step(
         local=lambda w: F.lead(boxed).over(w),
         state=lambda pos: F.min_by(boxed, pos),
-        carry=lambda c, w: F.first(c, ignorenulls=True).over(_after(w)),
+        carry=lambda c, w: F.lead(c).over(w),
         combine=F.coalesce,
     )
 

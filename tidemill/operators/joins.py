@@ -224,13 +224,13 @@ def densify(
     Each dimension row generates its own days, between two scalar subqueries, so the
     grid takes no cross join.  ``on`` maps dimension columns to ``df`` columns.
     """
-    day = F.to_date(date_col)
-    bounds = df.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
-    days = F.sequence(bounds.select("lo").scalar(), bounds.select("hi").scalar())
-    grid = dims.withColumn("day", F.explode(days))
-    counted = df.groupBy(*[F.col(v).alias(f"__{v}") for v in on.values()], day.alias("__day")).agg(
+    day = F.to_date(date_col).alias("__day")
+    counted = df.groupBy(*[F.col(v).alias(f"__{v}") for v in on.values()], day).agg(
         *[m.alias(n) for n, m in measures.items()]
     )
+    bounds = counted.agg(F.min("__day").alias("lo"), F.max("__day").alias("hi"))
+    days = F.sequence(bounds.select("lo").scalar(), bounds.select("hi").scalar())
+    grid = dims.withColumn("day", F.explode(days))
     match = F.col("day") == F.col("__day")
     for x, y in on.items():
         match = match & (F.col(x) == F.col(f"__{y}"))

@@ -13,9 +13,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for costly per-row work on an input of few, unsplittable pieces.
+    """Use every core for costly per-row work on an input of few row groups.
 
-    A large input has more splits than cores and is left as it is.
+    Spark cuts a small file into about one range per core, but a row group is read
+    by one task, so the others may have nothing to do.  An input with more splits
+    than that is large; it is left as it is and not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
