@@ -118,13 +118,14 @@ def test_asof(feed, tolerance, max_rows):
         assert by_id[i] == ((best[0], best[4]) if near else (None, None))
 
 
-def test_interval_join_counts_each_pair_once(feed):
+@pytest.mark.parametrize("salts", [1, 3])
+def test_interval_join_counts_each_pair_once(feed, salts):
     within = timedelta(hours=7)
     left = feed.filter("kind = 'a'").select("id", "user", "ts")
     right = feed.filter("kind = 'b'").select(
         F.col("id").alias("rid"), F.col("user").alias("ruser"), F.col("ts").alias("rts")
     )
-    got = joins.interval_join(left, right, {"user": "ruser"}, "ts", "rts", within)
+    got = joins.interval_join(left, right, {"user": "ruser"}, "ts", "rts", within, salts)
     pairs = Counter((r.id, r.rid) for r in got.collect())
     want = {
         (a[0], b[0])

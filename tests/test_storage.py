@@ -99,7 +99,7 @@ def test_daily_job_can_be_repeated(spark, tmp_path, sf_dir, as_rows):
     daily.land(events.filter("event_type = 'view'"), landing)
     (tmp_path / "landing" / "day=2024-01-01" / "bad.txt").write_text("{broken\n")
     days = ["2024-01-01", "2024-01-02"]
-    layers = ("malformed", "rejects", "events", "mart")
+    layers = ("checked", "events", "mart")
 
     def state():
         return {layer: as_rows(spark.read.parquet(f"{out}/{layer}")) for layer in layers}
@@ -110,7 +110,10 @@ def test_daily_job_can_be_repeated(spark, tmp_path, sf_dir, as_rows):
     assert state() == first
     daily.run_daily(spark, landing, star, out, days[1:])
     assert state() == first
-    assert [r[0] for r in first["malformed"]] == ["{broken"]
+    checked = spark.read.parquet(f"{out}/checked")
+    assert [r.raw for r in checked.filter("outcome = 'malformed'").collect()] == ["{broken"]
+    assert checked.filter("outcome = 'rejected' AND array_contains(reasons, 'value_over_one')").count() > 0
+    assert checked.count() == events.count() + events.filter("event_type = 'view'").count() + 1
     accepted = events.filter("value > 1")
     assert len(first["events"]) == accepted.count()
     assert spark.read.parquet(f"{out}/mart").agg(F.sum("n_events")).first()[0] == accepted.count()

@@ -18,12 +18,17 @@ def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Data
 
     A rule that evaluates to null counts as broken.
     """
-    broken = [F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]
-    checked = df.withColumn("reasons", F.array_compact(F.array(*broken)))
+    checked = df.withColumn("reasons", broken_rules(rules))
     clean = F.size("reasons") == 0
     return checked.filter(clean).drop("reasons"), checked.filter(~clean)
 
 
+def broken_rules(rules: dict[str, Column]) -> Column:
+    """The names of the rules a row breaks, as an array."""
+    broken = [F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]
+    return F.array_compact(F.array(*broken))
+
+
 def dedup_exact(df: DataFrame, cols: Sequence[str], keep: str) -> DataFrame:
     """One row per distinct value of ``cols``: the lowest ``keep``, with a copy count.
 

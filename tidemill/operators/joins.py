@@ -97,6 +97,7 @@ def interval_join(
     left_ts: str,
     right_ts: str,
     within: timedelta,
+    salts: int = 1,
 ) -> DataFrame:
     """Pairs of one key with ``left_ts <= right_ts <= left_ts + within``.
 
@@ -104,17 +105,25 @@ def interval_join(
     so a busy key is spread over time and only neighbours are compared.  A left row
     looks into its own bucket and the next; a right row is in one, hence each pair
     comes out once.  Column names must not overlap.
+
+    Adaptive execution splits a bucket that is still hot.  Streams have none: there
+    ``salts`` spreads a bucket's left rows and lists its right rows once per salt.
     """
     width = int(within.total_seconds() * 1_000_000)
     bucket = F.floor(_micros(F.col(left_ts)) / F.lit(width))
     looking = left.withColumn("__lb", F.explode(F.array(bucket, bucket + 1)))
     held = right.withColumn("__rb", F.floor(_micros(F.col(right_ts)) / F.lit(width)))
     match = F.col("__lb") == F.col("__rb")
+    if salts > 1:
+        drawn = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+        looking = looking.withColumn("__ls", drawn)
+        held = held.withColumn("__rs", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        match = match & (F.col("__ls") == F.col("__rs"))
     for x, y in by.items():
         match = match & (F.col(x) == F.col(y))
     later = F.col(right_ts) >= F.col(left_ts)
     close = F.col(right_ts) <= F.col(left_ts) + F.lit(within)
-    return looking.join(held, match & later & close).drop("__lb", "__rb")
+    return looking.join(held, match & later & close).drop("__lb", "__rb", "__ls", "__rs")
 
 
 def band_join(

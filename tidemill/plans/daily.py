@@ -1,8 +1,11 @@
 """The daily job: landing, typed, quarantined, deduplicated, star, mart.
 
-Every layer is a Parquet table partitioned by day.  A run writes the days it is
-given and replaces only their folders, so running a day again leaves the same
-rows, and a run that died half-way is simply repeated.
+``checked`` holds every landed line by day and outcome - accepted, rejected with
+its reasons, or malformed - so the landing files are parsed once; ``events`` holds
+the accepted rows without copies; ``mart`` counts them by region.  Every layer is
+a Parquet table partitioned by day.  A run writes the days it is given and replaces
+only their folders, so running a day again leaves the same rows, and a run that
+died half-way is simply repeated.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from tidemill.plans.registry import query
 from tidemill.schemas import TABLES
 from tidemill.session import fresh_path
 from tidemill.sources.files import write_partitioned
-from tidemill.sources.ingest import ingest
+from tidemill.sources.ingest import parse_lines
 from tidemill.sources.tables import read_table
 
 
@@ -36,19 +39,31 @@ def run_daily(
     ``star`` is the customer dimension widened to its region.
     """
     files = f"{landing}/day={{{','.join(days)}}}"
-    typed, malformed = ingest(spark, files, "json", TABLES["events"])
-    day = F.regexp_extract("source_file", r"day=(\d{4}-\d{2}-\d{2})", 1).cast("date")
-    write_partitioned(malformed.withColumn("day", day), f"{out}/malformed", ["day"], dynamic=True)
-
     rules = {"known_user": F.col("user_id") >= 0, "value_over_one": F.col("value") > 1}
-    good, rejects = clean.quarantine(typed.withColumn("day", F.to_date("ts")), rules)
-    write_partitioned(rejects, f"{out}/rejects", ["day"], dynamic=True)
+    outcome = (
+        F.when(F.col("malformed"), "malformed")
+        .when(F.size("reasons") > 0, "rejected")
+        .otherwise("accepted")
+    )
+    checked = (
+        parse_lines(spark, files, "json", TABLES["events"])
+        .withColumn("reasons", F.when(~F.col("malformed"), clean.broken_rules(rules)))
+        .withColumn("outcome", outcome)
+        # The landing folder is the day, also for lines no time could be read from.
+        .withColumn("day", F.regexp_extract("source_file", r"day=(\d{4}-\d{2}-\d{2})", 1).cast("date"))
+        .withColumn("raw", F.when(F.col("outcome") != "accepted", F.col("raw")))
+        .drop("malformed")
+    )
+    write_partitioned(checked, f"{out}/checked", ["day", "outcome"], dynamic=True)
+
+    accepted = _layer(spark, f"{out}/checked", checked, days).filter("outcome = 'accepted'")
+    good = accepted.select(*TABLES["events"].names, "day")
     unique = clean.dedup_latest(good, ["day", "event_id"], [F.col("ts").desc()])
     write_partitioned(unique, f"{out}/events", ["day"], dynamic=True)
 
-    accepted = _layer(spark, f"{out}/events", unique, days)
+    kept = _layer(spark, f"{out}/events", unique, days)
     # Reduced per user first: a busy user is a few rows in the join.
-    per_user = accepted.groupBy("day", "event_type", "user_id").agg(
+    per_user = kept.groupBy("day", "event_type", "user_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")
     )
     mart = (

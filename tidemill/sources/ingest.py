@@ -19,13 +19,29 @@ def ingest(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows that fit ``schema``, and the raw text and file of those that do not.
 
-    CSV and JSON hold one record per line, which is what lets a large file be
-    split.  With ``header`` a CSV line that repeats the column names is skipped.
     Parquet is typed already and has no rejects.
     """
     if fmt == "parquet":
         good = spark.read.schema(schema).parquet(path)
         return good, spark.createDataFrame([], "raw string, source_file string")
+    parsed = parse_lines(spark, path, fmt, schema, header, sep)
+    good = parsed.filter(~F.col("malformed")).select(*schema.fieldNames())
+    return good, parsed.filter("malformed").select("raw", "source_file")
+
+
+def parse_lines(
+    spark: SparkSession,
+    path: str,
+    fmt: str,
+    schema: T.StructType,
+    header: bool = True,
+    sep: str = ",",
+) -> DataFrame:
+    """Every line typed by ``schema``, with its raw text, its file and ``malformed``.
+
+    CSV and JSON hold one record per line, which is what lets a large file be
+    split.  With ``header`` a CSV line that repeats the column names is skipped.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
     target = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
     lines = spark.read.text(path).select(
@@ -41,9 +57,12 @@ def ingest(
     else:
         raise ValueError(f"unknown format: {fmt}")
     lines = lines.withColumn("parsed", parsed)
-    bad = F.col(f"parsed.{_BAD}").isNotNull()
-    good = lines.filter(~bad).select(*[F.col(f"parsed.`{c}`") for c in schema.fieldNames()])
-    return good, lines.filter(bad).select("raw", "source_file")
+    return lines.select(
+        *[F.col(f"parsed.`{c}`") for c in schema.fieldNames()],
+        "raw",
+        "source_file",
+        F.col(f"parsed.{_BAD}").isNotNull().alias("malformed"),
+    )
 
 
 def _ddl(schema: T.StructType) -> str:

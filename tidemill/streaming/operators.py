@@ -98,6 +98,7 @@ def stream_interval_join(
     right_ts: str,
     within: timedelta,
     delay: timedelta,
+    salts: int = 4,
 ) -> DataFrame:
     """The batch interval join with both sides streams and state dropped by watermark."""
     return joins.interval_join(
@@ -107,6 +108,7 @@ def stream_interval_join(
         left_ts,
         right_ts,
         within,
+        salts,
     )
 
 
