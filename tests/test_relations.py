@@ -148,9 +148,7 @@ def test_nested_values(spark, as_rows):
     assert nested.count_map(kinds, ["k"], "e").first().counts == {"x": 2, "y": 1}
 
 
-@pytest.mark.parametrize("unrolled", [256, 0])
-def test_cosine(spark, monkeypatch, unrolled):
-    monkeypatch.setattr(nested, "UNROLLED", unrolled)
+def test_cosine(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 3.0]), (4, [0.0, 0.0]), (5, [1.0]), (6, None)]
     df = spark.createDataFrame(rows, "id int, v array<float>")
     got = nested.cosine_top_k(df, [2.0, 0.0], 3, "id", "v").collect()

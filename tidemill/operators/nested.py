@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,18 +61,9 @@ def count_map(df: DataFrame, by: Sequence[str], col: str, name: str = "counts")
     return counted.groupBy(*by).agg(F.map_from_entries(entries).alias(name))
 
 
-# Dimensions up to which a dot product is written out term by term, for code generation.
-UNROLLED = 256
-
-
-def _dot(v: Column, weights: Sequence[float] | None, n: int) -> Column:
-    """``v`` times fixed weights, or times itself."""
-    if n > UNROLLED:
-        other = v if weights is None else F.array(*map(F.lit, weights))
-        products = F.zip_with(v, other, lambda x, y: x.cast("double") * y.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-    at = [F.get(v, i).cast("double") for i in range(n)]
-    return reduce(lambda a, b: a + b, [x * (x if weights is None else w) for x, w in zip(at, weights or at)])
+def _dot(a: Column, b: Column) -> Column:
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def cosine_top_k(
@@ -84,10 +74,9 @@ def cosine_top_k(
     Vectors of another length are left out.  Each task keeps ``k`` rows; only those
     meet.
     """
-    weights = [float(x) for x in query]
-    n, length = len(weights), math.sqrt(sum(x * x for x in weights))
+    weights = F.array(*[F.lit(float(x)) for x in query])
+    length = math.sqrt(sum(float(x) ** 2 for x in query))
     v = F.col(vector)
-    cosine = F.try_divide(_dot(v, weights, n), F.sqrt(_dot(v, None, n)) * F.lit(length))
-    cosine = F.when(F.size(v) == n, cosine)
+    cosine = F.try_divide(_dot(v, weights), F.sqrt(_dot(v, v)) * F.lit(length))
     scored = df.select(key, cosine.alias("cosine")).filter("cosine IS NOT NULL")
     return scored.orderBy(F.col("cosine").desc(), key).limit(k)
