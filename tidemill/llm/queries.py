@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import mixing
+from tidemill.llm import line_rules, mixing, quality_net, toxicity
 from tidemill.plans.registry import Query
 from tidemill.session import apply_settings
 
@@ -17,4 +17,7 @@ def _run(fn):
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": Query(_run(mixing.op1), mixing.SQL),
+    "op3_line_rules": Query(_run(line_rules.op3), None),
+    "op4_toxicity": Query(_run(toxicity.op4), None),
+    "op5_quality": Query(_run(quality_net.op5), None),
 }
