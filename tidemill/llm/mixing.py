@@ -21,6 +21,8 @@ SHARE = 1.5
 MOST = 2
 HASH_BITS = 60
 LEVEL_BITS = 10
+#: A source's documents meet its row in this many parts, so that a large source is not one task.
+PARTS = 32
 
 
 def hash_of(id_col: str) -> Column:
@@ -84,6 +86,8 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     goals = goals.withColumn("_whole", whole.cast("long")).withColumn(
         "_left", F.col("target") - F.col("_whole") * F.col("source_size")
     )
+    # One row per source, written once: the levels below would each work it out again.
+    goals = stage(goals, "mix-goals")
     docs = _with_source(sized, goals.select("source", "_left"))
     shift, prefix = HASH_BITS, F.lit(0).cast("long")
     docs = docs.withColumn("_p", prefix)
@@ -93,7 +97,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
             "source", F.col("_b").alias("_p2"), (F.col("_left") - (F.col("_to") - F.col("_sum"))).alias("_left2")
         )
         docs = (
-            _with_source(docs, edge)
+            _with_source(docs, stage(edge, "mix-edge"))
             .where(F.shiftright("_h", shift) == F.col("_p2"))
             .select("source", "size", "_h", F.col("_left2").alias("_left"), F.col("_p2").alias("_p"))
         )
@@ -110,9 +114,11 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
 
 def _with_source(docs: DataFrame, by_source: DataFrame) -> DataFrame:
     """Documents with the columns of their source's row; a null source matches itself."""
+    parts = by_source.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     return (
         docs.alias("d")
-        .join(by_source.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+        .join(parts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))
+              & (F.col("d._h") % PARTS == F.col("s._part")))
         .select("d.*", *[F.col(f"s.{c}") for c in by_source.columns if c != "source"])
     )
 
