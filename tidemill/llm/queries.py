@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from tidemill.llm import line_rules, mixing, quality_net, toxicity
+from tidemill.llm import (
+    html_text,
+    language,
+    line_rules,
+    mixing,
+    near_join,
+    pii,
+    quality_net,
+    suffix_blocks,
+    templates,
+    toxicity,
+)
 from tidemill.plans.registry import Query
 from tidemill.session import apply_settings
 
@@ -17,7 +28,13 @@ def _run(fn):
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": Query(_run(mixing.op1), mixing.SQL),
+    "op2_pii": Query(_run(pii.op2), None),
     "op3_line_rules": Query(_run(line_rules.op3), None),
     "op4_toxicity": Query(_run(toxicity.op4), None),
     "op5_quality": Query(_run(quality_net.op5), None),
+    "op6_suffix_blocks": Query(_run(suffix_blocks.op6), None),
+    "op7_language": Query(_run(language.op7), None),
+    "op8_near_join": Query(_run(near_join.op8), None),
+    "op9_main_text": Query(_run(html_text.op9), None),
+    "op10_templates": Query(_run(templates.op10), None),
 }
