@@ -23,6 +23,7 @@ HASH_BITS = 60
 LEVEL_BITS = 10
 #: A source's documents meet its row in this many parts, so that a large source is not one task.
 PARTS = 32
+BROADCAST_SOURCES = 50_000
 
 
 def hash_of(id_col: str) -> Column:
@@ -134,36 +135,49 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     half of such a group, otherwise by at most half of one document.  An empty table
     gives an empty result; other columns are ignored.
     """
-    sized = stage(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"),
-                    word_count(text).alias("size"), hash_of(id_col).alias("_h")),
-        "mix-sizes",
-    )
-    cut = thresholds(sized, targets(sized, weights, share, most))
-    copies = (F.col("_whole") + (F.col("_h") < F.col("_below")).cast("long")).alias("copies")
-    return _with_source(sized, cut).select(
-        "doc_id", "source", "size", "source_size", "target", copies
-    ).withColumn("taken", F.col("size") * F.col("copies"))
+    sized, cut = _decide(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")),
+                         weights, share, most)
+    return _copies(sized, cut).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select("*", word_count("text").alias("size"), hash_of("doc_id").alias("_h"))
+
+
+def _decide(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """Documents without their text but with size and hash, and one row of thresholds per source."""
+    sized = stage(_sized(docs).select("doc_id", "source", "size", "_h"), "mix-sizes")
+    return sized, stage(thresholds(sized, targets(sized, weights, share, most)), "mix-thresholds")
+
+
+def _copies(sized: DataFrame, cut: DataFrame) -> DataFrame:
+    """``sized`` with source_size, target and copies.
+
+    Up to BROADCAST_SOURCES thresholds (three numbers and a name each) are sent to every
+    executor, so that documents needn't move; more are met in parts.
+    """
+    if cut.count() <= BROADCAST_SOURCES:
+        rows = sized.alias("d").join(F.broadcast(cut).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+        rows = rows.select("d.*", *[F.col(f"s.{c}") for c in cut.columns if c != "source"])
+    else:
+        rows = _with_source(sized, cut)
+    return rows.withColumn("copies", F.col("_whole") + (F.col("_h") < F.col("_below")).cast("long"))
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The mixed documents: each row as many times as the mix takes it.
 
-    Rows keep their columns and get ``copy`` (from 1), ``size``, ``source_size`` and
-    ``target``.  Decisions follow from id and source, so they are joined back by these.
+    Rows keep the columns of documents and get ``copy`` (from 1), ``size``,
+    ``source_size`` and ``target``.
     """
-    decided = mix(docs.select("doc_id", "text", "source")).where("copies > 0")
-    decided = decided.groupBy("doc_id", "source").agg(
-        F.first("copies").alias("_copies"), F.first("source_size").alias("_ss"), F.first("target").alias("_t")
-    )
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    both = plain.alias("d").join(
-        decided.alias("m"),
-        F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")),
-    )
-    return both.select(
-        "d.*", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"),
-        word_count("d.text").alias("size"), F.col("_ss").alias("source_size"), F.col("_t").alias("target"),
+    _, cut = _decide(plain)
+    rows = _copies(_sized(plain), cut).where("copies > 0")
+    return rows.select(
+        *plain.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+        "size", "source_size", "target",
     )
 
 

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 SAMPLE_TOXIC = 2500
 SAMPLE_CLEAN = 3500
 SAMPLE_CHARS = 40_000
+#: With fewer labels of either kind nothing is learned and nothing called toxic.
+MIN_LABELS = 5
 #: The score from which a text counts as toxic.
 CUT = 0.7
 
@@ -76,7 +78,8 @@ class TextCNN:
         self.bias = np.zeros(len(WIDTHS) * FILTERS, np.float32)
         self.out = rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32)
         self.shift = np.zeros(1, np.float32)
-        self.at = np.zeros(len(LANGUAGES), np.float32)  # logit of each language's threshold
+        # Logit of each language's threshold; an untrained model calls nothing toxic.
+        self.at = np.full(len(LANGUAGES), 2, np.float32)
         self.sharp = 1.0
 
     def pool(self, proj: np.ndarray, ids: np.ndarray, starts: np.ndarray):
@@ -266,7 +269,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
 def train(sample: pd.DataFrame, totals: dict[int, int]) -> TextCNN:
     """A model trained on four fifths of the sample; thresholds come from the rest."""
     model = TextCNN()
-    if sample.empty or sample["y"].nunique() < 2:
+    if min((sample["y"] == k).sum() for k in (0, 1)) < MIN_LABELS:
         return model
     words = [words_of(t) for t in sample["text"]]
     y = sample["y"].to_numpy(np.float32)
@@ -300,8 +303,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have no words and get the score of no evidence.  Rows with a
     null id are scored and never held out; repeated rows get equal scores.  Labels that
     are null, or of documents that are missing, are not used; a document labelled twice
-    counts as toxic if one label says so.  Without labels of both kinds every score is
-    that of an untrained model.  An empty table gives an empty result; extra columns are
+    counts as toxic if one label says so.  With fewer than MIN_LABELS of a
+    kind the model stays untrained and predicts 0.  An empty table gives an empty result; extra columns are
     ignored.
     """
     model = train(*labelled_sample(docs, labels, "toxic", 3, 1, SAMPLE_TOXIC, SAMPLE_CLEAN))
@@ -311,6 +314,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the documents that the classifier calls toxic; see ``classify``."""
+    model = train(*labelled_sample(docs, labels, "toxic", 3, 1, SAMPLE_TOXIC, SAMPLE_CLEAN))
+    return score(docs, model).where(F.col("score") < CUT).select(docs.columns)
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     from tidemill.sources.tables import read_table
 
