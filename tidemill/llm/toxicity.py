@@ -66,6 +66,13 @@ def buckets(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1 if x else 0 for x in raw)
 
 
+def bounds(padded: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last-but-one places where filters may begin, from the padded lengths of texts."""
+    stop = np.cumsum(padded)
+    starts = stop - padded
+    return starts, np.maximum(stop - max(WIDTHS), starts + 1)
+
+
 class TextCNN:
     """Hashed embeddings, filters of several widths, max pooling, a linear layer."""
 
@@ -82,11 +89,12 @@ class TextCNN:
         self.at = np.full(len(LANGUAGES), 2, np.float32)
         self.sharp = 1.0
 
-    def pool(self, proj: np.ndarray, ids: np.ndarray, starts: np.ndarray):
-        """Largest response of every filter in every text, and where it is.
+    def pool(self, proj: np.ndarray, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Largest response of every filter in every text, and all responses by width.
 
         ``ids`` holds the texts' words one after the other, each text followed by as many
-        empty words (id 0) as the widest filter needs; ``starts`` are their beginnings.
+        empty words (id 0) as the widest filter needs; a filter may begin at ``starts``
+        and before ``ends``, which is a text's last word or its first empty one.
         """
         best, place = [], []
         col = 0
@@ -95,7 +103,7 @@ class TextCNN:
             for k in range(1, w):
                 r[:-k] += proj[ids[k:], (col + k) * FILTERS : (col + k + 1) * FILTERS]
             col += w
-            top = np.maximum.reduceat(r, starts)
+            top = np.maximum.reduceat(r, np.column_stack([starts, ends]).ravel())[::2]
             best.append(top)
             place.append(r)
         return np.hstack(best), place
@@ -116,11 +124,11 @@ class TextCNN:
             for at in range(0, len(order), BATCH):
                 pick = order[at : at + BATCH]
                 ids = np.concatenate([docs[i] for i in pick])
-                starts = np.concatenate([[0], np.cumsum([len(docs[i]) for i in pick])[:-1]])
+                starts, ends = bounds([len(docs[i]) for i in pick])
                 seen, local = np.unique(ids, return_inverse=True)
                 vec = self.emb[table[seen]].sum(1)
                 proj = vec @ self.conv
-                top, responses = self.pool(proj, local, starts)
+                top, responses = self.pool(proj, local, starts, ends)
                 hidden = np.maximum(top + self.bias, 0)
                 drop = (rng.random(hidden.shape) < 0.8).astype(np.float32) / 0.8
                 z = (hidden * drop) @ self.out + self.shift[0]
@@ -130,7 +138,7 @@ class TextCNN:
                 dtop = np.outer(dz, self.out) * drop * (top + self.bias > 0)
                 grads["bias"] = dtop.sum(0)
                 dconv, dvec = np.zeros_like(self.conv), np.zeros_like(vec)
-                col, ends = 0, np.append(starts[1:], len(local))
+                col = 0
                 for i, w in enumerate(WIDTHS):
                     d = dtop[:, i * FILTERS : (i + 1) * FILTERS]
                     r = responses[i]
@@ -215,8 +223,7 @@ class Scorer:
             ids = np.concatenate(
                 [np.array([*map(self.known.__getitem__, t), *([0] * max(WIDTHS))], np.int64) for t in texts[at:end]]
             )
-            starts = np.concatenate([[0], np.cumsum([len(t) + max(WIDTHS) for t in texts[at:end]])[:-1]])
-            top, _ = self.model.pool(self.proj, ids, starts.astype(np.int64))
+            top, _ = self.model.pool(self.proj, ids, *bounds([len(t) + max(WIDTHS) for t in texts[at:end]]))
             out.append(np.maximum(top + self.model.bias, 0) @ self.model.out + self.model.shift[0])
             at = end
         return np.concatenate(out) if out else np.zeros(0)
