@@ -275,29 +275,27 @@ def _links_of_cell(cell: Cell) -> Cell | None:
 def components(edges: DataFrame) -> DataFrame:
     """_c and _label, the smallest member of its component, from rows of _c and _root.
 
-    Labels move to neighbours and then skip along (a label's own label), so long chains
-    take few rounds.  Every round is written out, which cuts the lineage.
+    Each round points every node at its smallest neighbour and contracts the edges to
+    what is pointed at; edges within one label vanish, so there are fewer each time.
+    Every round is written out, which cuts the lineage.
     """
-    both = edges.select("_c", F.col("_root").alias("_n")).where("_c <> _n")
-    both = stage(both.unionByName(both.select(F.col("_n").alias("_c"), F.col("_c").alias("_n"))).distinct(), "edges")
-    # Roots of single members have no neighbour; they are their own label and not needed.
-    labels = stage(both.groupBy("_c").agg(F.least(F.col("_c"), F.min("_n")).alias("_label")), "labels")
+    edges = stage(edges.select(F.col("_c").alias("_a"), F.col("_root").alias("_b")).where("_a <> _b").distinct(), "edges")
+    labels = None
     while True:
-        near = (
-            both.join(labels.select(F.col("_c").alias("_n"), F.col("_label").alias("_nl")), "_n")
-            .groupBy("_c").agg(F.min("_nl").alias("_nl"))
+        ends = edges.unionByName(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
+        points = stage(ends.groupBy("_a").agg(F.least(F.col("_a"), F.min("_b")).alias("_to")), "points")
+        if labels is None:
+            labels = points.select(F.col("_a").alias("_c"), F.col("_to").alias("_label"))
+        else:
+            moved = labels.join(points.withColumnRenamed("_a", "_label"), "_label", "left")
+            labels = stage(moved.select("_c", F.coalesce("_to", "_label").alias("_label")), "labels")
+        other = points.select(F.col("_a").alias("_b"), F.col("_to").alias("_to_b"))
+        edges = stage(
+            edges.join(points, "_a").join(other, "_b")
+            .select(F.col("_to").alias("_a"), F.col("_to_b").alias("_b")).where("_a <> _b").distinct(),
+            "edges",
         )
-        moved = labels.join(near, "_c").select(
-            "_c", F.col("_label").alias("_old"), F.least("_label", "_nl").alias("_label")
-        )
-        jump = labels.select(F.col("_c").alias("_label"), F.col("_label").alias("_far"))
-        fresh = stage(
-            moved.join(jump, "_label", "left")
-            .select("_c", "_old", F.least("_label", F.coalesce("_far", F.col("_label"))).alias("_label")),
-            "labels",
-        )
-        labels = fresh.select("_c", "_label")
-        if fresh.where("_old <> _label").isEmpty():
+        if edges.isEmpty():
             return labels
 
 
@@ -391,7 +389,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = keyed_sets(docs)
     sets = classes(docs, rows)
     tops = sets.groupBy("_label").agg(F.min("_first").alias("_top"))
-    known = sets.join(tops, "_label").select("_c", "_copies", "_links", F.col("_top.d").alias("_top"))
+    # Written, so that the last join has nothing but reads below it and skew can be split.
+    known = stage(sets.join(tops, "_label").select("_c", "_copies", "_links", F.col("_top.d").alias("_top")), "classes")
     top = F.when(F.col("_top") < 2**63 - 1, F.col("_top"))
     return rows.join(known, "_c", "left").select(
         "doc_id",
