@@ -61,72 +61,79 @@ def raw_words(text: Column) -> Column:
     return _split(text)
 
 
-def window_hashes(words: str) -> Column:
-    """A hash of every window of WORDS words, in order."""
+def _windows(texts: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, _pos, _h and _slots for every window of WORDS words of ``text``.
+
+    ``_slots`` has the raw words of a window with placeholders and is null for others.
+    Words are hashed first, those with a placeholder to negative numbers; only short
+    columns go with the windows, never the text.
+    """
+    text = F.col("text")
+    words = texts.select(*keep, canonical_words(text).alias("_c"), "text")
+    marked = F.array_join("_c", " ").rlike(MARKS)
+    words = words.select(*keep, "_c", F.when(marked, raw_words(text)).alias("_r"))
+    bare = lambda w: F.xxhash64(w).bitwiseAND(F.lit(2**63 - 1))
+    either = lambda w: F.when(w.rlike(MARKS), -1 - bare(w)).otherwise(bare(w))
+    hashed = F.when(F.col("_r").isNull(), F.transform("_c", bare)).otherwise(F.transform("_c", either))
+    words = words.select(*keep, "_r", hashed.alias("_w"))
     places = F.when(
-        F.size(words) >= WORDS, F.sequence(F.lit(1), F.size(words) - (WORDS - 1))
+        F.size("_w") >= WORDS, F.sequence(F.lit(1), F.size("_w") - (WORDS - 1))
     ).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.slice(words, i, WORDS)))
+
+    def window(i: Column) -> Column:
+        part = F.slice("_w", i, WORDS)
+        slots = F.when(F.exists(part, lambda x: x < 0), F.array_join(F.slice("_r", i, WORDS), " "))
+        return F.struct(F.xxhash64(part).alias("_h"), F.when(F.col("_r").isNotNull(), slots).alias("_slots"))
+
+    rows = words.select(*keep, F.posexplode(F.transform(places, window)).alias("_pos", "_x"))
+    return rows.select(*keep, "_pos", "_x._h", "_x._slots")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, _n, _ipos, _h and _iw (canonical and raw words) of the windows that count.
+    """item_id, _n, _ipos, _h and _kinds and _values (of a window with placeholders) of the windows that count.
 
     Windows of an item that are nearly all placeholders fit anything and don't count.
     """
     items = benchmark.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
-    items = items.select("item_id", canonical_words(F.col("text")).alias("_c"), raw_words(F.col("text")).alias("_r"))
-    hashed = items.select("item_id", "_c", "_r", F.transform("_c", lambda w: F.xxhash64(w)).alias("_w"))
-    hashed = hashed.select("item_id", "_c", "_r", F.posexplode(window_hashes("_w")).alias("_ipos", "_h"))
-    marks = F.size(F.filter(F.slice("_c", F.col("_ipos") + 1, WORDS), lambda w: w.rlike(MARKS)))
-    return (
-        hashed.withColumn("_marks", marks)
-        .where(F.col("_marks") <= WORDS - LITERALS)
-        .select("item_id", F.count("*").over(Window.partitionBy("item_id")).alias("_n"), "_ipos", "_h",
-                (F.col("_marks") > 0).alias("_slotted"), F.slice("_c", F.col("_ipos") + 1, WORDS).alias("_iw"),
-                F.slice("_r", F.col("_ipos") + 1, WORDS).alias("_ir"))
+    kinds = items.select("item_id", F.posexplode(canonical_words(F.col("text"))).alias("_at", "_k"))
+    kinds = kinds.select("item_id", "_at", F.regexp_extract("_k", MARKS, 0).alias("_k"))
+    rows = _windows(items, "item_id").withColumn("_at", F.explode(F.sequence(F.col("_pos"), F.col("_pos") + WORDS - 1)))
+    rows = rows.join(kinds, ["item_id", "_at"]).groupBy("item_id", "_pos", "_h", "_slots").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_k"))), lambda x: x["_k"]).alias("_kinds")
+    )
+    marks = F.size(F.filter("_kinds", lambda k: k != ""))
+    return rows.where(marks <= WORDS - LITERALS).select(
+        "item_id", F.count("*").over(Window.partitionBy("item_id")).alias("_n"), F.col("_pos").alias("_ipos"), "_h",
+        F.when(marks > 0, F.col("_kinds")).alias("_kinds"), F.when(marks > 0, F.col("_slots")).alias("_values"),
     )
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """_k1, _k2, doc_id, item_id, _n, _pos, _ipos, _slotted of windows with equal templates.
-
-    Only keys and hashes of the documents' windows are joined, never their text.
-    """
-    items = stage(item_windows(benchmark).select("item_id", "_n", "_ipos", "_h", "_slotted"), "benchmark-windows")
+    """_k1, _k2, doc_id, _pos, _slots and an item's columns, of windows with equal templates."""
+    items = stage(item_windows(benchmark), "benchmark-windows")
     if items.count() <= BROADCAST_WINDOWS:
         items = F.broadcast(items)
-    words = docs.select("doc_id", *content_key("doc_id", "text"), canonical_words(F.col("text")).alias("_c"))
-    words = words.select("doc_id", "_k1", "_k2", F.transform("_c", lambda w: F.xxhash64(w)).alias("_w"))
-    rows = words.select("doc_id", "_k1", "_k2", F.posexplode(window_hashes("_w")).alias("_pos", "_h"))
-    return rows.join(items, "_h").drop("_h").distinct()
+    keyed = docs.select("doc_id", *content_key("doc_id", "text"), "text")
+    return _windows(keyed, "doc_id", "_k1", "_k2").join(items, "_h").drop("_h").distinct()
 
 
-def consistent(found: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def consistent(found: DataFrame) -> DataFrame:
     """Matches without those whose slots contradict the rest of the passage.
 
     A slot pairs a value of the item with one of the document.  Within a passage
     (document, item and offset) each value keeps its most frequent partner; windows with
-    any other pair are left out.  Texts are read again only for documents with slots.
+    any other pair are left out.
     """
     found = found.withColumn("_diag", F.col("_pos") - F.col("_ipos"))
     passage = ["_k1", "_k2", "item_id", "_diag"]
-    plain = found.where("NOT _slotted").select(*passage, "doc_id", "_n", "_ipos")
-    slotted = found.where("_slotted")
-    keyed = docs.select(*content_key("doc_id", "text"), "text")
-    raw = (
-        keyed.join(slotted.select("_k1", "_k2").distinct(), ["_k1", "_k2"])
-        .dropDuplicates(["_k1", "_k2"])
-        .select("_k1", "_k2", F.posexplode(raw_words(F.col("text"))).alias("_at", "_raw"))
-    )
-    places = slotted.select(*passage, "doc_id", "_n", "_ipos", "_pos", F.explode(F.sequence(F.lit(0), F.lit(WORDS - 1))).alias("_o"))
-    values = item_windows(benchmark).select("item_id", "_ipos", F.posexplode(F.arrays_zip("_iw", "_ir")).alias("_o", "_z"))
-    values = values.select("item_id", "_ipos", "_o", F.regexp_extract("_z._iw", MARKS, 0).alias("_kind"), F.lower("_z._ir").alias("_i"))
+    plain = found.where("_values IS NULL").select(*passage, "doc_id", "_n", "_ipos")
+    split = lambda c: F.split(F.lower(c), " ")
+    slot = F.explode(F.arrays_zip("_kinds", split("_values").alias("_i"), split("_slots").alias("_d"))).alias("_z")
     pair = (
-        places.join(values.where("_kind <> ''"), ["item_id", "_ipos", "_o"])
-        .withColumn("_at", F.col("_pos") + F.col("_o"))
-        .join(raw, ["_k1", "_k2", "_at"])
-        .select(*passage, "doc_id", "_n", "_ipos", "_kind", "_i", F.lower("_raw").alias("_d"))
+        found.where("_values IS NOT NULL")
+        .select(*passage, "doc_id", "_n", "_ipos", slot)
+        .select(*passage, "doc_id", "_n", "_ipos", F.col("_z._kinds").alias("_kind"), "_z._i", "_z._d")
+        .where("_kind <> ''")
     )
     counted = pair.groupBy(*passage, "_kind", "_i", "_d").agg(F.count("*").alias("_c"))
     best = lambda side, other: Window.partitionBy(*passage, "_kind", side).orderBy(F.desc("_c"), other)
@@ -156,7 +163,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     are ignored.
     """
     found = stage(matches(docs, benchmark), "template-matches")
-    rows = consistent(found, docs, benchmark)
+    rows = consistent(found)
     return (
         rows.groupBy("_k1", "_k2", "doc_id", "item_id", "_n", "_ipos").count()
         .groupBy("_k1", "_k2", "doc_id", "item_id", "_n").agg(F.count("*").alias("n_matched"))
