@@ -267,7 +267,9 @@ def _hash_windows(length: int):
 def repeats(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """_k1, _k2, _a, _z: runs of starts of repeated strings in the texts of ``keyed`` (_k1, _k2, _t)."""
     every = stage(keyed.mapInPandas(_read_anchors(length, gram), _ANCHOR), "anchors")
-    often = every.groupBy("_f").count().where("count > 1").select("_f")
+    # Written, so that the join has two plain reads and a hash that very many texts share
+    # can be split over tasks.
+    often = stage(every.groupBy("_f").count().where("count > 1").select("_f"), "anchor-hashes")
     # A context is the bytes that all strings of an anchor cover; its copies are counted.
     contexts = (
         every.join(often, "_f")
@@ -279,9 +281,8 @@ def repeats(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: in
         "_k1", "_k2", (F.col("_p") - F.col("_q")).alias("_a"), (F.col("_p") - F.col("_q") + F.col("_s") - 1).alias("_z")
     )
     # Buckets in which some context stands alone need sorting.
-    mixed = (
-        contexts.groupBy("_f").agg(F.count("*").alias("_n"), F.min("_m").alias("_least")).where("_n > 1 AND _least = 1").select("_f", "_n")
-    )
+    mixed = contexts.groupBy("_f").agg(F.count("*").alias("_n"), F.min("_m").alias("_least"))
+    mixed = stage(mixed.where("_n > 1 AND _least = 1").select("_f", "_n"), "mixed-buckets")
     wanted = (
         contexts.join(mixed, "_f")
         .groupBy("_k1", "_k2")
