@@ -109,7 +109,7 @@ def test_asof(feed, tolerance, max_rows):
     assert len(got) == len(lefts)
     by_id = {r.id: (r.right_id, r.right_value) for r in got}
     for i, user, at, _, _ in lefts:
-        seen = [r for r in rights if r[1] == user and r[2] <= at]
+        seen = [r for r in rights if user is not None and r[1] == user and r[2] <= at]
         if not seen:
             assert by_id[i] == (None, None)
             continue
@@ -156,7 +156,7 @@ def test_pairs_with_a_group_that_has_a_third_of_all_rows(spark, direct_items, mi
 
 def test_paths_and_nests_come_in_bounded_parts(feed, as_rows):
     for max_rows in (None, 25):
-        parts = aggregate.paths(feed, ["user"], ["ts", "id"], "kind", "", 7, max_rows).collect()
+        parts = aggregate.paths(feed, ["user"], ["ts", "id"], "kind", "", steps=7, max_rows=max_rows).collect()
         assert max(p.n_steps for p in parts) == 7
         joined = defaultdict(str)
         for p in sorted(parts, key=lambda p: p.part):

@@ -31,8 +31,11 @@ def clean_text(text: Column) -> Column:
 
 
 def normalize_urls(df: DataFrame, col: str, name: str = "url_norm") -> DataFrame:
-    """Scheme and host in lower case; query string and fragment dropped."""
+    """Scheme and host in lower case, user and password as they are; query string and fragment dropped."""
     bare = F.regexp_replace(F.col(col), r"[?#].*$", "")
     origin = F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
     path = F.substr(bare, F.length(origin) + 1)
-    return df.withColumn(name, F.concat(F.lower(origin), path))
+    user = F.regexp_extract(origin, r"^[^/]*//([^@]*@)", 1)
+    scheme = F.lower(F.regexp_extract(origin, r"^([^/]*//)", 1))
+    host = F.lower(F.regexp_replace(origin, r"^[^/]*//(?:[^@]*@)?", ""))
+    return df.withColumn(name, F.concat(scheme, user, host, path))

@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import hotkeys
@@ -110,13 +110,17 @@ def map_groups(
     fn: Callable[[tuple, pd.DataFrame], pd.DataFrame],
     schema: str,
     spread_by: str,
+    merge: dict[str, Callable[[str], Column]],
     max_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """``fn(key, rows)`` per group, for results that an ordinary ``groupBy`` can combine.
-
-    A group of up to ``max_rows`` is one call.  A larger one is cut into slices by a
-    hash of ``spread_by``, and ``fn`` gets each batch of a slice by itself: no call
-    sees more rows than ``max_rows``, and the caller adds the partial results up.
+    """``fn(key, rows)`` per group or part of one, and the parts put together by ``merge``.
+
+    ``fn`` returns one row of partial results; ``merge`` names the aggregate that
+    combines each of its columns (``F.sum``, ``F.max``), so the result has one row per
+    group whatever its size.  A group of up to ``max_rows`` is one call.  A larger one is
+    cut into slices by a hash of ``spread_by``, and ``fn`` gets each Arrow batch of a
+    slice by itself.  What can't be combined from parts, such as a median, is not for
+    this function.
     """
 
     def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -131,12 +135,14 @@ def map_groups(
     hot = hotkeys.find(df, by, max_rows)
     small = df if hot is None else hot.cold_rows(df)
     out = _by_count(small, by).groupBy(*by).applyInPandas(whole, schema)
+    merged = [f(c).alias(c) for c, f in merge.items()]
     if hot is None:
-        return out
+        return out.groupBy(*by).agg(*merged)
     slice_no = F.pmod(F.xxhash64(spread_by), F.lit(hot.chunks)).alias("__slice")
     large = hot.hot_rows(df).drop("__key").select("*", slice_no)
     keys = [*by, "__slice"]
-    return out.unionByName(_by_count(large, keys).groupBy(*keys).applyInPandas(sliced, schema))
+    parts = _by_count(large, keys).groupBy(*keys).applyInPandas(sliced, schema)
+    return out.unionByName(parts).groupBy(*by).agg(*merged)
 
 
 def _by_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:

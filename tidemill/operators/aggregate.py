@@ -131,16 +131,18 @@ def paths(
     order: Sequence[str],
     col: str,
     sep: str = ">",
+    missing: str = "?",
     steps: int = 1000,
     max_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Values of ``col`` in order as text, one row per key and run of ``steps`` values.
 
     Parts are numbered from 0; joined in order they are the whole path.  A part is
-    what one task and one cell can hold, however long the path.
+    what one task and one cell can hold, however long the path.  A null step is written
+    as ``missing``.
     """
     numbered = hotkeys.number_rows(df.select(*by, *order, col), by, order, "__rn", max_rows)
     part = F.floor((F.col("__rn") - 1) / F.lit(steps)).alias("part")
     collected = F.array_sort(F.collect_list(F.struct("__rn", F.col(col).alias("v"))))
-    path = F.array_join(F.transform(collected, lambda x: x["v"]), sep)
+    path = F.array_join(F.transform(collected, lambda x: x["v"]), sep, missing)
     return numbered.groupBy(*by, part).agg(F.count(F.lit(1)).alias("n_steps"), path.alias("path"))

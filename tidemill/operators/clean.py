@@ -54,15 +54,24 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column])
     return df.withColumn("__rn", F.row_number().over(first)).filter("__rn = 1").drop("__rn")
 
 
-def standardize(df: DataFrame, rules: dict[str, dict[str, str] | None]) -> DataFrame:
+def standardize(df: DataFrame, rules: dict[str, dict[str, str] | DataFrame | None]) -> DataFrame:
     """Text columns cleaned, then mapped to codes where a code list is given.
 
-    A value missing from its code list stays as cleaned; ``<col>_known`` says which.
+    A short list is a dict and becomes part of the plan; a long one is a table of value
+    and code (its first two columns, values cleaned and each there once) and is joined,
+    the size of which Spark weighs.  A value missing from its list stays as cleaned;
+    ``<col>_known`` says which.
     """
     out = df
     for col, codes in rules.items():
         out = out.withColumn(col, clean_text(F.col(col)))
-        if codes is not None:
+        if isinstance(codes, DataFrame):
+            value, code = codes.columns[:2]
+            table = codes.groupBy(F.col(value).alias("__value")).agg(F.min(code).alias("__code"))
+            out = out.join(table, F.col(col) == F.col("__value"), "left")
+            out = out.withColumn(f"{col}_known", F.col("__code").isNotNull())
+            out = out.withColumn(col, F.coalesce("__code", col)).drop("__value", "__code")
+        elif codes is not None:
             pairs = [F.lit(x) for pair in codes.items() for x in pair]
             code = F.try_element_at(F.create_map(*pairs), F.col(col))
             out = out.withColumn("__code", code)

@@ -81,24 +81,22 @@ def funnel(
     """Keys that reach each step in turn, within a time of their first first step.
 
     Per step the earliest time after the step before is kept: an aggregate combined
-    before the shuffle.  Only keys still in the funnel are looked at.
+    before the shuffle.  Each step reads the events once, and all steps are counted at
+    the end.
     """
     reached = df.filter(F.col(col) == steps[0]).groupBy(by).agg(F.min(ts).alias("t0"))
-    reached = reached.withColumn("at", F.col("t0"))
-    counts = [reached.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("step"), "n")]
     for i, step in enumerate(steps[1:], 1):
         later = df.filter(F.col(col) == step).select(by, F.col(ts).alias("ts_"))
-        in_time = (F.col("ts_") > F.col("at")) & (F.col("ts_") <= F.col("t0") + F.lit(within))
+        before = F.col(f"t{i - 1}")
+        in_time = (F.col("ts_") > before) & (F.col("ts_") <= F.col("t0") + F.lit(within))
+        kept = [F.min(f"t{k}").alias(f"t{k}") for k in range(i)]
         reached = (
-            later.join(reached, by)
-            .filter(in_time)
+            reached.join(later, by, "left")
             .groupBy(by)
-            .agg(F.min("t0").alias("t0"), F.min("ts_").alias("at"))
+            .agg(*kept, F.min(F.when(in_time, F.col("ts_"))).alias(f"t{i}"))
         )
-        counts.append(reached.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("step"), "n"))
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
+    counts = [F.struct(F.lit(i).alias("step"), F.count(f"t{i}").alias("n")) for i in range(len(steps))]
+    out = reached.agg(F.array(*counts).alias("c")).select(F.inline("c"))
     names = F.element_at(F.array(*[F.lit(s) for s in steps]), F.col("step") + 1)
     return out.select(F.col("step").cast("int").alias("step"), names.alias("event"), "n")
 

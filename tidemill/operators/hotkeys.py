@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from tidemill.session import stage
 
-# Rows of one key that one task may sort.
+# Rows of one key that one task may sort.  Above MAX_CHUNKS / 2 times that many hot
+# rows chunks grow instead of their number, and a task's sort spills.
 HOT_ROWS = 2_000_000
 MAX_CHUNKS = 20_000
 
@@ -199,9 +200,14 @@ def scan(
         _CHUNK,
         *[s.carry(F.col(f"__state_{n}"), across).alias(f"__carry_{n}") for n, s in steps.items()],
     )
+    # Adding states up widens decimals; the column keeps the type it has in small keys.
+    types = {n: plain.schema[n].dataType for n in steps}
     scanned = local.join(carried, [_KEY, _CHUNK], "left").select(
         *df.columns,
-        *[s.combine(F.col(n), F.col(f"__carry_{n}")).alias(n) for n, s in steps.items()],
+        *[
+            s.combine(F.col(n), F.col(f"__carry_{n}")).cast(types[n]).alias(n)
+            for n, s in steps.items()
+        ],
     )
     return plain.unionByName(scanned)
 

@@ -64,12 +64,14 @@ def asof_join(
     ``on`` and ``by`` have the same names on both sides; ``right_cols`` maps right
     columns to their names in the result, null where no row qualifies.  Right rows
     with equal times are ranked by those columns.  Both sides are stacked and the
-    last right row seen is carried forward, so nothing is paired up.
+    last right row seen is carried forward, so nothing is paired up.  A null key or
+    time matches nothing, on either side.
     """
     found = F.struct(F.col(on).alias("__on"), *[F.col(c).alias(n) for c, n in right_cols.items()])
     whole = F.struct(*left.columns)
     lefts = left.select(*by, on, F.lit(1).alias("__side"), whole.alias("__row"))
-    rights = right.select(*by, on, F.lit(0).alias("__side"), found.alias("__found"))
+    dated = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, on)])
+    rights = right.filter(dated).select(*by, on, F.lit(0).alias("__side"), found.alias("__found"))
     stacked = rights.unionByName(lefts, allowMissingColumns=True)
     seen = hotkeys.scan(
         stacked,
@@ -109,7 +111,7 @@ def interval_join(
     Adaptive execution splits a bucket that is still hot.  Streams have none: there
     ``salts`` spreads a bucket's left rows and lists its right rows once per salt.
     """
-    width = int(within.total_seconds() * 1_000_000)
+    width = max(1, int(within.total_seconds() * 1_000_000))
     bucket = F.floor(_micros(F.col(left_ts)) / F.lit(width))
     looking = left.withColumn("__lb", F.explode(F.array(bucket, bucket + 1)))
     held = right.withColumn("__rb", F.floor(_micros(F.col(right_ts)) / F.lit(width)))

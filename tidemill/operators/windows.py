@@ -16,11 +16,22 @@ from tidemill.operators.hotkeys import HOT_ROWS
 FRAME_ROWS = 10_000
 
 
-def top_k(df: DataFrame, by: Sequence[str], order_by: Sequence[Column], k: int) -> DataFrame:
+def top_k(
+    df: DataFrame,
+    by: Sequence[str],
+    order_by: Sequence[Column],
+    k: int,
+    max_rows: int | None = HOT_ROWS,
+) -> DataFrame:
     """The first ``k`` rows per key, numbered in ``rn``.
 
-    Each task keeps ``k`` rows per key before the shuffle (window group limit).
+    Each task keeps ``k`` rows per key before the shuffle (window group limit).  Spark
+    does so up to a limit on ``k``; above it rows are numbered by a chunked scan.
     """
+    most = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if k > most:
+        numbered = hotkeys.number_rows(df, by, order_by, "rn", max_rows)
+        return numbered.withColumn("rn", F.col("rn").cast("int")).filter(F.col("rn") <= k)
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order_by))
     return df.withColumn("rn", place).filter(F.col("rn") <= k)
 
@@ -134,10 +145,15 @@ def moving_sum(
     the part of the oldest cell at or after ``ts - span``, the whole cells between,
     and the part of the row's own cell up to ``ts``: sums only, no differences of
     large totals.  The two parts are scans per (key, cell), themselves chunked where
-    a cell is above ``max_rows``.
+    a cell is above ``max_rows``.  Where the span can't be cut into ``cells`` whole
+    microseconds, the next smaller number is taken.  Rows without a time have the sum
+    of their key's rows without a time.
     """
-    hot = hotkeys.find(df, by, frame_rows)
     micros = int(span.total_seconds() * 1_000_000)
+    if micros < 1 or cells < 1:
+        raise ValueError("the span and the number of cells must be positive")
+    cells = next(n for n in range(min(cells, micros), 0, -1) if micros % n == 0)
+    hot = hotkeys.find(df, by, frame_rows)
     days = span / timedelta(days=1)
     frame = (
         f"sum({col}) OVER (PARTITION BY {', '.join(by)} ORDER BY {ts} RANGE BETWEEN"
@@ -151,9 +167,11 @@ def moving_sum(
         return out
 
     width = micros // cells
-    if width * cells != micros:
-        raise ValueError("the span must be a whole number of cells")
-    large = hot.hot_rows(df).drop("__key")
+    type_ = out.schema[name].dataType
+    every = hot.hot_rows(df).drop("__key")
+    large, undated = every.filter(F.col(ts).isNotNull()), every.filter(F.col(ts).isNull())
+    sums = undated.groupBy(*by).agg(F.sum(col).cast(type_).alias(name))
+    out = out.unionByName(_left_null_safe(undated, sums, by))
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     points = large.groupBy(*by, at.alias("__t")).agg(F.sum(col).alias("__v"))
     points = points.withColumn("__cell", F.floor(F.col("__t") / F.lit(width)))
@@ -186,7 +204,7 @@ def moving_sum(
     amounts = [F.col(c) for c in ("__tail", "__middle", "__head")]
     known = F.coalesce(*amounts).isNotNull()
     total = sum((F.coalesce(a, F.lit(0)) for a in amounts[1:]), F.coalesce(amounts[0], F.lit(0)))
-    parts = parts.select(*by, "__t", F.when(known, total).alias(name))
+    parts = parts.select(*by, "__t", F.when(known, total).cast(type_).alias(name))
     placed = _left_null_safe(large.withColumn("__t", at), parts, [*by, "__t"])
     return out.unionByName(placed.drop("__t"))
 

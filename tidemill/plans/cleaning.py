@@ -101,7 +101,8 @@ def dedup_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def standardize_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names cleaned and part types mapped to codes."""
     parts = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    return clean.standardize(parts, {"p_name": None, "p_type": PART_TYPE_CODES})
+    codes = spark.createDataFrame(list(PART_TYPE_CODES.items()), "value string, code string")
+    return clean.standardize(parts, {"p_name": None, "p_type": codes})
 
 
 @query(
@@ -194,7 +195,7 @@ def redact_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.redact(spread(documents), "text")
 
 
-_PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
+_PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 @query(
@@ -208,7 +209,7 @@ _PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orde
 )
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, nulls, distinct values and range of the order columns."""
-    return quality.profile(read_table(spark, sf_dir, "orders").select(*_PROFILED))
+    return quality.profile(read_table(spark, sf_dir, "orders"))
 
 
 @query(

@@ -3,9 +3,11 @@
 ``checked`` holds every landed line by day and outcome - accepted, rejected with
 its reasons, or malformed - so the landing files are parsed once; ``events`` holds
 the accepted rows without copies; ``mart`` counts them by region.  Every layer is
-a Parquet table partitioned by day.  A run writes the days it is given and replaces
-only their folders, so running a day again leaves the same rows, and a run that
-died half-way is simply repeated.
+a Parquet table partitioned by day.  A run replaces the folders of all days it is
+given, so running a day again, with corrected input or none that is valid, leaves what
+a first run would, and a run that died half-way is simply repeated.  A folder is only
+replaced by one with rows, so each day has one more row whose ``present`` is false;
+``read_layer`` leaves it out.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from tidemill.sources.ingest import parse_lines
 from tidemill.sources.tables import read_table
 
 
-def land(events: DataFrame, landing: str) -> None:
-    """Events as JSON lines, one folder per day."""
-    days = events.withColumn("day", F.to_date("ts"))
+def land(events: DataFrame, landing: str, day: str | None = None) -> None:
+    """Events as JSON lines, one folder per day; those without a time go to ``day``."""
+    days = events.withColumn("day", F.coalesce(F.to_date("ts"), F.lit(day).cast("date")))
     text = days.select("day", F.to_json(F.struct(*events.columns)).alias("value"))
     text.hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").text(landing)
 
@@ -41,7 +43,7 @@ def run_daily(
     files = f"{landing}/day={{{','.join(days)}}}"
     rules = {"known_user": F.col("user_id") >= 0, "value_over_one": F.col("value") > 1}
     outcome = (
-        F.when(F.col("malformed"), "malformed")
+        F.when(F.col("malformed") | F.col("ts").isNull(), "malformed")
         .when(F.size("reasons") > 0, "rejected")
         .otherwise("accepted")
     )
@@ -54,14 +56,10 @@ def run_daily(
         .withColumn("raw", F.when(F.col("outcome") != "accepted", F.col("raw")))
         .drop("malformed")
     )
-    write_partitioned(checked, f"{out}/checked", ["day", "outcome"], dynamic=True)
-
-    accepted = _layer(spark, f"{out}/checked", checked, days).filter("outcome = 'accepted'")
+    accepted = _replace(spark, checked, f"{out}/checked", days).filter("outcome = 'accepted'")
     good = accepted.select(*TABLES["events"].names, "day")
     unique = clean.dedup_latest(good, ["day", "event_id"], [F.col("ts").desc()])
-    write_partitioned(unique, f"{out}/events", ["day"], dynamic=True)
-
-    kept = _layer(spark, f"{out}/events", unique, days)
+    kept = _replace(spark, unique, f"{out}/events", days)
     # Reduced per user first: a busy user is a few rows in the join.
     per_user = kept.groupBy("day", "event_type", "user_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")
@@ -71,12 +69,22 @@ def run_daily(
         .groupBy("day", "r_name", "event_type")
         .agg(F.sum("n").alias("n_events"), F.sum("value").alias("value"))
     )
-    write_partitioned(mart, f"{out}/mart", ["day"], dynamic=True)
+    _replace(spark, mart, f"{out}/mart", days)
+
+
+def _replace(spark: SparkSession, rows: DataFrame, path: str, days: Sequence[str]) -> DataFrame:
+    """Write the given days of a layer in place of what was there, and read them back."""
+    marks = spark.createDataFrame([(d,) for d in days], "day string")
+    marks = marks.select(F.col("day").cast("date").alias("day"), F.lit(False).alias("present"))
+    whole = rows.withColumn("present", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    write_partitioned(whole, path, ["day"], dynamic=True)
+    back = spark.read.schema(whole.schema).parquet(path).filter("present").select(rows.columns)
+    return back.filter(F.col("day").isin(*[F.lit(d).cast("date") for d in days]))
 
 
-def _layer(spark: SparkSession, path: str, like: DataFrame, days: Sequence[str]) -> DataFrame:
-    rows = spark.read.schema(like.schema).parquet(path)
-    return rows.filter(F.col("day").isin(*[F.lit(d).cast("date") for d in days]))
+def read_layer(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """All rows of ``checked``, ``events`` or ``mart``."""
+    return spark.read.parquet(f"{out}/{name}").filter("present").drop("present")
 
 
 def customer_star(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +114,12 @@ def elt_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events")
     land(events, landing)
     land(events.filter("event_type = 'purchase'"), landing)
-    days = [r[0] for r in events.select(F.to_date("ts").cast("string")).distinct().collect()]
-    days.sort()
+    dated = events.filter("ts IS NOT NULL").select(F.to_date("ts").cast("string"))
+    days = sorted(r[0] for r in dated.distinct().collect())
     star, half = customer_star(spark, sf_dir), len(days) // 2
     run_daily(spark, landing, star, out, days[: half + 1])
     run_daily(spark, landing, star, out, days[half:])
-    mart = spark.read.parquet(f"{out}/mart")
+    mart = read_layer(spark, out, "mart")
     return mart.select(
         F.col("day").cast("timestamp_ntz").alias("day"),
         "r_name",

@@ -87,15 +87,14 @@ def spending(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """,
 )
 def grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events reduced in Python, large users in slices; then combined."""
+    """Each user's events reduced in Python, large users in slices that are then combined."""
     events = read_table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    partial = udf.map_groups(
+    per_user = udf.map_groups(
         events,
         ["user_id"],
         spending,
         "user_id bigint, n bigint, total double, largest double",
         spread_by="event_id",
+        merge={"n": F.sum, "total": F.sum, "largest": F.max},
     )
-    return partial.groupBy("user_id").agg(
-        F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"), F.max("largest").alias("largest")
-    )
+    return per_user.withColumn("total", F.round("total", 2))

@@ -105,7 +105,7 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("compact_files", "SELECT * FROM lineitem")
 def compact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items in many files rewritten into two."""
+    """Line items in many files rewritten into as few as their size asks for."""
     small, large = fresh_path(spark, "lines-small-files"), fresh_path(spark, "lines-compacted")
     read_table(spark, sf_dir, "lineitem").repartition(16).write.parquet(small)
-    return files.compact(spark, small, large, 2)
+    return files.compact(spark, small, large)

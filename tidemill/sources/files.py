@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import timedelta
 
@@ -41,15 +42,24 @@ def load_incremental(
     ts_col: str,
     keys: Sequence[str] = (),
     overlap: timedelta | None = None,
+    undated: str = "refuse",
 ) -> DataFrame:
     """Append the rows of ``src`` newer than anything at ``target_path``.
 
     A rerun adds nothing.  Rows that arrive later with a time at or before the
     high-water mark are missed, unless ``overlap`` says how far back to look and
     ``keys`` tell which of those rows the target already has.  Rows whose contents
-    change need ``upsert`` instead.
+    change need ``upsert`` instead.  Rows without a time fit no mark: the load fails
+    before it adds anything, or with ``undated="skip"`` every load leaves them out.
     """
-    spark = src.sparkSession
+    if undated not in ("refuse", "skip"):
+        raise ValueError(f"unknown choice: {undated}")
+    spark, schema = src.sparkSession, src.schema
+    if undated == "skip":
+        src = src.filter(F.col(ts_col).isNotNull())
+    else:
+        message = F.raise_error(F.lit(f"a row has no {ts_col}")).cast(schema[ts_col].dataType)
+        src = src.withColumn(ts_col, F.when(F.col(ts_col).isNull(), message).otherwise(F.col(ts_col)))
     target = read_if_present(spark, target_path)
     mark = target.agg(F.max(ts_col)).first()[0] if target is not None else None
     if mark is None:
@@ -63,11 +73,15 @@ def load_incremental(
         known = target.filter(recent).select(*keys).distinct()
         fresh = src.filter(recent).join(known, list(keys), "left_anti")
     fresh.write.mode("append").parquet(target_path)
-    return spark.read.schema(src.schema).parquet(target_path)
+    return spark.read.schema(schema).parquet(target_path)
 
 
-def compact(spark: SparkSession, path_in: str, path_out: str, n_files: int) -> DataFrame:
-    """The same rows in ``n_files`` files of about equal size."""
+def compact(
+    spark: SparkSession, path_in: str, path_out: str, file_bytes: int = 256 << 20
+) -> DataFrame:
+    """The same rows in files of about ``file_bytes``, as many as the input's size asks for."""
     rows = spark.read.parquet(path_in)
-    rows.repartition(n_files).write.mode("errorifexists").parquet(path_out)
+    files = rows.select("_metadata.file_path", "_metadata.file_size").distinct()
+    total = files.agg(F.sum("file_size")).first()[0] or 0
+    rows.repartition(max(1, math.ceil(total / file_bytes))).write.mode("errorifexists").parquet(path_out)
     return spark.read.schema(rows.schema).parquet(path_out)

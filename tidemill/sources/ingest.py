@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,25 +42,42 @@ def parse_lines(
     """Every line typed by ``schema``, with its raw text, its file and ``malformed``.
 
     CSV and JSON hold one record per line, which is what lets a large file be
-    split.  With ``header`` a CSV line that repeats the column names is skipped.
+    split.  With ``header`` the first line names the columns: they are found by name, in
+    any order and quoted or not, those it lacks are null, and an unknown name is an error.
+    All files of one call have the same header.  A blank line is a null record of a
+    one-column CSV and no record anywhere else.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    target = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    fields = list(schema.fields)
     lines = spark.read.text(path).select(
         F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_file")
     )
-    lines = lines.filter(F.trim("raw") != "")
+    if fmt == "json" or len(fields) > 1:
+        lines = lines.filter(F.trim("raw") != "")
     if fmt == "csv":
         if header:
-            lines = lines.filter(F.col("raw") != sep.join(schema.fieldNames()))
+            names = spark.read.option("header", True).option("sep", sep).csv(path).columns
+            unknown = [n for n in names if n not in schema.fieldNames()]
+            if unknown:
+                raise ValueError(f"columns that the schema lacks: {unknown}")
+            fields = [schema[n] for n in names]
+            texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
+            as_text = F.from_csv("raw", _ddl(texts), {"sep": sep})
+            is_header = [F.coalesce(as_text[n] == n, F.lit(False)) for n in names]
+            lines = lines.filter(~reduce(lambda a, b: a & b, is_header, F.lit(True)))
+        target = T.StructType([*fields, T.StructField(_BAD, T.StringType())])
         parsed = F.from_csv("raw", _ddl(target), options | {"sep": sep})
     elif fmt == "json":
-        parsed = F.from_json("raw", target, options)
+        parsed = F.from_json("raw", T.StructType([*fields, T.StructField(_BAD, T.StringType())]), options)
     else:
         raise ValueError(f"unknown format: {fmt}")
     lines = lines.withColumn("parsed", parsed)
+    read = {f.name for f in fields}
     return lines.select(
-        *[F.col(f"parsed.`{c}`") for c in schema.fieldNames()],
+        *[
+            F.col(f"parsed.`{f.name}`") if f.name in read else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ],
         "raw",
         "source_file",
         F.col(f"parsed.{_BAD}").isNotNull().alias("malformed"),
