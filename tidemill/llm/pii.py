@@ -23,8 +23,6 @@ NEAR = 80
 SUPPORT = 3
 #: Share of an entity's information from which a term discloses it.
 ALPHA = 0.9
-#: So many terms are sent to every executor; more are met by a shuffle.
-BROADCAST_TERMS = 100_000
 
 # The kinds in their order and the patterns that find them.  Possessive
 # forms and the look-behind change nothing in what is found: they only keep long runs of
@@ -142,10 +140,14 @@ def _near_terms(found: DataFrame) -> DataFrame:
 
 
 def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term and n_t, the documents whose text has the term, counted over the whole corpus."""
+    """term and n_t, the documents whose text has the term, counted over the whole corpus.
+
+    All words are counted, combined before the shuffle, and the terms looked up after:
+    a common word among the terms is then one row, not one per document.
+    """
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}'-]+"))
-    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    return docs.select(F.explode(words).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    return counts.join(terms, "term")
 
 
 def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
