@@ -101,8 +101,8 @@ def test_stream_joins(feed, as_rows):
     )
     assert as_rows(run.result_of(joined, "j"), "id", "b") == [(1, 2), (1, 5)]
     dim = feed.spark.createDataFrame([(1, "one")], "k bigint, name string")
-    for broadcast_rows in (10, 0):
-        enriched = ops.stream_enrich(feed.stream(), dim, {"user": "k"}, broadcast_rows, salts=3)
+    for broadcast_bytes in (1000, 0):
+        enriched = ops.stream_enrich(feed.stream(), dim, {"user": "k"}, broadcast_bytes, salts=3)
         wide = run.result_of(enriched, "e")
         assert wide.columns == ["id", "user", "ts", "kind", "k", "name"]
         assert sorted((r.id, r.name or "") for r in wide.collect()) == [
@@ -148,3 +148,11 @@ def test_upsert_sink_replays_without_effect(feed, as_rows, tmp_path):
     )
     run.upsert_sink(path, ["user"], order)(batch, 1)
     assert table() == [(1, "y"), (2, "new")]
+
+
+def test_state_is_kept_on_disk_and_batches_are_bounded(spark, sf_dir):
+    from tidemill.session import SQL_SETTINGS
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    assert spark.conf.get(provider) == SQL_SETTINGS[provider] and "RocksDB" in SQL_SETTINGS[provider]
+    assert run.MAX_FILES >= 1

@@ -138,11 +138,10 @@ def stream_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     landing, out = fresh_path(spark, "landing-late"), fresh_path(spark, "on-time")
     checkpoint = fresh_path(spark, "on-time-checkpoint")
-    dropped = 0
     for delivery in deliveries:
         # Appended to what landed before; the stream restarts and reads the new files.
         delivery.write.mode("append").parquet(landing)
-        dropped += ops.late_report(
+        dropped = ops.late_report(
             spark, landing, TABLES["events"], ["event_id"], "ts", DAY, out, checkpoint
         )
     kept = spark.read.schema("event_id bigint").parquet(out)

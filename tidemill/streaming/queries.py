@@ -17,8 +17,12 @@ from tidemill.operators.clean import dedup_latest
 from tidemill.session import fresh_path
 
 
+# Files of one micro-batch: a backlog is worked off in batches, not in one.
+MAX_FILES = 1000
+
+
 def read_stream(
-    spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None
+    spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = MAX_FILES
 ) -> DataFrame:
     """Parquet files as they arrive; ``timestamp_ntz`` columns become ``timestamp``."""
     reader = spark.readStream.schema(schema)
