@@ -125,3 +125,19 @@ def test_codes_from_a_table(spark, as_rows):
     by_table = clean.standardize(df, {"c": codes})
     assert as_rows(by_table) == [(1, "R", True), (2, "blue", False), (3, None, False)]
     assert as_rows(by_table) == as_rows(clean.standardize(df, {"c": {"red": "R", "green": "G"}}))
+
+
+def test_hot_plans_read_the_source_at_most_twice(spark, odd, tmp_path):
+    """Once for ordinary keys; hot rows were read before, when they were written out."""
+    odd.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plans = [
+        windows.ranks(df, ["k"], "v", "id", 4, 20),
+        aggregate.percentiles(df, ["k"], "v", {"p": 0.5}, max_rows=20),
+        windows.moving_sum(df, ["k"], "ts", "v", timedelta(hours=1), frame_rows=20, max_rows=15),
+    ]
+    for plan in plans:
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("id#") and plan.inputFiles()
+        scans = plan._jdf.queryExecution().executedPlan().toString().count(f"{tmp_path}/t")
+        assert scans <= 2, scans

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import hotkeys
 from tidemill.operators.hotkeys import HOT_ROWS
+from tidemill.session import stage
 
 
 def summarize(df: DataFrame, by: Sequence[str], measures: dict[str, Column]) -> DataFrame:
@@ -80,9 +81,10 @@ def percentiles(
     if hot is None:
         return out
 
-    large = hot.hot_rows(values)
+    # Read from the source once; what follows reads the hot rows only.
+    large = stage(hot.hot_rows(values).drop("__key"), "hot-rows")
     counts = large.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    upto = hotkeys.scan(counts, by, ["__v"], {"__upto": hotkeys.running_sum(F.col("__n"))}, hot)
+    upto = hotkeys.scan(counts, by, ["__v"], {"__upto": hotkeys.running_sum(F.col("__n"))}, hot, all_hot=True)
     totals = large.groupBy(*[F.col(c).alias(f"__t_{c}") for c in by]).agg(
         F.count(F.lit(1)).alias("__total")
     )

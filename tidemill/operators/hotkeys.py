@@ -176,11 +176,13 @@ def scan(
     order_by: Order,
     steps: dict[str, Step],
     hot: HotKeys | None,
+    all_hot: bool = False,
 ) -> DataFrame:
     """``df`` with one column per step, computed in order within each key.
 
     ``order_by`` should decide the order fully: rows it leaves tied come in any
-    order, as in any window.
+    order, as in any window.  With ``all_hot`` every row of ``df`` is of a hot key and
+    ordinary keys are not looked for.
     """
     window = Window.partitionBy(*by).orderBy(*order_by)
     plain = df if hot is None else hot.cold_rows(df)
@@ -209,7 +211,7 @@ def scan(
             for n, s in steps.items()
         ],
     )
-    return plain.unionByName(scanned)
+    return scanned if all_hot else plain.unionByName(scanned)
 
 
 def number_rows(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import hotkeys
 from tidemill.operators.hotkeys import HOT_ROWS
+from tidemill.session import stage
 
 
 # Rows of one key up to which a sliding frame is added up row by row.
@@ -76,12 +77,14 @@ def ranks(
     if hot is None:
         return out
 
-    large = hot.hot_rows(df).drop("__key")
-    numbered = hotkeys.scan(large, by, [value, tie], {"__rn": hotkeys.row_number()}, hot)
+    # Read from the source once; what follows reads the hot rows only.
+    large = stage(hot.hot_rows(df).drop("__key"), "hot-rows")
+    number = hotkeys.row_number()
+    numbered = hotkeys.scan(large, by, [value, tie], {"__rn": number}, hot, all_hot=True)
     distinct = numbered.groupBy(*by, value).agg(
         F.min("__rn").alias("__first"), F.max("__rn").alias("__last")
     )
-    distinct = hotkeys.scan(distinct, by, [value], {"__dense": hotkeys.row_number()}, hot)
+    distinct = hotkeys.scan(distinct, by, [value], {"__dense": number}, hot, all_hot=True)
     totals = large.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     distinct = _left_null_safe(distinct, totals, by)
     placed = _left_null_safe(numbered, distinct, [*by, value])
@@ -168,7 +171,7 @@ def moving_sum(
 
     width = micros // cells
     type_ = out.schema[name].dataType
-    every = hot.hot_rows(df).drop("__key")
+    every = stage(hot.hot_rows(df).drop("__key"), "hot-rows")
     large, undated = every.filter(F.col(ts).isNotNull()), every.filter(F.col(ts).isNull())
     sums = undated.groupBy(*by).agg(F.sum(col).cast(type_).alias(name))
     out = out.unionByName(_left_null_safe(undated, sums, by))
