@@ -29,7 +29,7 @@ def _run(fn):
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": Query(_run(mixing.op1), mixing.SQL),
     "op2_pii": Query(_run(pii.op2), None),
-    "op3_line_rules": Query(_run(line_rules.op3), None),
+    "op3_line_rules": Query(_run(line_rules.op3), line_rules.SQL),
     "op4_toxicity": Query(_run(toxicity.op4), None),
     "op5_quality": Query(_run(quality_net.op5), None),
     "op6_suffix_blocks": Query(_run(suffix_blocks.op6), None),
