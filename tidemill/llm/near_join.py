@@ -426,3 +426,29 @@ def op8(spark, sf_dir: str) -> DataFrame:
     from tidemill.sources.tables import read_table
 
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+# All pairs that share a shingle, compared exactly; ids are unique in the given tables.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+starts AS (
+  SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM d WHERE len(words) > 0),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS g FROM starts),
+sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (
+  SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+counts AS (
+  SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM classes LEFT JOIN counts USING (doc_id)
+"""

@@ -34,7 +34,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": Query(_run(quality_net.op5), None),
     "op6_suffix_blocks": Query(_run(suffix_blocks.op6), None),
     "op7_language": Query(_run(language.op7), None),
-    "op8_near_join": Query(_run(near_join.op8), None),
+    "op8_near_join": Query(_run(near_join.op8), near_join.SQL),
     "op9_main_text": Query(_run(html_text.op9), None),
     "op10_templates": Query(_run(templates.op10), None),
 }
