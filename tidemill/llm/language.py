@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.html_text import extract
@@ -66,15 +66,29 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[lis
         F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)
     )
     langs = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    counts = np.full((BUCKETS, max(1, len(langs))), 0.05)
-    ids = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("_o"))
-    for i, lang in enumerate(sorted(langs)):
-        picked = ids.where(F.col("lang") == lang).orderBy("_o", "doc_id").limit(per_language).select("doc_id")
-        # At most per_language ids: safe to broadcast.
-        rows = usable.where(F.col("lang") == lang).join(F.broadcast(picked.distinct()), "doc_id").select("text")
-        for r in rows.limit(per_language).toPandas()["text"]:
-            counts[:, i] += np.bincount(trigrams(r), minlength=BUCKETS)
-    return sorted(langs) or ["und"], np.log(counts / counts.sum(0)).astype(np.float32)
+    langs = sorted(langs) or ["und"]
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = usable.where(F.col("lang").isin(langs)).select("lang", "doc_id", F.row_number().over(first).alias("_rn"))
+    # At most per_language ids of each of MAX_LANGUAGES: safe to broadcast.
+    picked = ids.where(F.col("_rn") <= per_language).select("lang", "doc_id").distinct()
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"]):
+                seen = np.bincount(trigrams(text), minlength=BUCKETS)
+                sums[lang] = sums[lang] + seen if lang in sums else seen
+        for lang, total in sums.items():
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
+
+    rows = usable.join(F.broadcast(picked), ["lang", "doc_id"]).select("lang", "text")
+    found = rows.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = np.full((BUCKETS, len(langs)), 0.05)
+    # At most BUCKETS rows per language.
+    for lang, part in found.toPandas().groupby("lang"):
+        counts[part["bucket"], langs.index(lang)] += part["n"]
+    return langs, np.log(counts / counts.sum(0)).astype(np.float32)
 
 
 def _evidence(texts: DataFrame, table: np.ndarray, column: Column, is_html: bool) -> DataFrame:
