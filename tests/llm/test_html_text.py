@@ -11,8 +11,8 @@ def test_parts_that_are_left_out():
     page = (
         "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='<p>no</p>';</script></head><body>"
         "<header><h1>Site</h1></header><nav><ul><li><a href=x>menu</a></ul></nav>"
-        "<div class='cookie-notice'>We use cookies</div><div class=\"ad\">Buy now</div>"
-        f"<article><header><h1>Head&amp;line</h1></header><p>{LONG}<p>Two&nbsp;  words\n<b>bold</b><br>next"
+        "<div class='cookie-notice'>We use cookies</div><div id=page-header>Welcome to the site</div><div class=\"ad\">Buy now</div>"
+        f"<article class='side-by-side'><header><h1>Head&amp;line</h1></header><p>{LONG}<p>Two&nbsp;  words\n<b>bold</b><br>next"
         "<form><input><button>Send</button></form><ul><li>one<li>two</ul><!-- <p>hidden</p> --></article>"
         f"<section class='comments'><p>{LONG}</p></section><aside>{LONG}</aside><footer>&copy; me</footer></body></html>"
     )

@@ -43,12 +43,14 @@ CLOSES = {
 #: Words in a class, id or role that mark menus, notices, adverts and comments.
 NOISE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion"
-    r"|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|widget|footer|masthead|cookie|cookies"
+    r"|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|footer|masthead|cookie|cookies"
     r"|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related"
     r"|recommended|comment|comments|disqus|respond|reply|replies|pagination|pager|toolbar|search|copyright)"
     r"(?:$|[\s_-])",
     re.I,
 )
+#: Words that do so outside the article only.
+OUTER_WORDS = re.compile(r"(?:^|[\s_-])(?:header|topbar)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>",
@@ -82,6 +84,8 @@ class Page:
         if not drop and attrs and tag not in ("html", "body", "article", "main"):
             marks = " ".join(a or b or c for a, b, c in _MARKS.findall(attrs))
             drop = bool((marks and NOISE_WORDS.search(marks)) or _HIDDEN.search(attrs))
+            if marks and not drop and OUTER_WORDS.search(marks):
+                drop = not any(self.tag[i] in ("article", "main") for i in stack)
         self.tag.append(tag)
         self.parent.append(stack[-1])
         self.drop.append(drop)
