@@ -61,7 +61,7 @@ def test_map_groups_cuts_large_groups(spark, as_rows):
     assert {k: n for k, (n, _) in whole.items()} == {k: n for k, (n, _) in cut.items()}
 
 
-PYTHON = {"udf_scalar", "udaf_median", "udtf_tokens", "grouped_map", "stream_user_state"}
+PYTHON = {"udf_scalar", "udaf_median", "udtf_tokens", "grouped_map"}
 # These write files or run streams while they are built; their plans are read-backs.
 EAGER = {"ingest_typed", "write_partitioned", "load_incremental", "upsert", "compact_files", "elt_daily"}
 
@@ -114,6 +114,8 @@ def test_shared_folder(spark):
     assert session.fresh_path(on_cluster, "x").startswith("hdfs://name/place/x-")
     with pytest.raises(ValueError):
         session.shared_dir(FakeSession("spark://host:7077"))
+    with pytest.raises(ValueError):
+        session.shared_dir(FakeSession("local-cluster[2,1,1024]"))
 
 
 def test_every_query_has_sql_or_a_reason():

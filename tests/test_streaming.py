@@ -156,3 +156,16 @@ def test_state_is_kept_on_disk_and_batches_are_bounded(spark, sf_dir):
     provider = "spark.sql.streaming.stateStore.providerClass"
     assert spark.conf.get(provider) == SQL_SETTINGS[provider] and "RocksDB" in SQL_SETTINGS[provider]
     assert run.MAX_FILES >= 1
+
+
+def test_totals_go_on_after_a_restart(feed, tmp_path):
+    path = str(tmp_path / "totals")
+
+    def totals():
+        return ops.stream_totals(feed.stream(), "user", "ts", "id", "kind")
+
+    for rows in ([row(1, 1, 5, "x"), row(2, 1, 3, "y"), row(3, None, 1, "n")], [row(4, 1, 5, "z"), row(5, 2, 0, "q")]):
+        feed.deliver(rows)
+        run.run_upserts(totals(), path, feed.checkpoint, ["user"], ["n_events"], mode="update")
+    got = run.read_upserted(feed.spark, path, totals().schema, ["user"], ["n_events"]).collect()
+    assert {(r.user, r.n_events, r.last_event) for r in got} == {(1, 3, "z"), (2, 1, "q"), (None, 1, "n")}

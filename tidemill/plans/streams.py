@@ -15,7 +15,6 @@ from tidemill.session import fresh_path
 from tidemill.sources.tables import read_table
 from tidemill.streaming import operators as ops
 from tidemill.streaming import queries as run
-from tidemill.streaming.state import merge_state, stream_state
 
 HOUR, DAY = timedelta(hours=1), timedelta(days=1)
 
@@ -110,11 +109,11 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def stream_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events and last event per user from custom state."""
-    snapshots = stream_state(
-        _events(spark, sf_dir), "user_id", "ts", "event_id", "event_type", HOUR, timedelta(days=10)
-    )
-    return merge_state(run.result_of(snapshots, "stream-state"), "user_id").drop("expired")
+    """Events and last event per user, kept up to date by a keyed sink."""
+    path, checkpoint = fresh_path(spark, "user-state"), fresh_path(spark, "user-state-checkpoint")
+    totals = ops.stream_totals(_events(spark, sf_dir), "user_id", "ts", "event_id", "event_type")
+    run.run_upserts(totals, path, checkpoint, ["user_id"], ["n_events"], mode="update")
+    return run.read_upserted(spark, path, totals.schema, ["user_id"], ["n_events"])
 
 
 @query(

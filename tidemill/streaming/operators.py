@@ -49,6 +49,17 @@ def stream_sessions(
     )
 
 
+def stream_totals(sdf: DataFrame, by: str, ts: str, id_col: str, event: str) -> DataFrame:
+    """Events so far and the last event of each key, for update mode into the keyed sink.
+
+    A built-in aggregate: combined before the shuffle, so a busy key is a row per task.
+    Runs of a key that inactivity has closed are ``stream_sessions``.
+    """
+    last = F.max(F.struct(ts, id_col, F.col(event).alias("last_event")))
+    totals = sdf.groupBy(by).agg(F.count(F.lit(1)).alias("n_events"), last.alias("last"))
+    return totals.select(by, "n_events", "last.last_event")
+
+
 def stream_dedup(
     sdf: DataFrame, keys: Sequence[str], ts: str, delay: timedelta, salts: int = 8
 ) -> DataFrame:

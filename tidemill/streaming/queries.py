@@ -91,10 +91,17 @@ def read_upserted(
 
 
 def run_upserts(
-    sdf: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order_by: Sequence[str]
+    sdf: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    mode: str = "append",
 ) -> StreamingQuery:
+    """Run a stream into the keyed sink; ``mode="update"`` for aggregates that go on changing."""
     query = (
         sdf.writeStream.foreachBatch(upsert_sink(path, keys, order_by))
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
