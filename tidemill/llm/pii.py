@@ -11,6 +11,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,10 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _hinted(kind: str, text: Column) -> Column:
+    return text.contains("@") if kind == "email" else text.rlike(HINTS[kind])
+
+
 def _spans(kind: str, text: Column) -> Column:
     """Valid matches as an array of (start, end, kind, value, left, right).
 
@@ -89,9 +95,8 @@ def _spans(kind: str, text: Column) -> Column:
     )
     places = F.sequence(F.lit(0), F.size(found) - 1)
     spans = F.aggregate(places, start, step, lambda acc: acc["o"])
-    hint = text.contains("@") if kind == "email" else text.rlike(HINTS[kind])
     # Nested, so that nothing but the hint is worked out for texts without one.
-    return F.when(hint, F.when(F.size(found) > 0, spans)).otherwise(none)
+    return F.when(_hinted(kind, text), F.when(F.size(found) > 0, spans)).otherwise(none)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -203,7 +208,10 @@ def _joined(kinds: tuple[str, ...]) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind, such as <EMAIL>; overlapping spans by the first."""
+    """``docs`` with every span of ``text`` replaced by its kind, such as <EMAIL>; overlapping spans by the first.
+
+    Texts that no pattern can match have no spans of any kind; they pass without a join.
+    """
     found = find(docs)
     empty = F.array().cast("array<struct<s:int,k:int,e:int>>")
     every = F.array_sort(F.concat(*[
@@ -211,7 +219,8 @@ def redact(docs: DataFrame) -> DataFrame:
         for k in KINDS
     ]))
     spans = found.select("_k1", "_k2", every.alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_k1", "_k2"])
-    keyed = docs.select("*", *content_key("doc_id", "text"))
+    possible = F.coalesce(reduce(lambda a, b: a | b, [_hinted(k, F.col("text")) for k in KINDS[:4]]), F.lit(False))
+    keyed = docs.where(possible).select("*", *content_key("doc_id", "text"))
     marks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
     def step(acc: Column, x: Column) -> Column:
@@ -227,9 +236,10 @@ def redact(docs: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("o"))
     tail = lambda acc: F.concat(F.array_join(acc["o"], ""), F.substring("text", acc["p"] + 1, F.length("text")))
     changed = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", zero, step, tail))
-    return keyed.join(spans, ["_k1", "_k2"], "left").select(
+    masked = keyed.join(spans, ["_k1", "_k2"], "left").select(
         *[changed.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     )
+    return docs.where(~possible).unionByName(masked)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

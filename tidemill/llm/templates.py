@@ -175,7 +175,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without documents into which an item has leaked."""
-    gone = leaks(docs, benchmark).select("_k1", "_k2").distinct()
+    # Written, so that Spark knows its size when it picks the join.
+    gone = stage(leaks(docs, benchmark).select("_k1", "_k2").distinct(), "leaked-documents")
     keyed = docs.select("*", *content_key("doc_id", "text"))
     return keyed.join(gone, ["_k1", "_k2"], "left_anti").select(docs.columns)
 
