@@ -159,6 +159,13 @@ def pairs(
       one outside the ``min_n - 1`` largest of either, so those are left out when
       candidates are formed - the very largest groups never form any - and the
       surviving candidates are counted exactly afterwards.
+
+    The candidates of large groups number half the sum, over groups, of the squared
+    number of items for which the group is not among their ``min_n - 1`` largest.  Ten
+    groups of ``n`` items, each item in three and ``min_n`` 3, form about
+    ``10 * (n / 3) ** 2 / 2``: the result itself can be of that size.  A pair that can't
+    reach ``min_n`` with all the large groups of its rarer item is dropped before it is
+    counted.
     """
     rows = df.select(F.col(group).alias("g"), F.col(item).alias("i")).dropna()
     # A group with few rows has few items; only the others need their items counted.
@@ -181,6 +188,14 @@ def pairs(
     only_large = _paired(prefix).distinct().withColumn("n", F.lit(0).cast("bigint"))
     # Pairs of small groups and candidates of large ones meet in one row per pair.
     known = counted.unionByName(only_large).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    in_groups = in_large.groupBy("i").agg(F.count(F.lit(1)).alias("d"))
+    most = F.col("n") + F.least(F.coalesce("da", F.lit(0)), F.coalesce("db", F.lit(0)))
+    known = (
+        known.join(in_groups.select(F.col("i").alias("a"), F.col("d").alias("da")), "a", "left")
+        .join(in_groups.select(F.col("i").alias("b"), F.col("d").alias("db")), "b", "left")
+        .filter(most >= min_n)
+        .select("a", "b", "n")
+    )
     known = stage(known, "known-pairs")
     return _add_large(known, in_large.select("i", "g")).filter(F.col("n") >= min_n)
 
