@@ -108,10 +108,10 @@ class TextCNN:
             place.append(r)
         return np.hstack(best), place
 
-    def fit(self, texts: list[list[str]], y: np.ndarray, weight: np.ndarray, seed: int = 11) -> None:
+    def fit(self, texts: Iterable[list[str]], y: np.ndarray, weight: np.ndarray, seed: int = 11) -> None:
         """Minibatch Adam on the weighted logistic loss."""
         vocab: dict[str, int] = {"": 0}
-        docs = [np.array([vocab.setdefault(w, len(vocab)) for w in t] + [0] * max(WIDTHS), np.int64) for t in texts]
+        docs = [np.array([vocab.setdefault(w, len(vocab)) for w in t] + [0] * max(WIDTHS), np.int32) for t in texts]
         table = np.array([buckets(w) if w else (0,) * (1 + len(BEGINNINGS)) for w in vocab], np.int64)
         rng = np.random.default_rng(seed)
         params = {"conv": self.conv, "bias": self.bias, "out": self.out, "shift": self.shift}
@@ -278,16 +278,17 @@ def train(sample: pd.DataFrame, totals: dict[int, int]) -> TextCNN:
     model = TextCNN()
     if min((sample["y"] == k).sum() for k in (0, 1)) < MIN_LABELS:
         return model
-    words = [words_of(t) for t in sample["text"]]
+    texts = sample["text"].tolist()
     y = sample["y"].to_numpy(np.float32)
     rest = np.array([zlib.crc32(b"fold:%d" % i) % 5 == 0 for i in sample["doc_id"]])
     if y[rest].sum() < 3 or y[~rest].sum() < 3:
         rest = np.zeros(len(y), bool)
     use = np.flatnonzero(~rest)
     balance = np.where(y == 1, len(use) / (2 * max(1, y[use].sum())), len(use) / (2 * max(1, (1 - y[use]).sum())))
-    model.fit([words[i] for i in use], y[use], balance[use].astype(np.float32))
+    # One text's words at a time: the driver holds word numbers, not words.
+    model.fit((words_of(texts[i]) for i in use), y[use], balance[use].astype(np.float32))
     check = np.flatnonzero(rest) if rest.any() else use
-    held = [words[i] for i in check]
+    held = [words_of(texts[i]) for i in check]
     real = np.array([totals.get(int(k), 1) / max(1, (y == k).sum()) for k in (0, 1)])
     model.calibrate(model.scorer().logits(held), np.array([guess_language(w) for w in held]), y[check], real[y[check].astype(int)])
     return model
