@@ -72,6 +72,24 @@ def test_disclosing_terms(spark):
     assert all(out[i] == texts[i] for i in range(6, len(texts)))
 
 
+def test_terms_far_from_entities(spark):
+    """Terms count in whole documents and are marked wherever they stand, without an entity too."""
+    rng = random.Random(2)
+    filler = lambda n: " ".join(f"word{rng.randrange(40)}" for _ in range(n))
+    texts = [f"{filler(5)} Zorblax {filler(60)} boss@corp.example.com {filler(30)} zorblax, {filler(5)}" for _ in range(6)]
+    texts += [f"{filler(30)} Zorblax {filler(10)}", "corp boss"] + [filler(30) for _ in range(300)]
+    found = {r.doc_id: r.term for r in pii.find(frame(spark, texts)).collect()}
+    want = lambda t: [m.span() for m in re.finditer("zorblax", t, re.I)]
+    assert all([(x.s, x.e) for x in found[i] or []] == want(t) for i, t in enumerate(texts))
+    out = {r.doc_id: r.text for r in pii.redact(frame(spark, texts)).collect()}
+    assert all("zorblax" not in x.lower() for x in out.values()) and out[7] == texts[7] and out[6].count("<TERM>") == 1
+    old, pii.BROADCAST_TERMS = pii.BROADCAST_TERMS, 0
+    try:
+        assert {r.doc_id: r.term for r in pii.find(frame(spark, texts)).collect()} == found
+    finally:
+        pii.BROADCAST_TERMS = old
+
+
 @pytest.mark.parametrize("text", ["x a@b.cd y", "1.2.3.4 +1 555 010 9999 z", "+4111 1111 1111 1111"])
 def test_redact(spark, text):
     out = pii.redact(frame(spark, [text, None])).collect()

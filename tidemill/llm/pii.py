@@ -1,10 +1,11 @@
 """Personal data: patterns, and terms that give away who is meant.
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern and check
-digits.  They are the protected entities.  Corpus co-occurrence then tells how much of an
-entity's information a term near it carries: a term t discloses an entity e when
+digits.  They are the protected entities.  Co-occurrence in whole documents then tells how
+much of an entity's information a term carries: a term t discloses an entity e when
 PMI(t, e) >= ALPHA * IC(e), with IC(e) = -log2 p(e), which is to say when
-p(e | t) >= p(e) ** (1 - ALPHA).  Such terms are spans as well and are generalised.
+p(e | t) >= p(e) ** (1 - ALPHA).  Such terms are spans as well wherever they stand, in
+documents without an entity too, and are generalised.
 
 DataFrame functions only.
 """
@@ -19,12 +20,17 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import content_key
 from tidemill.session import stage
 
-#: Characters looked at on each side of an entity for terms.
+#: Characters on each side of an entity that tell one context from another.
 NEAR = 80
+#: Words that do so for a term, the term in the middle.
+AROUND = 5
 #: Different contexts in which a term and an entity must meet.
 SUPPORT = 3
 #: Share of an entity's information from which a term discloses it.
 ALPHA = 0.9
+#: Disclosing terms up to this many are sent to every executor; more are joined by
+#: shuffling the words of all documents.
+BROADCAST_TERMS = 200_000
 
 # The kinds in their order and the patterns that find them.  Possessive
 # forms and the look-behind change nothing in what is found: they only keep long runs of
@@ -40,6 +46,8 @@ PATTERNS = {
 #: What a text must have before a pattern is tried on it.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 _TERM = r"\p{L}[\p{L}\p{N}'-]{2,}"
+#: Addresses come first, so that their parts are no words.
+_TOKEN = f"{PATTERNS['email']}|{_TERM}"
 
 
 def luhn(digits: Column) -> Column:
@@ -99,14 +107,34 @@ def _spans(kind: str, text: Column) -> Column:
     return F.when(_hinted(kind, text), F.when(F.size(found) > 0, spans)).otherwise(none)
 
 
+def words(text: Column) -> Column:
+    """The words of a text in lower case, in order; the parts of e-mail addresses are none."""
+    every = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    found = F.when(text.contains("@"), F.filter(every(_TOKEN), lambda w: ~w.contains("@"))).otherwise(every(_TERM))
+    return F.transform(found, F.lower)
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, _k1, _k2 and one column of spans per kind, null where there are none."""
+    """doc_id, _k1, _k2, one column of spans per kind, null where there are none, and _words where there are some."""
     keyed = docs.select("doc_id", "text", *content_key("doc_id", "text"))
-    return keyed.select("doc_id", "_k1", "_k2", *[_spans(k, F.col("text")).alias(k) for k in KINDS[:4]])
+    spans = keyed.select("doc_id", "_k1", "_k2", *[_spans(k, F.col("text")).alias(k) for k in KINDS[:4]], "text")
+    some = reduce(lambda a, b: a | b, [F.coalesce(F.size(k) > 0, F.lit(False)) for k in KINDS[:4]])
+    return spans.withColumn("_words", F.when(some, words(F.col("text")))).drop("text")
+
+
+def _entities(found: DataFrame) -> DataFrame:
+    """_k1, _k2, entity and its first context, once for every document that has it."""
+    none = F.array().cast("array<struct<s:int,e:int,k:int,v:string,l:string,r:string>>")
+    every = F.concat(*[F.coalesce(F.col(k), none) for k in KINDS[:4]])
+    return (
+        found.select("_k1", "_k2", F.explode(every).alias("x"))
+        .groupBy("_k1", "_k2", F.concat_ws(":", "x.k", F.lower("x.v")).alias("entity"))
+        .agg(F.min_by(F.xxhash64("x.l", "x.r"), "x.s").alias("context"))
+    )
 
 
 def _near_terms(found: DataFrame) -> DataFrame:
-    """_k1, _k2, entity, term, start, end and context of every term near an entity."""
+    """entity, context and term of every term near an entity."""
     every = F.concat(*[F.coalesce(F.col(k), F.array().cast("array<struct<s:int,e:int,k:int,v:string,l:string,r:string>>")) for k in KINDS[:4]])
     span = found.select("_k1", "_k2", F.explode(every).alias("x")).select(
         "_k1", "_k2", F.concat_ws(":", "x.k", F.lower("x.v")).alias("entity"), "x.s", "x.e", "x.l", "x.r",
@@ -138,62 +166,102 @@ def _near_terms(found: DataFrame) -> DataFrame:
         .withColumn("before", F.substring(F.col("t"), F.col("from").cast("int"), F.lit(1)))
         .withColumn("after", F.substring(F.col("t"), (F.col("from") + F.length("f") + 1).cast("int"), F.lit(1)))
         .where("before NOT IN ('\x01', '\x02') AND after NOT IN ('\x01', '\x02')")
-        .select("_k1", "_k2", "entity", "context", F.lower("f").alias("term"),
-                (F.col("at") + F.col("from") - 1).cast("int").alias("s"),
-                (F.col("at") + F.col("from") - 1 + F.length("f")).cast("int").alias("e"))
+        .select("entity", "context", F.lower("f").alias("term"))
     )
 
 
-def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term and n_t, the documents whose text has the term, counted over the whole corpus.
+def _counts(docs: DataFrame) -> DataFrame:
+    """term and n_t, the documents whose text has the term, combined before the shuffle."""
+    distinct = F.array_distinct(words(F.col("text")))
+    return docs.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
-    All words are counted, combined before the shuffle, and the terms looked up after:
-    a common word among the terms is then one row, not one per document.
-    """
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}'-]+"))
-    counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    return counts.join(terms, "term")
 
+def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
+    """entity and term of the pairs above the disclosure threshold.
 
-def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
-    """entity and term of the pairs above the disclosure threshold."""
+    A pair meets in every document that has both, however far apart.  It needs ``support``
+    different contexts, of the entity or of the term, one to a document, or as many
+    contexts of the entity that have the term in them.
+    """
     n = docs.count()
-    meet = near.groupBy("entity", "term", "context", "_k1", "_k2").count()
-    meet = (
-        meet.groupBy("entity", "term", "context").agg(F.count("*").alias("_docs"))
-        .groupBy("entity", "term").agg(F.count("*").alias("_contexts"), F.sum("_docs").alias("n_te"))
-        .where(F.col("_contexts") >= support)
+    held = found.where("_words IS NOT NULL")
+    entities = stage(_entities(held), "pii-entities")
+    holders = entities.groupBy("entity").agg(F.count("*").alias("n_e"))
+    close = (
+        _near_terms(held).select("entity", "term", "context").distinct()
+        .groupBy("entity", "term").agg(F.count("*").alias("_c")).where(F.col("_c") >= support)
+    )
+    close = stage(close.select("entity", "term"), "pii-close")
+    # Other entities cannot reach the support.
+    usable = holders.where(F.col("n_e") >= support).select("entity").union(close.select("entity")).distinct()
+    usable = stage(entities.join(usable, "entity"), "pii-usable")
+    around = F.transform("_words", lambda w, i: F.struct(
+        w.alias("term"), i.alias("i"), F.xxhash64(F.slice("_words", F.greatest(i + 1 - AROUND // 2, F.lit(1)), AROUND)).alias("c")
+    ))
+    terms = (
+        held.select("_k1", "_k2", "_words").dropDuplicates(["_k1", "_k2"])
+        .join(usable.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_semi")
+        .select("_k1", "_k2", F.explode(around).alias("x"))
+        .groupBy("_k1", "_k2", "x.term").agg(F.min_by("x.c", "x.i").alias("_around"))
     )
-    meet = stage(meet, "pii-meetings")
-    holders = near.groupBy("entity", "_k1", "_k2").count().groupBy("entity").agg(F.count("*").alias("n_e"))
-    counts = _documents_with(docs, meet.select("term").distinct())
+    meet = usable.join(terms, ["_k1", "_k2"]).groupBy("entity", "term").agg(
+        F.count("*").alias("n_te"), F.greatest(F.count_distinct("context"), F.count_distinct("_around")).alias("_contexts")
+    )
+    meet = meet.join(close.withColumn("_close", F.lit(True)), ["entity", "term"], "left")
+    meet = meet.where((F.col("_contexts") >= support) | F.col("_close")).select("entity", "term", "n_te")
     p_e = F.col("n_e") / F.lit(float(max(n, 1)))
     return (
-        meet.join(holders, "entity")
-        .join(counts, "term")
+        stage(meet, "pii-meetings").join(holders, "entity")
+        .join(_counts(docs), "term")
         .where(F.least(F.lit(1.0), F.col("n_te") / F.col("n_t")) >= F.pow(p_e, F.lit(1 - alpha)))
         .select("entity", "term")
-    )
+    )
+
+
+def _places(text: Column, terms: Column) -> Column:
+    """The places in ``text`` of the words in ``terms``, as spans."""
+    turns = F.arrays_zip(F.split(text, _TOKEN, -1).alias("b"), F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)).alias("f"))
+    kind = "array<struct<s:int,e:int,k:int,v:string,l:string,r:string>>"
+    none = F.lit(None).cast("string")
+
+    def step(acc: Column, z: Column) -> Column:
+        start = acc["p"] + F.length(z["b"])
+        end = start + F.length(z["f"])
+        word = F.lower(z["f"])
+        span = F.struct(start.alias("s"), end.alias("e"), F.lit(4).alias("k"), word.alias("v"), none.alias("l"), none.alias("r"))
+        more = F.when(F.array_contains(terms, word), F.concat(acc["o"], F.array(span))).otherwise(acc["o"])
+        return F.struct(end.alias("p"), more.alias("o"))
+
+    return F.aggregate(turns, F.struct(F.lit(0).alias("p"), F.array().cast(kind).alias("o")), step, lambda acc: acc["o"])
+
+
+def _term_spans(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """_k1, _k2 and all places of disclosing terms, of every document that has one."""
+    terms = stage(told.select("term").distinct(), "pii-terms")
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    keyed = docs.select("text", *content_key("doc_id", "text"))
+    holds = keyed.select("_k1", "_k2", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    holds = holds.join(terms, "term").groupBy("_k1", "_k2").agg(F.collect_set("term").alias("_terms"))
+    # Written, so that Spark knows its size when it picks the join with the texts.
+    placed = keyed.join(stage(holds, "pii-holders"), ["_k1", "_k2"])
+    return placed.select("_k1", "_k2", _places(F.col("text"), F.col("_terms")).alias("term")).dropDuplicates(["_k1", "_k2"])
 
 
 def find(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
     """doc_id, _k1, _k2 and the arrays email, ip, card, phone, term for every row of ``docs``.
 
     Null and empty texts have no spans.  Rows alike in id and text get the same spans and
-    count once in the statistics.  An empty table gives an empty result; other columns
-    are ignored.
+    count once among a pair's meetings.  A term that touches an entity is part of it and no
+    span.  An empty table gives an empty result; other columns are ignored.
     """
     plain = docs.select("doc_id", "text")
     found = stage(base_spans(plain), "pii-spans")
-    near = stage(_near_terms(found.where(" OR ".join(f"{k} IS NOT NULL" for k in KINDS[:4]))), "pii-near")
-    told = disclosing(plain, near, support, alpha)
-    none = F.lit(None).cast("string")
-    spans = (
-        near.join(told, ["entity", "term"])
-        .groupBy("_k1", "_k2")
-        .agg(F.collect_set(F.struct("s", "e", F.lit(4).alias("k"), F.lower("term").alias("v"), none.alias("l"), none.alias("r"))).alias("term"))
-    )
-    return found.join(spans, ["_k1", "_k2"], "left")
+    spans = stage(_term_spans(plain, disclosing(plain, found, support, alpha)), "pii-term-spans")
+    touches = lambda t: reduce(lambda a, b: a | b, [
+        F.coalesce(F.exists(k, lambda x: (x["s"] <= t["e"]) & (t["s"] <= x["e"])), F.lit(False)) for k in KINDS[:4]
+    ])
+    return found.drop("_words").join(spans, ["_k1", "_k2"], "left").withColumn("term", F.filter("term", lambda t: ~touches(t)))
 
 
 def _joined(kinds: tuple[str, ...]) -> Column:
@@ -208,10 +276,7 @@ def _joined(kinds: tuple[str, ...]) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind, such as <EMAIL>; overlapping spans by the first.
-
-    Texts that no pattern can match have no spans of any kind; they pass without a join.
-    """
+    """``docs`` with every span of ``text`` replaced by its kind, such as <EMAIL>; overlapping spans by the first."""
     found = find(docs)
     empty = F.array().cast("array<struct<s:int,k:int,e:int>>")
     every = F.array_sort(F.concat(*[
@@ -219,8 +284,9 @@ def redact(docs: DataFrame) -> DataFrame:
         for k in KINDS
     ]))
     spans = found.select("_k1", "_k2", every.alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_k1", "_k2"])
-    possible = F.coalesce(reduce(lambda a, b: a | b, [_hinted(k, F.col("text")) for k in KINDS[:4]]), F.lit(False))
-    keyed = docs.where(possible).select("*", *content_key("doc_id", "text"))
+    # Written, so that Spark knows its size when it picks the join with the texts.
+    spans = stage(spans, "pii-masks")
+    keyed = docs.select("*", *content_key("doc_id", "text"))
     marks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
     def step(acc: Column, x: Column) -> Column:
@@ -236,10 +302,9 @@ def redact(docs: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("o"))
     tail = lambda acc: F.concat(F.array_join(acc["o"], ""), F.substring("text", acc["p"] + 1, F.length("text")))
     changed = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", zero, step, tail))
-    masked = keyed.join(spans, ["_k1", "_k2"], "left").select(
+    return keyed.join(spans, ["_k1", "_k2"], "left").select(
         *[changed.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     )
-    return docs.where(~possible).unionByName(masked)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
