@@ -90,6 +90,18 @@ def test_terms_far_from_entities(spark):
         pii.BROADCAST_TERMS = old
 
 
+def test_terms_in_quotes(spark):
+    """Quotes and dashes around a term are no part of it."""
+    rng = random.Random(3)
+    filler = lambda n: " ".join(f"word{rng.randrange(40)}" for _ in range(n))
+    forms = ["'Zorblax'", "--Zorblax--", "Zorblax", "9'Zorblax'"]
+    texts = [f"{filler(20)} {forms[i % 4]} wrote from boss@corp.example.com {filler(20)}" for i in range(4)]
+    texts += ["seen: 'zorblax' -zorblax-"] + [filler(30) for _ in range(200)]
+    found = {r.doc_id: r.term for r in pii.find(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert [(x.s, x.e) for x in found[i] or [] if x.v == "zorblax"] == [m.span() for m in re.finditer("zorblax", t, re.I)], t
+
+
 @pytest.mark.parametrize("text", ["x a@b.cd y", "1.2.3.4 +1 555 010 9999 z", "+4111 1111 1111 1111"])
 def test_redact(spark, text):
     out = pii.redact(frame(spark, [text, None])).collect()

@@ -45,7 +45,8 @@ PATTERNS = {
 }
 #: What a text must have before a pattern is tried on it.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-_TERM = r"\p{L}[\p{L}\p{N}'-]{2,}"
+#: A term ends with a letter or digit, so that quotes and dashes around it are no part of it.
+_TERM = r"\p{L}[\p{L}\p{N}'-]+[\p{L}\p{N}]"
 #: Addresses come first, so that their parts are no words.
 _TOKEN = f"{PATTERNS['email']}|{_TERM}"
 
