@@ -94,6 +94,20 @@ def test_leaks_with_other_parameters(spark):
         wide["BROADCAST_WINDOWS"] = old
 
 
+def test_leaks_with_other_forms(spark):
+    """Names that begin sentences, numbers, names and units that are written in another way."""
+    pairs = [
+        ("Anna has 3 apples in a basket. Anna buys 5 at the market today.", "Maria has 4 apples in a basket. Maria buys 9 at the market today."),
+        ("the shop near the river sold 900 loaves of bread during one long winter week to all", "the shop near the river sold 1,200 loaves of bread during one long winter week to all"),
+        ("the tall man called Smith walked over the hills and came back home very late that", "the tall man called Mary Brown walked over the hills and came back home very late that"),
+        ("a cart with 12 kg of coal rolled down the narrow street before it stopped at noon", "a cart with 30.5kg of coal rolled down the narrow street before it stopped at noon"),
+    ]
+    docs = spark.createDataFrame([(i, d) for i, (_, d) in enumerate(pairs)] + [(9, "Peter has 3 pears in a bag. Carl sold 5 at the market today.")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(pairs)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in templates.leaks(docs, bench).collect()}
+    assert got == {(i, i): 1.0 for i in range(len(pairs))}
+
+
 def test_run_with_odd_rows(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (9, "only a.b@c.de", None, None, None)], docs.schema)

@@ -34,8 +34,10 @@ UNITS = (
 ).split()
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 MARKS = f"[{NAME}{NUMBER}{UNIT}]"
+#: Before the first word of a sentence; what holds the words of a name, and the parts of a number, together.
+OPENER, JOIN = "\x04", "\x05"
 #: A word is a run of letters and digits; whatever stands between two words doesn't count.
-BETWEEN = rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}]+"
+BETWEEN = rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}{OPENER}{JOIN}]+"
 
 
 def _split(text: Column) -> Column:
@@ -43,22 +45,30 @@ def _split(text: Column) -> Column:
     return F.split(F.regexp_replace(text, f"^{BETWEEN}|{BETWEEN}$", ""), BETWEEN, -1)
 
 
-def canonical_words(text: Column) -> Column:
-    """The words of a text in lower case, with placeholders.
+def raw_words(text: Column) -> Column:
+    """The words as they stand, those that make one placeholder as one word behind its mark.
 
-    A name is a capitalised word that does not begin a sentence; a number is a run of
-    digits; a unit is a listed word after a number.
+    A name is a run of capitalised words, of which the first does not begin a sentence; a
+    word that does begin one may be a name too and is marked as an opener.  A number is a
+    run of digits with its separators; a unit is a listed word after a number.
     """
-    t = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})\p{Ll}\p{L}*", NAME)
-    t = F.lower(t)
-    unit = rf"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
-    t = F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, "[0-9]+", NUMBER), unit, UNIT)).otherwise(t)
-    return _split(t)
+    word = r"\p{Lu}\p{Ll}\p{L}*"
+    t = F.regexp_replace(text, f"[{NAME}{NUMBER}{UNIT}{OPENER}{JOIN}]", " ")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])(?<=[\p{{L}}\p{{N}},;] )({word})", f"{NAME}$1")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{NAME}])({word})", f"{OPENER}$1")
+    t = F.regexp_replace(t, rf"({NAME}\p{{L}}+) (?={NAME})", f"$1{JOIN}")
+    units = "|".join(UNITS)
+    n = F.regexp_replace(t, "(?<=[0-9])[.,](?=[0-9])", JOIN)
+    n = F.regexp_replace(n, rf"([0-9]) ?(?i:({units}))(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
+    return _split(F.when(t.rlike("[0-9]"), n).otherwise(t))
 
 
-def raw_words(text: Column) -> Column:
-    """The words as they stand, one for each canonical word."""
-    return _split(text)
+def canonical_words(raw: Column) -> Column:
+    """``raw_words`` in lower case, with placeholders; an opener is the same as a name."""
+    t = F.regexp_replace(F.array_join(raw, " "), rf"[{NAME}{OPENER}][\p{{L}}{NAME}{JOIN}]+", NAME)
+    t = F.lower(F.regexp_replace(t, rf"{UNIT}\p{{L}}+", UNIT))
+    t = F.when(t.rlike("[0-9]"), F.regexp_replace(t, f"[0-9]+(?:{JOIN}[0-9]+)*", NUMBER)).otherwise(t)
+    return F.split(t, " ", -1)
 
 
 def _windows(texts: DataFrame, *keep: str) -> DataFrame:
@@ -68,10 +78,10 @@ def _windows(texts: DataFrame, *keep: str) -> DataFrame:
     Words are hashed first, those with a placeholder to negative numbers; only short
     columns go with the windows, never the text.
     """
-    text = F.col("text")
-    words = texts.select(*keep, canonical_words(text).alias("_c"), "text")
+    words = texts.select(*keep, raw_words(F.col("text")).alias("_r"))
+    words = words.select(*keep, canonical_words(F.col("_r")).alias("_c"), "_r")
     marked = F.array_join("_c", " ").rlike(MARKS)
-    words = words.select(*keep, "_c", F.when(marked, raw_words(text)).alias("_r"))
+    words = words.select(*keep, "_c", F.when(marked, F.col("_r")).alias("_r"))
     bare = lambda w: F.xxhash64(w).bitwiseAND(F.lit(2**63 - 1))
     either = lambda w: F.when(w.rlike(MARKS), -1 - bare(w)).otherwise(bare(w))
     hashed = F.when(F.col("_r").isNull(), F.transform("_c", bare)).otherwise(F.transform("_c", either))
@@ -95,16 +105,20 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     Windows of an item that are nearly all placeholders fit anything and don't count.
     """
     items = benchmark.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
-    kinds = items.select("item_id", F.posexplode(canonical_words(F.col("text"))).alias("_at", "_k"))
-    kinds = kinds.select("item_id", "_at", F.regexp_extract("_k", MARKS, 0).alias("_k"))
+    raw = raw_words(F.col("text"))
+    kinds = items.select("item_id", F.posexplode(F.arrays_zip(canonical_words(raw).alias("c"), raw.alias("r"))).alias("_at", "_k"))
+    kinds = kinds.select("item_id", "_at", F.when(F.col("_k.r").startswith(OPENER), OPENER).otherwise(F.regexp_extract("_k.c", MARKS, 0)).alias("_k"))
     rows = _windows(items, "item_id").withColumn("_at", F.explode(F.sequence(F.col("_pos"), F.col("_pos") + WORDS - 1)))
     rows = rows.join(kinds, ["item_id", "_at"]).groupBy("item_id", "_pos", "_h", "_slots").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_at", "_k"))), lambda x: x["_k"]).alias("_kinds")
     )
+    # An opener may be a name, but need not be: it takes no literal away.
+    certain = F.size(F.filter("_kinds", lambda k: ~k.isin("", OPENER)))
     marks = F.size(F.filter("_kinds", lambda k: k != ""))
-    return rows.where(marks <= WORDS - LITERALS).select(
+    kinds = F.transform("_kinds", lambda k: F.when(k == OPENER, NAME).otherwise(k))
+    return rows.where(certain <= WORDS - LITERALS).select(
         "item_id", F.count("*").over(Window.partitionBy("item_id")).alias("_n"), F.col("_pos").alias("_ipos"), "_h",
-        F.when(marks > 0, F.col("_kinds")).alias("_kinds"), F.when(marks > 0, F.col("_slots")).alias("_values"),
+        F.when(marks > 0, kinds).alias("_kinds"), F.when(marks > 0, F.col("_slots")).alias("_values"),
     )
 
 
@@ -127,7 +141,7 @@ def consistent(found: DataFrame) -> DataFrame:
     found = found.withColumn("_diag", F.col("_pos") - F.col("_ipos"))
     passage = ["_k1", "_k2", "item_id", "_diag"]
     plain = found.where("_values IS NULL").select(*passage, "doc_id", "_n", "_ipos")
-    split = lambda c: F.split(F.lower(c), " ")
+    split = lambda c: F.split(F.lower(F.regexp_replace(c, f"[{NAME}{UNIT}{OPENER}]", "")), " ")
     slot = F.explode(F.arrays_zip("_kinds", split("_values").alias("_i"), split("_slots").alias("_d"))).alias("_z")
     pair = (
         found.where("_values IS NOT NULL")
