@@ -108,6 +108,15 @@ def test_leaks_with_other_forms(spark):
     assert got == {(i, i): 1.0 for i in range(len(pairs))}
 
 
+def test_leaks_of_parts(spark):
+    """A passage of a long item is a leak; fewer words in a row are none."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    texts = {1: words[20:170], 2: words[50:63], 3: words[50:62], 4: words[10:20] + ["x"] + words[20:30]}
+    docs = spark.createDataFrame([(i, "so " + " ".join(t) + " yes") for i, t in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.n_matched for r in templates.leaks(docs, bench).collect()} == {1: 146, 2: 9}
+
+
 def test_run_with_odd_rows(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (9, "only a.b@c.de", None, None, None)], docs.schema)

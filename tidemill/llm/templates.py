@@ -19,6 +19,8 @@ from tidemill.session import stage
 
 WORDS = 5
 SHARE = 0.8
+#: Words in a row, at least, that are a leak whatever share of the item they are.
+RUN = 13
 #: Words of a window that must not be placeholders.
 LITERALS = 3
 #: Benchmark windows up to this many (some 100 bytes each) are sent to every executor;
@@ -100,7 +102,7 @@ def _windows(texts: DataFrame, *keep: str) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, _n, _ipos, _h and _kinds and _values (of a window with placeholders) of the windows that count.
+    """item_id, _n, _nth, _ipos, _h and _kinds and _values (of a window with placeholders) of the windows that count.
 
     Windows of an item that are nearly all placeholders fit anything and don't count.
     """
@@ -117,6 +119,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     marks = F.size(F.filter("_kinds", lambda k: k != ""))
     kinds = F.transform("_kinds", lambda k: F.when(k == OPENER, NAME).otherwise(k))
     return rows.where(certain <= WORDS - LITERALS).select(
+        F.row_number().over(Window.partitionBy("item_id").orderBy("_pos")).alias("_nth"),
         "item_id", F.count("*").over(Window.partitionBy("item_id")).alias("_n"), F.col("_pos").alias("_ipos"), "_h",
         F.when(marks > 0, kinds).alias("_kinds"), F.when(marks > 0, F.col("_slots")).alias("_values"),
     )
@@ -140,13 +143,13 @@ def consistent(found: DataFrame) -> DataFrame:
     """
     found = found.withColumn("_diag", F.col("_pos") - F.col("_ipos"))
     passage = ["_k1", "_k2", "item_id", "_diag"]
-    plain = found.where("_values IS NULL").select(*passage, "doc_id", "_n", "_ipos")
+    plain = found.where("_values IS NULL").select(*passage, "doc_id", "_n", "_nth", "_ipos")
     split = lambda c: F.split(F.lower(F.regexp_replace(c, f"[{NAME}{UNIT}{OPENER}]", "")), " ")
     slot = F.explode(F.arrays_zip("_kinds", split("_values").alias("_i"), split("_slots").alias("_d"))).alias("_z")
     pair = (
         found.where("_values IS NOT NULL")
-        .select(*passage, "doc_id", "_n", "_ipos", slot)
-        .select(*passage, "doc_id", "_n", "_ipos", F.col("_z._kinds").alias("_kind"), "_z._i", "_z._d")
+        .select(*passage, "doc_id", "_n", "_nth", "_ipos", slot)
+        .select(*passage, "doc_id", "_n", "_nth", "_ipos", F.col("_z._kinds").alias("_kind"), "_z._i", "_z._d")
         .where("_kind <> ''")
     )
     counted = pair.groupBy(*passage, "_kind", "_i", "_d").agg(F.count("*").alias("_c"))
@@ -159,7 +162,7 @@ def consistent(found: DataFrame) -> DataFrame:
     )
     held = (
         pair.join(good, [*passage, "_kind", "_i", "_d"], "left")
-        .groupBy(*passage, "doc_id", "_n", "_ipos")
+        .groupBy(*passage, "doc_id", "_n", "_nth", "_ipos")
         .agg(F.every(F.coalesce("_ok", F.lit(False))).alias("_all"))
         .where("_all")
     )
@@ -170,18 +173,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     """doc_id, item_id, n_windows, n_matched and similarity of every leaked item.
 
     An item has leaked into a document that holds at least ``share`` of its windows,
-    counted by place.  Null and empty texts, and texts below five words, have no windows
+    counted by place, or the windows of RUN words in a row.  Null and empty texts, and texts below five words, have no windows
     and match nothing, as do items whose windows are nearly all placeholders.  Rows alike
     in id and text give one result.  Items with a null id are not looked for; of a
     repeated id the first text counts.  Empty tables give an empty result; other columns
     are ignored.
     """
     found = stage(matches(docs, benchmark), "template-matches")
-    rows = consistent(found)
+    passage = ["_k1", "_k2", "item_id", "_diag"]
+    # Windows in a row have the same difference of their number and their rank.
+    rank = F.row_number().over(Window.partitionBy(*passage).orderBy("_nth"))
+    rows = consistent(found).withColumn("_block", F.col("_nth") - rank)
+    rows = rows.withColumn("_run", F.count("*").over(Window.partitionBy(*passage, "_block")))
     return (
-        rows.groupBy("_k1", "_k2", "doc_id", "item_id", "_n", "_ipos").count()
-        .groupBy("_k1", "_k2", "doc_id", "item_id", "_n").agg(F.count("*").alias("n_matched"))
-        .where(F.col("n_matched") >= share * F.col("_n"))
+        rows.groupBy("_k1", "_k2", "doc_id", "item_id", "_n", "_ipos").agg(F.max("_run").alias("_run"))
+        .groupBy("_k1", "_k2", "doc_id", "item_id", "_n").agg(F.count("*").alias("n_matched"), F.max("_run").alias("_run"))
+        .where((F.col("n_matched") >= share * F.col("_n")) | (F.col("_run") > RUN - WORDS))
         .select("doc_id", "item_id", F.col("_n").alias("n_windows"), "n_matched",
                 (F.col("n_matched") / F.col("_n")).alias("similarity"), "_k1", "_k2")
     )
