@@ -117,6 +117,15 @@ def test_leaks_of_parts(spark):
     assert {r.doc_id: r.n_matched for r in templates.leaks(docs, bench).collect()} == {1: 146, 2: 9}
 
 
+def test_items_that_share_an_id(spark):
+    """Every text of an id is looked for; one without an id only cleans."""
+    texts = ["one red fox ran over the old bridge", "two grey birds sat on the tall tower", "my green boat lay under that warm sun"]
+    docs = spark.createDataFrame([(i, f"so {t} yes") for i, t in enumerate(texts)] + [(7, "nothing of the kind was said in here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2])], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in templates.leaks(docs, bench).collect()) == [(0, 1, 1.0), (1, 1, 1.0)]
+    assert [r.doc_id for r in templates.clean(docs, bench).collect()] == [7]
+
+
 def test_run_with_odd_rows(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (9, "only a.b@c.de", None, None, None)], docs.schema)

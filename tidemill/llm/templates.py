@@ -102,16 +102,16 @@ def _windows(texts: DataFrame, *keep: str) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, _n, _nth, _ipos, _h and _kinds and _values (of a window with placeholders) of the windows that count.
+    """item_id, _item, _n, _nth, _ipos, _h and _kinds and _values (of a window with placeholders) of the windows that count.
 
     Windows of an item that are nearly all placeholders fit anything and don't count.
     """
-    items = benchmark.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
+    items = benchmark.select("item_id", "text").distinct().select("*", F.xxhash64(F.col("item_id").isNull(), "item_id", "text").alias("_item"))
     raw = raw_words(F.col("text"))
-    kinds = items.select("item_id", F.posexplode(F.arrays_zip(canonical_words(raw).alias("c"), raw.alias("r"))).alias("_at", "_k"))
-    kinds = kinds.select("item_id", "_at", F.when(F.col("_k.r").startswith(OPENER), OPENER).otherwise(F.regexp_extract("_k.c", MARKS, 0)).alias("_k"))
-    rows = _windows(items, "item_id").withColumn("_at", F.explode(F.sequence(F.col("_pos"), F.col("_pos") + WORDS - 1)))
-    rows = rows.join(kinds, ["item_id", "_at"]).groupBy("item_id", "_pos", "_h", "_slots").agg(
+    kinds = items.select("_item", F.posexplode(F.arrays_zip(canonical_words(raw).alias("c"), raw.alias("r"))).alias("_at", "_k"))
+    kinds = kinds.select("_item", "_at", F.when(F.col("_k.r").startswith(OPENER), OPENER).otherwise(F.regexp_extract("_k.c", MARKS, 0)).alias("_k"))
+    rows = _windows(items, "item_id", "_item").withColumn("_at", F.explode(F.sequence(F.col("_pos"), F.col("_pos") + WORDS - 1)))
+    rows = rows.join(kinds, ["_item", "_at"]).groupBy("item_id", "_item", "_pos", "_h", "_slots").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_at", "_k"))), lambda x: x["_k"]).alias("_kinds")
     )
     # An opener may be a name, but need not be: it takes no literal away.
@@ -119,8 +119,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     marks = F.size(F.filter("_kinds", lambda k: k != ""))
     kinds = F.transform("_kinds", lambda k: F.when(k == OPENER, NAME).otherwise(k))
     return rows.where(certain <= WORDS - LITERALS).select(
-        F.row_number().over(Window.partitionBy("item_id").orderBy("_pos")).alias("_nth"),
-        "item_id", F.count("*").over(Window.partitionBy("item_id")).alias("_n"), F.col("_pos").alias("_ipos"), "_h",
+        F.row_number().over(Window.partitionBy("_item").orderBy("_pos")).alias("_nth"),
+        "item_id", "_item", F.count("*").over(Window.partitionBy("_item")).alias("_n"), F.col("_pos").alias("_ipos"), "_h",
         F.when(marks > 0, kinds).alias("_kinds"), F.when(marks > 0, F.col("_slots")).alias("_values"),
     )
 
@@ -142,14 +142,14 @@ def consistent(found: DataFrame) -> DataFrame:
     any other pair are left out.
     """
     found = found.withColumn("_diag", F.col("_pos") - F.col("_ipos"))
-    passage = ["_k1", "_k2", "item_id", "_diag"]
-    plain = found.where("_values IS NULL").select(*passage, "doc_id", "_n", "_nth", "_ipos")
+    passage = ["_k1", "_k2", "_item", "_diag"]
+    plain = found.where("_values IS NULL").select(*passage, "doc_id", "item_id", "_n", "_nth", "_ipos")
     split = lambda c: F.split(F.lower(F.regexp_replace(c, f"[{NAME}{UNIT}{OPENER}]", "")), " ")
     slot = F.explode(F.arrays_zip("_kinds", split("_values").alias("_i"), split("_slots").alias("_d"))).alias("_z")
     pair = (
         found.where("_values IS NOT NULL")
-        .select(*passage, "doc_id", "_n", "_nth", "_ipos", slot)
-        .select(*passage, "doc_id", "_n", "_nth", "_ipos", F.col("_z._kinds").alias("_kind"), "_z._i", "_z._d")
+        .select(*passage, "doc_id", "item_id", "_n", "_nth", "_ipos", slot)
+        .select(*passage, "doc_id", "item_id", "_n", "_nth", "_ipos", F.col("_z._kinds").alias("_kind"), "_z._i", "_z._d")
         .where("_kind <> ''")
     )
     counted = pair.groupBy(*passage, "_kind", "_i", "_d").agg(F.count("*").alias("_c"))
@@ -162,42 +162,47 @@ def consistent(found: DataFrame) -> DataFrame:
     )
     held = (
         pair.join(good, [*passage, "_kind", "_i", "_d"], "left")
-        .groupBy(*passage, "doc_id", "_n", "_nth", "_ipos")
+        .groupBy(*passage, "doc_id", "item_id", "_n", "_nth", "_ipos")
         .agg(F.every(F.coalesce("_ok", F.lit(False))).alias("_all"))
         .where("_all")
     )
     return plain.unionByName(held.drop("_all"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, n_windows, n_matched and similarity of every leaked item.
-
-    An item has leaked into a document that holds at least ``share`` of its windows,
-    counted by place, or the windows of RUN words in a row.  Null and empty texts, and texts below five words, have no windows
-    and match nothing, as do items whose windows are nearly all placeholders.  Rows alike
-    in id and text give one result.  Items with a null id are not looked for; of a
-    repeated id the first text counts.  Empty tables give an empty result; other columns
-    are ignored.
-    """
+def _leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """``leaks`` of all items, those with a null id included."""
     found = stage(matches(docs, benchmark), "template-matches")
-    passage = ["_k1", "_k2", "item_id", "_diag"]
+    passage = ["_k1", "_k2", "_item", "_diag"]
     # Windows in a row have the same difference of their number and their rank.
     rank = F.row_number().over(Window.partitionBy(*passage).orderBy("_nth"))
     rows = consistent(found).withColumn("_block", F.col("_nth") - rank)
     rows = rows.withColumn("_run", F.count("*").over(Window.partitionBy(*passage, "_block")))
     return (
-        rows.groupBy("_k1", "_k2", "doc_id", "item_id", "_n", "_ipos").agg(F.max("_run").alias("_run"))
-        .groupBy("_k1", "_k2", "doc_id", "item_id", "_n").agg(F.count("*").alias("n_matched"), F.max("_run").alias("_run"))
+        rows.groupBy("_k1", "_k2", "doc_id", "item_id", "_item", "_n", "_ipos").agg(F.max("_run").alias("_run"))
+        .groupBy("_k1", "_k2", "doc_id", "item_id", "_item", "_n").agg(F.count("*").alias("n_matched"), F.max("_run").alias("_run"))
         .where((F.col("n_matched") >= share * F.col("_n")) | (F.col("_run") > RUN - WORDS))
         .select("doc_id", "item_id", F.col("_n").alias("n_windows"), "n_matched",
                 (F.col("n_matched") / F.col("_n")).alias("similarity"), "_k1", "_k2")
     )
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """doc_id, item_id, n_windows, n_matched and similarity of every leaked item.
+
+    An item has leaked into a document that holds at least ``share`` of its windows,
+    counted by place, or the windows of RUN words in a row.  Null and empty texts, and texts below five words, have no windows
+    and match nothing, as do items whose windows are nearly all placeholders.  Rows alike
+    in id and text give one result, as do items.  Every text of a repeated id is looked
+    for and gives its own row; items with a null id give none, see ``clean``.  Empty tables give an empty result; other columns
+    are ignored.
+    """
+    return _leaks(docs, benchmark.where("item_id IS NOT NULL"), share)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without documents into which an item has leaked."""
+    """``docs`` without documents into which an item has leaked, with or without an id."""
     # Written, so that Spark knows its size when it picks the join.
-    gone = stage(leaks(docs, benchmark).select("_k1", "_k2").distinct(), "leaked-documents")
+    gone = stage(_leaks(docs, benchmark).select("_k1", "_k2").distinct(), "leaked-documents")
     keyed = docs.select("*", *content_key("doc_id", "text"))
     return keyed.join(gone, ["_k1", "_k2"], "left_anti").select(docs.columns)
 
