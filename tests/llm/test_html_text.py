@@ -25,6 +25,20 @@ def test_no_article_element_and_sections():
     assert got == f"A\n{LONG.strip()}\nB\n{LONG.strip()}"
 
 
+def test_parts_with_names_of_noise():
+    """What holds most of the text stays, as do names that only contain a word for noise."""
+    body = f"<h1>Head</h1><p>{LONG}</p>"
+    want = f"Head\n{LONG.strip()}"
+    form = f"<body><form id=aspnetForm><nav><a href=x>menu</a></nav><div id=c>{body}<button>Send</button></div><footer>me</footer></form></body>"
+    assert extract(form) == want
+    for name in ("content-sidebar-wrap", "has-sidebar", "sidebar"):
+        assert extract(f"<body><div class='{name}'><div>{body}</div></div><div class=sidebar>x</div></body>") == want, name
+    inner = f"<section id='related-work'><h2 id='search-algorithms'>A</h2><p>{LONG}</p><h3 id=search>B</h3><p>{LONG}</p></section>"
+    assert extract(f"<article>{inner}<div class='related-posts'>x</div></article>") == f"A\n{LONG.strip()}\nB\n{LONG.strip()}"
+    short = f"<body><article><p>Short one.</p></article><section class='comments'><p>{LONG}</p></section></body>"
+    assert extract(short) == "Short one."
+
+
 def test_odd_pages():
     for page in (None, "", "   ", "<", "<p", "<!-- open", "<script>x", "<nav><a href='", "</p></div>"):
         assert extract(page) in ("", "<", "<p", "<nav><a href='"), page

@@ -40,23 +40,39 @@ CLOSES = {
     "th": frozenset(["td", "th"]),
     "option": frozenset(["option"]),
 }
-#: Words in a class, id or role that mark menus, notices, adverts and comments.
-NOISE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion"
-    r"|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|footer|masthead|cookie|cookies"
-    r"|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related"
-    r"|recommended|comment|comments|disqus|respond|reply|replies|pagination|pager|toolbar|search|copyright)"
-    r"(?:$|[\s_-])",
-    re.I,
+#: Controls, which hold no article whatever their share of the text.
+CONTROLS = frozenset("button select menu svg canvas audio video object".split())
+#: Share of a page's text outside links from which a part is kept whatever its name.
+MOST = 0.5
+#: Words that mark menus, notices, adverts and comments where a class, id or role consists of
+#: them, such as cookie-notice; words that add nothing may stand between them.
+_NOISE = (
+    "ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion"
+    "|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|footer|masthead|cookie|cookies"
+    "|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related"
+    "|recommended|comment|comments|disqus|respond|reply|replies|pagination|pager|toolbar|search|copyright"
 )
+_NEUTRAL = (
+    "page|site|wrap|wrapper|box|bar|block|widget|container|section|area|list|item|items|link|links|post|posts"
+    "|form|button|buttons|icons|slot|unit|top|bottom|left|right|primary|secondary|global|inner|outer|[0-9]+"
+)
+
+
+def _consists_of(words: str) -> re.Pattern:
+    other = rf"(?:(?:{_NEUTRAL})[_-]+)*"
+    return re.compile(rf"(?<!\S){other}(?:{words})(?:[_-]+(?:{words}|{_NEUTRAL}))*(?!\S)", re.I)
+
+
+NOISE_WORDS = _consists_of(_NOISE)
 #: Words that do so outside the article only.
-OUTER_WORDS = re.compile(r"(?:^|[\s_-])(?:header|topbar)(?:$|[\s_-])", re.I)
+OUTER_WORDS = _consists_of("header|topbar")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>",
     re.S,
 )
-_MARKS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARKS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
@@ -65,9 +81,12 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.drop = ["html"], [-1], [False]
+        # Nodes that are dropped by their own tag or names, and of these the ones that have text to read.
+        self.own, self.named = [False], [False]
         # Pieces of text as (node, text); None for a block's edge.
         self.pieces: list[tuple[int, str | None]] = []
         self._read(source)
+        self._keep_most()
 
     def _open(self, tag: str, attrs: str, stack: list[int]) -> None:
         if tag in CLOSES:
@@ -78,14 +97,19 @@ class Page:
             while len(stack) > 1 and self.drop[stack[-1]]:  # the article can't be in a menu left open
                 stack.pop()
         node = len(self.tag)
-        drop = self.drop[stack[-1]] or tag in NOISE
-        if not drop and tag in OUTER_NOISE:
-            drop = not any(self.tag[i] in ("article", "main") for i in stack)
-        if not drop and attrs and tag not in ("html", "body", "article", "main"):
-            marks = " ".join(a or b or c for a, b, c in _MARKS.findall(attrs))
-            drop = bool((marks and NOISE_WORDS.search(marks)) or _HIDDEN.search(attrs))
-            if marks and not drop and OUTER_WORDS.search(marks):
-                drop = not any(self.tag[i] in ("article", "main") for i in stack)
+        inside = any(self.tag[i] in ("article", "main") for i in stack)
+        drop = tag in NOISE or (tag in OUTER_NOISE and not inside)
+        hidden = False
+        if attrs and tag not in ("html", "body", "article", "main"):
+            # The id of a heading, or of a section of the article, tells what it is about.
+            plain = tag in HEADINGS or (tag == "section" and inside)
+            found = _MARKS.findall(attrs)
+            marks = " ".join(a or b or c for name, a, b, c in found if not (plain and name.lower() == "id"))
+            hidden = bool(_HIDDEN.search(attrs))
+            drop = drop or bool(marks and (NOISE_WORDS.search(marks) or (not inside and OUTER_WORDS.search(marks))))
+        self.own.append(drop or hidden)
+        self.named.append(drop and not hidden and tag not in CONTROLS)
+        drop = drop or hidden or self.drop[stack[-1]]
         self.tag.append(tag)
         self.parent.append(stack[-1])
         self.drop.append(drop)
@@ -96,6 +120,28 @@ class Page:
         if tag not in VOID:
             stack.append(node)
 
+    def _keep_most(self) -> None:
+        """Keep parts dropped by name that hold most of the page's text, unless an article stands elsewhere."""
+        n = len(self.tag)
+        if not any(self.named):
+            return
+        gone = [o and not m for o, m in zip(self.own, self.named)]
+        for i in range(1, n):
+            gone[i] = gone[i] or gone[self.parent[i]] or self.tag[i] == "a"
+        chars, articles = [0] * n, [0] * n
+        for node, text in self.pieces:
+            # A tag that is never finished is no text.
+            if text and not gone[node] and not re.match("<[a-zA-Z/!?]", text):
+                chars[node] += len(text.strip())
+        for i in range(n - 1, 0, -1):
+            if chars[i] and not self.drop[i] and self.tag[i] in ("article", "main"):
+                articles[i] = 1
+            chars[self.parent[i]] += chars[i]
+            articles[self.parent[i]] += articles[i]
+        for i in range(1, n):
+            most = self.named[i] and chars[i] > MOST * chars[0] and articles[i] == articles[0]
+            self.drop[i] = self.drop[self.parent[i]] or (self.own[i] and not most)
+
     def _close_first(self, tags, stack: list[int], fence) -> None:
         """Close the nearest open element of ``tags`` that no element of ``fence`` hides."""
         for at in range(len(stack) - 1, 0, -1):
