@@ -91,6 +91,20 @@ def test_language(spark):
     assert all(0 < r.probability <= 1 for r in d + p)
 
 
+def test_every_language_is_a_class(spark):
+    """Rare languages, those with long texts only and those whose ids any split leaves out."""
+    import zlib
+
+    left_out = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 5 == 4)
+    rows = [(2 * n + k, f"word{n} text", f"l{n:02}", "s", 0) for n in range(70) for k in range(2)]
+    rows += [(500, "zz", "rare", "s", 0), (left_out, "yy", "split", "s", 0), (501, "long " * 5000, "long", "s", 0)]
+    langs, table = language.train(spark.createDataFrame(rows, SCHEMA))
+    assert langs == sorted({r[2] for r in rows}) and table.shape == (language.BUCKETS, 73)
+    # Each has been trained on a text of its own.
+    for i, text, lang, *_ in rows[140:]:
+        assert langs[int(language.likelihood(text, table).argmax())] == lang
+
+
 def test_language_evidence(spark):
     """Without text, the declaration, the suffix and the host decide."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.html_text import extract
-from tidemill.llm.toxicity import split_of
 from tidemill.session import stage
 
 #: Documented bounds of the sample that the trigram models are trained on.
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_CHARS = 20_000
-MAX_LANGUAGES = 64
+#: Up to this many languages the sample's ids are sent to every executor.
+BROADCAST_LANGUAGES = 64
 
 BUCKETS = 1 << 15
 #: Trigrams overlap, so a text counts as at most this many independent ones.
@@ -60,17 +60,22 @@ def likelihood(text: str | None, table: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and log P(trigram | language) from a bounded sample of declared documents.
 
-    Ids whose crc32 modulo 5 is 4 are left out, for held-out tests.
+    Every declared language with a text is one.  Texts above SAMPLE_CHARS characters are
+    trained on, by their beginning, only where a language has no shorter ones.
     """
-    usable = docs.where(split_of("doc_id", 5) != 4).where(
-        F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)
-    )
-    langs = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    langs = sorted(langs) or ["und"]
+    short = F.length("text") <= SAMPLE_CHARS
+    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    has_short = {r[0]: r[1] for r in usable.groupBy("lang").agg(F.max(short)).collect()}
+    langs = sorted(has_short) or ["und"]
+    long_only = [x for x in langs if has_short.get(x) is False]
+    usable = usable.where(short | F.col("lang").isin(long_only)) if long_only else usable.where(short)
+    usable = usable.withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.where(F.col("lang").isin(langs)).select("lang", "doc_id", F.row_number().over(first).alias("_rn"))
-    # At most per_language ids of each of MAX_LANGUAGES: safe to broadcast.
+    ids = usable.select("lang", "doc_id", F.row_number().over(first).alias("_rn"))
     picked = ids.where(F.col("_rn") <= per_language).select("lang", "doc_id").distinct()
+    # At most per_language ids of each of BROADCAST_LANGUAGES: safe to broadcast.
+    if len(langs) <= BROADCAST_LANGUAGES:
+        picked = F.broadcast(picked)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -82,7 +87,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[lis
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
 
-    rows = usable.join(F.broadcast(picked), ["lang", "doc_id"]).select("lang", "text")
+    rows = usable.join(picked, ["lang", "doc_id"]).select("lang", "text")
     found = rows.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.full((BUCKETS, len(langs)), 0.05)
     # At most BUCKETS rows per language.
