@@ -8,6 +8,7 @@ from tidemill.llm import (
     line_rules,
     mixing,
     near_join,
+    orchard,
     pii,
     quality_net,
     suffix_blocks,
@@ -37,4 +38,5 @@ QUERIES: dict[str, Query] = {
     "op8_near_join": Query(_run(near_join.op8), near_join.SQL),
     "op9_main_text": Query(_run(html_text.op9), None),
     "op10_templates": Query(_run(templates.op10), None),
+    "op11_orchard": Query(_run(orchard.op11), orchard.SQL),
 }
