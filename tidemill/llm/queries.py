@@ -11,6 +11,7 @@ from tidemill.llm import (
     orchard,
     pii,
     quality_net,
+    spelling,
     suffix_blocks,
     templates,
     toxicity,
@@ -39,4 +40,5 @@ QUERIES: dict[str, Query] = {
     "op9_main_text": Query(_run(html_text.op9), None),
     "op10_templates": Query(_run(templates.op10), None),
     "op11_orchard": Query(_run(orchard.op11), orchard.SQL),
+    "op12_spelling": Query(_run(spelling.op12), spelling.SQL),
 }
