@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemill.llm import (
     html_text,
     language,
+    line_index,
     line_rules,
     mixing,
     near_join,
@@ -41,4 +42,5 @@ QUERIES: dict[str, Query] = {
     "op10_templates": Query(_run(templates.op10), None),
     "op11_orchard": Query(_run(orchard.op11), orchard.SQL),
     "op12_spelling": Query(_run(spelling.op12), spelling.SQL),
+    "op13_line_index": Query(_run(line_index.op13), line_index.SQL),
 }
