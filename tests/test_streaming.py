@@ -146,7 +146,7 @@ def test_upsert_sink_replays_without_effect(feed, as_rows, tmp_path):
         T.TimestampNTZType,
         "timestamp",
     )
-    run.upsert_sink(path, ["user"], order)(batch, 1)
+    run.upsert_sink(feed.spark, path, feed.stream().schema, ["user"], order)(batch, 1)
     assert table() == [(1, "y"), (2, "new")]
 
 

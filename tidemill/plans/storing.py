@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.operators import quality
 from tidemill.plans.registry import query
 from tidemill.schemas import TABLES
 from tidemill.session import fresh_path
 from tidemill.sources import files
 from tidemill.sources.ingest import flatten_json, ingest
+from tidemill.sources.keyed import KeyedTable
 from tidemill.sources.tables import read_table
 
 # Orders after ``order_changes``: repriced and deleted recent ones, new ones, and
@@ -93,14 +93,16 @@ def load_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("upsert", CHANGED_ORDERS_SQL)
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders after a change batch, written as a new version and read back."""
+    """Orders in versions: a change batch applied, sent again in vain, and read back."""
     orders = read_table(spark, sf_dir, "orders")
-    path = fresh_path(spark, "orders-version")
-    after = quality.upsert(
-        orders, order_changes(orders), ["o_orderkey"], ["o_orderdate"], delete_flag="deleted"
-    )
-    after.write.parquet(path)
-    return spark.read.schema(orders.schema).parquet(path)
+    table = KeyedTable(
+        spark, fresh_path(spark, "orders-versions"), orders.schema, ["o_orderkey"], ["o_orderdate"],
+        delete_flag="deleted", buckets=8,
+    )
+    table.replace(orders)
+    table.upsert(order_changes(orders), batch=1)
+    table.upsert(order_changes(orders), batch=1)
+    return table.read()
 
 
 @query("compact_files", "SELECT * FROM lineitem")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
-from datetime import timedelta
+from datetime import datetime, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemill.sources.commits import CommitLog, delete_folders, folders_in
 
 
 def write_partitioned(
@@ -26,14 +29,54 @@ def write_partitioned(
     writer.parquet(path)
 
 
-def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at ``path``, or ``None`` where nothing was written yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+#: Every so many loads a commit lists all folders; those between list what came since.
+FULL_LIST = 100
+
+
+class Loads:
+    """The committed loads of a target: a folder each, its range of times, and the mark.
+
+    A load's rows go to a folder of their own and its commit is written after them.  A
+    folder without a commit is what a dead load left: nobody reads it, and the next load
+    takes its rows again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.log = CommitLog(spark, f"{self.path}/_commits")
+
+    def last(self) -> tuple[int, dict | None]:
+        return self.log.last()
+
+    def _listed(self, entry: dict) -> list[dict]:
+        """All loads up to an entry, from two commit files at most."""
+        before = [] if entry["base"] is None else self.log.read(entry["base"])["loads"]
+        return before + entry["loads"]
+
+    def all(self) -> list[dict]:
+        _, entry = self.last()
+        return self._listed(entry) if entry else []
+
+    def add(self, after: int, load: dict, mark: str) -> None:
+        """Commit a load as the one after number ``after``."""
+        number, entry = after + 1, self.log.read(after) if after >= 0 else {"base": None, "loads": []}
+        if number % FULL_LIST == 0:
+            base, loads = None, [*self._listed(entry), load]
+        else:
+            base = number - number % FULL_LIST
+            loads = [load] if after == base else [*entry["loads"], load]
+        self.log.add(number, {"base": base, "loads": loads, "mark": mark})
+
+    def read(self, schema: T.StructType, loads: Sequence[dict] | None = None) -> DataFrame:
+        """The rows of all or the given committed loads."""
+        folders = [f"{self.path}/{x['folder']}" for x in (self.all() if loads is None else loads)]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def abandoned(self) -> list[str]:
+        """Paths of folders that no commit names.  A load that is running has one too."""
+        known = {x["folder"] for x in self.all()}
+        found = [f for f in folders_in(self.spark, self.path) if f.startswith("load-")]
+        return [f"{self.path}/{f}" for f in found if f not in known]
 
 
 def load_incremental(
@@ -44,36 +87,51 @@ def load_incremental(
     overlap: timedelta | None = None,
     undated: str = "refuse",
 ) -> DataFrame:
-    """Append the rows of ``src`` newer than anything at ``target_path``.
+    """Add the rows of ``src`` newer than any that loads brought to ``target_path``.
 
-    A rerun adds nothing.  Rows that arrive later with a time at or before the
-    high-water mark are missed, unless ``overlap`` says how far back to look and
-    ``keys`` tell which of those rows the target already has.  Rows whose contents
+    The mark comes from the log of loads (``Loads``); the target is not read for it.  A
+    rerun adds nothing, also after a load that died half-way, and of two loads at once one
+    fails.  Rows that arrive later with a time at or before the mark are missed, unless
+    ``overlap`` says how far back to look and ``keys`` tell which of those rows the target
+    already has; then only loads that reach into that span are read.  Rows whose contents
     change need ``upsert`` instead.  Rows without a time fit no mark: the load fails
     before it adds anything, or with ``undated="skip"`` every load leaves them out.
     """
     if undated not in ("refuse", "skip"):
         raise ValueError(f"unknown choice: {undated}")
     spark, schema = src.sparkSession, src.schema
+    kind = schema[ts_col].dataType
     if undated == "skip":
         src = src.filter(F.col(ts_col).isNotNull())
     else:
-        message = F.raise_error(F.lit(f"a row has no {ts_col}")).cast(schema[ts_col].dataType)
+        message = F.raise_error(F.lit(f"a row has no {ts_col}")).cast(kind)
         src = src.withColumn(ts_col, F.when(F.col(ts_col).isNull(), message).otherwise(F.col(ts_col)))
-    target = read_if_present(spark, target_path)
-    mark = target.agg(F.max(ts_col)).first()[0] if target is not None else None
-    if mark is None:
+    loads = Loads(spark, target_path)
+    number, entry = loads.last()
+    if entry is None:
         fresh = src
     elif overlap is None:
-        fresh = src.filter(F.col(ts_col) > F.lit(mark))
+        fresh = src.filter(F.col(ts_col) > F.lit(entry["mark"]).cast(kind))
     else:
         if not keys:
             raise ValueError("an overlap needs keys to recognise rows already loaded")
-        recent = F.col(ts_col) > F.lit(mark - overlap)
-        known = target.filter(recent).select(*keys).distinct()
+        since = datetime.fromisoformat(entry["mark"]) - overlap
+        recent = F.col(ts_col) > F.lit(str(since)).cast(kind)
+        near = [x for x in loads.all() if datetime.fromisoformat(x["high"]) >= since]
+        known = loads.read(schema, near).filter(recent).select(*keys).distinct()
         fresh = src.filter(recent).join(known, list(keys), "left_anti")
-    fresh.write.mode("append").parquet(target_path)
-    return spark.read.schema(schema).parquet(target_path)
+    folder = f"load-{uuid.uuid4().hex}"
+    fresh.write.parquet(f"{loads.path}/{folder}")
+    written = spark.read.schema(schema).parquet(f"{loads.path}/{folder}")
+    mark = F.max(ts_col) if entry is None else F.greatest(F.max(ts_col), F.lit(entry["mark"]).cast(kind))
+    low, high, mark, n = written.agg(
+        F.min(ts_col).cast("string"), F.max(ts_col).cast("string"), mark.cast("string"), F.count(F.lit(1))
+    ).first()
+    if n:
+        loads.add(number, {"folder": folder, "low": low, "high": high, "rows": n}, mark)
+    else:
+        delete_folders(spark, [f"{loads.path}/{folder}"])
+    return loads.read(schema)
 
 
 def compact(

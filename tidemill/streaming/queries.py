@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemill.operators.clean import dedup_latest
 from tidemill.session import fresh_path
+from tidemill.sources.keyed import MAX_CHANGES, KeyedTable
 
 
 # Files of one micro-batch: a backlog is worked off in batches, not in one.
@@ -64,18 +64,24 @@ def result_of(sdf: DataFrame, name: str) -> DataFrame:
 
 
 def upsert_sink(
-    path: str, keys: Sequence[str], order_by: Sequence[str]
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    max_changes: int = MAX_CHANGES,
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps a keyed table as one folder per batch.
+    """A ``foreachBatch`` function that keeps a keyed table in versions.
 
-    A batch writes only its own rows, newest per key, and overwrites its own folder:
-    a batch that is replayed after a failure leaves the same table.  ``read_upserted``
-    resolves keys across batches.
+    A batch adds its own rows, newest per key, and is committed under its number: one that
+    is replayed after a failure changes nothing.  Once ``max_changes`` batches have
+    gathered they are folded into the table, of which only the buckets with changed keys
+    are rewritten, so a read touches the table and a bounded number of other folders.
     """
+    table = KeyedTable(spark, path, schema, keys, order_by, max_changes=max_changes)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = dedup_latest(batch, keys, [F.col(c).desc() for c in order_by])
-        newest.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        table.add(batch, batch_id)
 
     return write
 
@@ -83,11 +89,8 @@ def upsert_sink(
 def read_upserted(
     spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], order_by: Sequence[str]
 ) -> DataFrame:
-    """The newest row per key over all batches; a later batch wins a tie."""
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    rows = spark.read.schema(full).parquet(path)
-    order = [F.col(c).desc() for c in (*order_by, "batch")]
-    return naive_times(dedup_latest(rows, keys, order).drop("batch"))
+    """The newest row per key of all batches; a later batch wins a tie."""
+    return naive_times(KeyedTable(spark, path, schema, keys, order_by).read())
 
 
 def run_upserts(
@@ -97,10 +100,13 @@ def run_upserts(
     keys: Sequence[str],
     order_by: Sequence[str],
     mode: str = "append",
+    max_changes: int = MAX_CHANGES,
 ) -> StreamingQuery:
     """Run a stream into the keyed sink; ``mode="update"`` for aggregates that go on changing."""
     query = (
-        sdf.writeStream.foreachBatch(upsert_sink(path, keys, order_by))
+        sdf.writeStream.foreachBatch(
+            upsert_sink(sdf.sparkSession, path, sdf.schema, keys, order_by, max_changes)
+        )
         .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
