@@ -1,5 +1,6 @@
 """Streams: what batches give once windows are closed, late rows, restarts, replays."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import types as T
 from tidemill.operators import events
 from tidemill.streaming import operators as ops
 from tidemill.streaming import queries as run
-from tidemill.streaming.state import merge_state, stream_state
+from tidemill.streaming.state import activity_runs, joined_runs
 
 SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -110,23 +111,75 @@ def test_stream_joins(feed, as_rows):
         ]
 
 
-def test_state_survives_restart_and_expires(feed):
-    def sdf():
-        return stream_state(feed.stream(), "user", "ts", "id", "kind", HOUR, 10 * HOUR, slices=3)
-
-    feed.deliver([row(i, 1, i % 4, "early") for i in range(20)] + [row(50, 2, 1, "two")])
-    run.run_once(sdf(), feed.out, feed.checkpoint)
-    feed.deliver([row(60, 1, 5, "later")])
-    run.run_once(sdf(), feed.out, feed.checkpoint)
-    snapshots = feed.read(sdf())
-    now = {r.user: (r.n_events, r.last_event, r.expired) for r in merge_state(snapshots, "user").collect()}
-    assert now == {1: (21, "later", False), 2: (1, "two", False)}
-    # Much later only user 1 returns: old runs expire, a new one starts, counts add up.
-    feed.deliver([row(70, 1, 100, "back")])
-    run.run_once(sdf(), feed.out, feed.checkpoint)
-    now = {r.user: (r.n_events, r.last_event, r.expired) for r in merge_state(feed.read(sdf()), "user").collect()}
-    assert now[2] == (1, "two", True)
-    assert now[1] == (22, "back", False)
+def test_the_ledger_survives_a_crash_and_a_replay(feed, monkeypatch):
+    def report():
+        return ops.late_report(
+            feed.spark, feed.path, SCHEMA, ["id"], "ts", timedelta(days=1), feed.out, feed.checkpoint
+        )
+
+    def ledger():
+        return {r.batch: (r.landed, r.kept, r.late) for r in ops.late_ledger(feed.spark, feed.out).collect()}
+
+    feed.deliver([row(i % 4, 1, i % 4) for i in range(6)] + [row(9, 1, 400)])  # two copies; the watermark jumps
+    assert report() == 0
+    feed.deliver([row(20, 1, 401)])
+    with monkeypatch.context() as m:
+        m.setattr(ops.CommitLog, "add", lambda *_: 1 / 0)
+        with pytest.raises(Exception):
+            report()
+    before = ledger()
+    assert sum(v[0] for v in before.values()) == 7 and sum(v[1] for v in before.values()) == 5
+    assert report() == 0
+    # Late: a new id, and a copy of a kept one; on time: a copy, and a row without a time.
+    feed.deliver([row(50, 1, 2), row(1, 1, 1), row(20, 1, 401), (60, 1, None, "a")])
+    assert report() == 2 and report() == 2
+    last = ledger()
+    assert set(before.items()) <= set(last.items())
+    assert [sum(v[i] for v in last.values()) for i in range(3)] == [12, 7, 2]
+    kept = feed.spark.read.schema("id bigint").parquet(feed.out)
+    assert sorted(r.id for r in kept.collect()) == [0, 1, 2, 3, 9, 20, 60]
+
+
+def test_runs_are_the_same_however_events_are_cut():
+    rng = random.Random(4)
+    for _ in range(200):
+        events_ = [(t, t, 1, i, f"e{i}") for i, t in enumerate(rng.choices(range(60), k=rng.randint(1, 25)))]
+        whole = joined_runs(events_, 3)
+        rng.shuffle(events_)
+        cut = rng.randint(0, len(events_))
+        assert joined_runs(joined_runs(events_[:cut], 3) + joined_runs(events_[cut:], 3), 3) == whole
+        assert sum(r[2] for r in whole) == len(events_)
+        assert all(b[0] - a[1] > 3 for a, b in zip(whole, whole[1:]))
+
+
+def test_runs_expire_and_keys_return(feed):
+    path, keys = feed.out, ["user", "started"]
+
+    def deliver(*rows):
+        feed.deliver(list(rows))
+        runs = activity_runs(feed.stream(), "user", "ts", "id", "kind", HOUR, 10 * HOUR)
+        run.run_upserts(runs, path, feed.checkpoint, keys, ["seq"], mode="update")
+        got = run.read_upserted(feed.spark, path, runs.schema, keys, ["seq"]).filter("n_events > 0").collect()
+        at = lambda t: (t - T0) / HOUR
+        return sorted(((r.user, at(r.started), at(r.ended), r.n_events, r.last_event, r.expired) for r in got), key=repr)
+
+    # Two runs of user 1 with a gap above ten hours between; a key that is null; equal times.
+    assert deliver(*[row(i, 1, 2 + i % 4, f"k{i}") for i in range(20)], row(50, 1, 15.5, "x"), row(51, 2, 1, "two"),
+                   row(52, None, 2, "null"), row(53, 2, 1, "tie")) == [
+        (1, 15.5, 15.5, 1, "x", False), (1, 2, 5, 20, "k19", False),
+        (2, 1, 1, 2, "tie", True), (None, 2, 2, 1, "null", True)]
+    # After a restart an event between joins the two runs of user 1.
+    assert deliver(row(60, 1, 14.8, "between"), row(61, 1, 15, "between")) == [
+        (1, 2, 15.5, 23, "x", False), (2, 1, 1, 2, "tie", True), (None, 2, 2, 1, "null", True)]
+    # Much later user 1 returns: the old runs expire, a new one starts.
+    got = deliver(row(70, 1, 100, "back"))
+    assert got == [(1, 100, 100, 1, "back", False), (1, 2, 15.5, 23, "x", True),
+                   (2, 1, 1, 2, "tie", True), (None, 2, 2, 1, "null", True)]
+    # So does user 2, twice in one delivery; a row from before the watermark is late.
+    got = deliver(row(80, 2, 101, "a"), row(81, 2, 130, "b"), row(82, 3, 5, "late"))
+    assert [r for r in got if r[0] in (2, 3)] == [
+        (2, 1, 1, 2, "tie", True), (2, 101, 101, 1, "a", True), (2, 130, 130, 1, "b", False)]
+    assert (1, 100, 100, 1, "back", True) in got
 
 
 def test_upsert_sink_replays_without_effect(feed, as_rows, tmp_path):

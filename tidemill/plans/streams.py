@@ -15,6 +15,7 @@ from tidemill.session import fresh_path
 from tidemill.sources.tables import read_table
 from tidemill.streaming import operators as ops
 from tidemill.streaming import queries as run
+from tidemill.streaming.state import activity_runs
 
 HOUR, DAY = timedelta(hours=1), timedelta(days=1)
 
@@ -104,16 +105,34 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_user_state",
     """
-    SELECT user_id, count(*) AS n_events, arg_max(event_type, (ts, event_id)) AS last_event
-    FROM events GROUP BY 1
+    WITH gaps AS (
+      SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS g
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    numbered AS (
+      SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM gaps)
+    SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n_events,
+           arg_max(event_type, (ts, event_id)) AS last_event,
+           max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS expired
+    FROM numbered GROUP BY user_id, run
     """,
 )
 def stream_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events and last event per user, kept up to date by a keyed sink."""
-    path, checkpoint = fresh_path(spark, "user-state"), fresh_path(spark, "user-state-checkpoint")
-    totals = ops.stream_totals(_events(spark, sf_dir), "user_id", "ts", "event_id", "event_type")
-    run.run_upserts(totals, path, checkpoint, ["user_id"], ["n_events"], mode="update")
-    return run.read_upserted(spark, path, totals.schema, ["user_id"], ["n_events"])
+    """Runs of activity per user; a timer expires a run once the user was idle for six hours.
+
+    Users fall idle and return all the time.  The feed comes in three deliveries, each
+    taken up by a restarted stream.
+    """
+    path, checkpoint = fresh_path(spark, "user-runs"), fresh_path(spark, "user-runs-checkpoint")
+    landing, events = fresh_path(spark, "landing-users"), read_table(spark, sf_dir, "events")
+    edges = ["TIMESTAMP_NTZ '2024-01-11'", "TIMESTAMP_NTZ '2024-01-21'"]
+    deliveries = [f"ts < {edges[0]}", f"ts >= {edges[0]} AND ts < {edges[1]}", f"ts >= {edges[1]}"]
+    for delivery in deliveries:
+        events.filter(delivery).write.mode("append").parquet(landing)
+        feed = run.read_stream(spark, landing, TABLES["events"])
+        runs = activity_runs(feed, "user_id", "ts", "event_id", "event_type", HOUR, timedelta(hours=6))
+        run.run_upserts(runs, path, checkpoint, ["user_id", "started"], ["seq"], mode="update")
+    kept = run.read_upserted(spark, path, runs.schema, ["user_id", "started"], ["seq"])
+    return kept.filter("n_events > 0").drop("seq")
 
 
 @query(

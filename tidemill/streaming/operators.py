@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemill.operators import joins
-from tidemill.streaming.queries import read_stream, run_once
+from tidemill.sources.commits import CommitLog
+from tidemill.streaming.queries import read_stream
 
 
 def _text(span: timedelta) -> str:
@@ -134,14 +135,69 @@ def late_report(
     out: str,
     checkpoint: str,
 ) -> int:
-    """Append the on-time rows of ``landing`` to ``out``; return how many ids came too late.
+    """Append the on-time rows of ``landing`` to ``out``; return how many rows came too late.
 
-    A row is judged by the watermark of the batch before its own.  The late ones are
-    counted from data, as the ids that landed and were never kept, over all runs so
-    far: no progress report is needed, so none can be missed or lost in a crash.
+    Every micro-batch writes its rows to a folder of its own and then one entry in a
+    ledger (``late_ledger``): rows landed, kept and late, and totals so far.  The number
+    returned is the last total, so a run costs as much as its new files.  A batch that is
+    repeated after a crash overwrites its folder, and one that is in the ledger does nothing.
+
+    A row is judged by the watermark of the batch before its own: ``delay`` behind the
+    latest time of the batches before that one, and 1970 before there is any.  Late copies
+    of a row that was kept are late rows too; rows neither kept nor late are copies.
     """
     sdf = read_stream(spark, landing, schema)
-    run_once(stream_dedup(sdf, keys, ts, delay, salts=1), out, checkpoint)
-    landed = spark.read.schema(schema).parquet(landing).select(*keys).distinct()
-    kept = spark.read.schema(schema).parquet(out).select(*keys)
-    return landed.join(kept, list(keys), "left_anti").count()
+    columns = sdf.columns
+    kept = stream_dedup(sdf, keys, ts, delay, salts=1).select(
+        *columns, F.lit(None).cast("timestamp").alias("__landed"), F.lit(True).alias("__kept")
+    )
+    # The same rows as they landed, of which only the time is read.
+    landed = sdf.select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in sdf.schema],
+        F.col(ts).alias("__landed"),
+        F.lit(False).alias("__kept"),
+    )
+    ledger = CommitLog(spark, f"{out}/_ledger")
+    delay_ms = int(delay.total_seconds() * 1000)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        number, totals = ledger.last()
+        if number >= batch_id:
+            return
+        before = ledger.read(batch_id - 2)["latest_ms"] if 2 <= batch_id <= number + 2 else None
+        watermark = 0 if before is None else max(0, before - delay_ms)
+        late = ~F.col("__kept") & (F.col("__landed") <= F.timestamp_millis(F.lit(watermark)))
+        seen = Observation()
+        counted = batch.observe(
+            seen,
+            F.count_if(~F.col("__kept")).alias("landed"),
+            F.count_if("__kept").alias("kept"),
+            F.count_if(late).alias("late"),
+            F.max(F.unix_millis("__landed")).alias("latest_ms"),
+        )
+        counted.filter("__kept").select(*columns).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        entry = dict(seen.get)
+        totals = totals or {}
+        for name in ("landed", "kept", "late"):
+            entry[f"{name}_total"] = totals.get(f"{name}_total", 0) + entry[name]
+        times = [t for t in (totals.get("latest_ms"), entry["latest_ms"]) if t is not None]
+        ledger.add(batch_id, entry | {"latest_ms": max(times, default=None)})
+
+    query = (
+        kept.unionByName(landed)
+        .writeStream.foreachBatch(write)
+        .outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return (ledger.last()[1] or {"late_total": 0})["late_total"]
+
+
+def late_ledger(spark, out: str) -> DataFrame:
+    """batch, landed, kept, late and their totals so far, of every micro-batch."""
+    ledger = CommitLog(spark, f"{out}/_ledger")
+    names = ["landed", "kept", "late", "landed_total", "kept_total", "late_total"]
+    rows = [(n, *[e[c] for c in names]) for n in ledger.numbers() for e in [ledger.read(n)]]
+    return spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ["batch", *names]))

@@ -1,4 +1,4 @@
-"""Custom state per key: running count, last event and expiry."""
+"""Custom state per key: runs of activity with timers that expire them."""
 
 from __future__ import annotations
 
@@ -11,84 +11,135 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Times are microseconds here: Python workers then convert no time zones.
-_STATE = "started bigint, n bigint, last_ts bigint, last_id bigint, last_event string"
-_OUT = f"key bigint, slice int, {_STATE}, expired boolean"
-_COLUMNS = ["key", "slice", "started", "n", "last_ts", "last_id", "last_event", "expired"]
-
-
-def stream_state(
-    sdf: DataFrame,
-    by: str,
-    ts: str,
-    id_col: str,
-    event: str,
-    delay: timedelta,
-    idle: timedelta,
-    slices: int = 4,
-) -> DataFrame:
-    """A snapshot of each key's state after every batch that changes it.
+_RUN = "started bigint, ended bigint, n bigint, last_id bigint, last_event string"
+_COLUMNS = ["started", "ended", "n", "last_id", "last_event"]
+_OUT = ["key", *_COLUMNS, "seq", "expired"]
+
+
+def joined_runs(parts: list[tuple], idle: int) -> list[tuple]:
+    """Runs from parts of runs (``_COLUMNS``): parts no more than ``idle`` apart are one.
 
-    State is kept per key and slice - a hash of the row id - so that a busy key is
-    spread over tasks; ``merge_state`` puts slices together.  A slice without events
-    for ``idle`` of event time is expired and starts afresh when events return.
+    Whatever way a run's events were cut into parts, the result is the same.
     """
-    idle_ms = int(idle.total_seconds() * 1000)
-
-    def update(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            row = (*key, *state.get, True)
-            state.remove()
-            yield pd.DataFrame([row], columns=_COLUMNS)
-            return
-        fresh = not state.exists
-        started, n, last_ts, last_id, last_event = (None, 0, None, None, None) if fresh else state.get
-        for batch in batches:
-            if batch.empty:
-                continue
-            ts, ids = batch["ts"].to_numpy(), batch["id"].to_numpy()
-            if fresh:
-                # The start names a run, so it never changes once the run was emitted.
-                started = int(ts.min()) if started is None else min(started, int(ts.min()))
-            n += len(batch)
-            at = np.lexsort((ids, ts))[-1]
-            newest = (int(ts[at]), int(ids[at]))
-            if last_ts is None or newest > (last_ts, last_id):
-                (last_ts, last_id), last_event = newest, batch["event"].iat[at]
-        held = (started, n, last_ts, last_id, last_event)
-        state.update(held)
-        state.setTimeoutTimestamp(max(last_ts // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*key, *held, False)], columns=_COLUMNS)
-
-    slice_no = F.pmod(F.xxhash64(id_col), F.lit(slices)).cast("int")
-    rows = sdf.withWatermark(ts, f"{int(delay.total_seconds())} seconds").select(
-        F.col(ts).alias("event_time"),
-        F.col(by).alias("key"),
-        slice_no.alias("slice"),
-        F.unix_micros(ts).alias("ts"),
-        F.col(id_col).alias("id"),
-        F.col(event).alias("event"),
-    )
-    return rows.groupBy("key", "slice").applyInPandasWithState(
-        update, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    runs: list[tuple] = []
+    for part in sorted(parts, key=lambda r: (r[0], r[1])):
+        if runs and part[0] - runs[-1][1] <= idle:
+            held = runs[-1]
+            last = max(held, part, key=lambda r: (r[1], r[3]))
+            runs[-1] = (held[0], last[1], held[2] + part[2], last[3], last[4])
+        else:
+            runs.append(part)
+    return runs
+
+
+def _parts(batches: Iterator[pd.DataFrame], idle: int) -> Iterator[pd.DataFrame]:
+    """Per task and key the runs of its events, so that a busy key sends few rows."""
+    for batch in batches:
+        if batch.empty:
+            continue
+        code, keys = pd.factorize(batch["key"], use_na_sentinel=False)
+        order = np.lexsort((batch["id"], batch["ts"], code))
+        code, ts, ids = code[order], batch["ts"].to_numpy()[order], batch["id"].to_numpy()[order]
+        event = batch["event"].to_numpy(object)[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(code) != 0) | (np.diff(ts) > idle)]))
+        last = np.concatenate([first[1:], [len(ts)]]) - 1
+        yield pd.DataFrame({
+            "key": pd.Series(keys, dtype=object).where(pd.notna(keys), None).to_numpy()[code[first]],
+            "event_time": pd.to_datetime(ts[last], unit="us"), "started": ts[first], "ended": ts[last],
+            "n": last - first + 1, "last_id": ids[last], "last_event": event[last],
+        })
+
+
+class _Runs(StatefulProcessor):
+    """Open runs of a key, and one timer at the time the first of them is over."""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.runs = handle.getListState("runs", _RUN)
+        self.about = handle.getValueState("about", "seq bigint, timer bigint")
 
+    def _due(self, ended: int) -> int:
+        """Milliseconds, rounded up, at which a run that ended then is over."""
+        return -(-(ended + self.idle) // 1000)
 
-def merge_state(snapshots: DataFrame, by: str) -> DataFrame:
-    """One row per key from the snapshots of its slices: events, last event, runs open."""
-    runs = snapshots.groupBy("key", "slice", "started").agg(
-        F.max("n").alias("n"),
-        F.max(F.struct("last_ts", "last_id", "last_event")).alias("last"),
-        F.max("expired").alias("expired"),
+    def _keep(self, runs: list[tuple], seq: int, timer: int | None, watermark: int) -> None:
+        """Put the state down and move the timer, which was at ``timer``."""
+        # A run that is over by now is closed by the next watermark.
+        first = max(min(self._due(r[1]) for r in runs), watermark + 1)
+        if timer != first:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+        self.runs.put(runs)
+        self.about.update((seq, first))
+
+    def _tell(self, key: tuple, rows: list[tuple], seq: int, expired: bool) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r, seq, expired) for r in rows], columns=_OUT)
+
+    def handleInputRows(self, key, rows, timerValues):
+        seq, timer = self.about.get() if self.about.exists() else (-1, None)
+        before = [tuple(r) for r in self.runs.get()] if timer is not None else []
+        new = [r for batch in rows for r in zip(*[batch[c].tolist() for c in _COLUMNS])]
+        after = joined_runs(before + new, self.idle)
+        self._keep(after, seq + 1, timer, timerValues.getCurrentWatermarkInMs())
+        # A run that another has taken in is told with no events.
+        starts = {r[0] for r in after}
+        gone = [(r[0], r[1], 0, r[3], r[4]) for r in before if r[0] not in starts]
+        yield self._tell(key, [r for r in after if r not in before] + gone, seq + 1, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        seq, runs = self.about.get()[0], [tuple(r) for r in self.runs.get()]
+        now = timerValues.getCurrentWatermarkInMs()
+        left = [r for r in runs if self._due(r[1]) > now]
+        if left:
+            self._keep(left, seq + 1, None, now)
+        else:
+            # An idle key keeps nothing; when it returns it starts afresh.
+            self.runs.clear()
+            self.about.clear()
+        yield self._tell(key, [r for r in runs if self._due(r[1]) <= now], seq + 1, True)
+
+    def close(self) -> None:
+        pass
+
+
+def activity_runs(
+    sdf: DataFrame, by: str, ts: str, id_col: str, event: str, delay: timedelta, idle: timedelta
+) -> DataFrame:
+    """What changes about each key's runs of activity, for update mode into a keyed sink.
+
+    A run is a key's events with no gap above ``idle``.  Every batch tells the runs it
+    changed: start, end, events so far, last event.  When the watermark, ``delay`` behind
+    the latest event, passes a run's end by ``idle``, a timer tells it once more as expired
+    and its state is dropped.  ``n`` is 0 for a run that an event between has joined to an
+    earlier one.  Of the rows for a key and start the last by ``seq`` counts.
+
+    Events are made into parts of runs before the shuffle, so a busy key sends a row per
+    task and gap.  A part is late as a whole, by its last event.  Rows without a time are
+    left out.
+    """
+    micros = int(idle.total_seconds() * 1_000_000)
+    kind = sdf.schema[by].dataType.simpleString()
+    rows = sdf.where(F.col(ts).isNotNull()).select(
+        F.col(by).alias("key"), F.unix_micros(ts).alias("ts"), F.col(id_col).alias("id"), F.col(event).alias("event")
     )
-    return runs.groupBy(F.col("key").alias(by)).agg(
-        F.sum("n").alias("n_events"),
-        F.max("last").getField("last_event").alias("last_event"),
-        F.min("expired").alias("expired"),
+    parts = rows.mapInPandas(lambda batches: _parts(batches, micros), f"key {kind}, event_time timestamp, {_RUN}")
+    changed = (
+        parts.withWatermark("event_time", f"{int(delay.total_seconds() * 1_000_000)} microseconds")
+        .groupBy("key")
+        .transformWithStateInPandas(
+            _Runs(micros), f"key {kind}, {_RUN}, seq bigint, expired boolean", "Update", "EventTime"
+        )
     )
+    return changed.select(
+        F.col("key").alias(by), F.timestamp_micros("started").alias("started"), F.timestamp_micros("ended").alias("ended"),
+        F.col("n").alias("n_events"), "last_event", "seq", "expired",
+    )
