@@ -65,17 +65,17 @@ def _spaced(text: Column) -> Column:
     return F.when(text.rlike(f"[{NAME}{NUMBER}{UNIT}{OPENER}{JOIN}{UNSPACED}]"), apart).otherwise(text)
 
 
-def _split(text: Column) -> Column:
-    """Words of a text; texts that begin or end between words give no empty ones."""
-    return F.split(F.regexp_replace(text, f"^{BETWEEN}|{BETWEEN}$", ""), BETWEEN, -1)
+def _split(text: Column, ends: bool = True) -> Column:
+    """Words of a text; with ``ends``, texts that begin or end between words give no empty ones."""
+    return F.split(F.regexp_replace(text, f"^{BETWEEN}|{BETWEEN}$", "") if ends else text, BETWEEN, -1)
 
 
-def literal_words(text: Column) -> Column:
+def literal_words(text: Column, ends: bool = True) -> Column:
     """The words in lower case."""
-    return _split(F.lower(_spaced(text)))
+    return _split(F.lower(_spaced(text)), ends)
 
 
-def template_words(text: Column) -> Column:
+def template_words(text: Column, ends: bool = True) -> Column:
     """The words in lower case with placeholders: ``canonical_words`` of ``raw_words``.
 
     The same in fewer steps, for all documents.
@@ -83,7 +83,7 @@ def template_words(text: Column) -> Column:
     t = F.regexp_replace(_spaced(text), rf"{_NO_WORD_BEFORE}{CAPITALISED}(?: {CAPITALISED})*", NAME)
     n = F.regexp_replace(t, rf"[0-9](?:[0-9]|(?<=[0-9])[.,](?=[0-9]))* ?{_UNIT_NAME}", f"{NUMBER} {UNIT}")
     n = F.regexp_replace(n, r"[0-9](?:[0-9]|[.,](?=[0-9]))*", NUMBER)
-    return _split(F.lower(F.when(t.rlike("[0-9]"), n).otherwise(t)))
+    return _split(F.lower(F.when(t.rlike("[0-9]"), n).otherwise(t)), ends)
 
 
 def raw_words(text: Column) -> Column:
@@ -210,13 +210,14 @@ def suspects(keyed: DataFrame, items: _Benchmark, share: float) -> DataFrame:
     By short items: their first words.
     """
     key = ["_k1", "_k2"]
-    rows = keyed.select(*key, template_words(F.col("text")).alias("_c"))
+    # Places don't count here, so an empty word at either end does no harm.
+    rows = keyed.select(*key, template_words(F.col("text"), ends=False).alias("_c"))
     rows = rows.select(*key, F.explode(_in_a_row("_c", WORDS)).alias("_x")).where(f"_x.`{WORDS - 1}` IS NOT NULL")
     hits = rows.select(*key, _hash("_x").alias("_h")).join(items.templates.select("_h", "_item", "_ipos", "_n"), "_h")
     counted = hits.groupBy(*key, "_item", "_n").agg(F.count_distinct("_ipos").alias("_c"))
     found = [counted.where((F.col("_c") >= share * F.col("_n")) | (F.col("_c") > RUN - WORDS)).select(*key)]
 
-    words = keyed.select(*key, literal_words(F.col("text")).alias("_w"))
+    words = keyed.select(*key, literal_words(F.col("text"), ends=False).alias("_w"))
     places = F.when(F.size("_w") >= WORDS, F.sequence(F.lit(1), F.size("_w") - (WORDS - 1), F.lit(WORDS)))
     fifth = words.select(*key, F.explode(F.transform(places, lambda i: F.slice("_w", i, WORDS))).alias("_x"))
     fifth = fifth.select(*key, F.xxhash64(*[F.col("_x")[k] for k in range(WORDS)]).alias("_h"))
