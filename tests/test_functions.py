@@ -2,6 +2,7 @@
 
 from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -61,7 +62,40 @@ def test_map_groups_cuts_large_groups(spark, as_rows):
     assert {k: n for k, (n, _) in whole.items()} == {k: n for k, (n, _) in cut.items()}
 
 
-PYTHON = {"udf_scalar", "udaf_median", "udtf_tokens", "grouped_map"}
+def test_quantiles_stay_within_their_bound():
+    rng = np.random.default_rng(1)
+    for n, size in [(0, 8), (1, 8), (15, 8), (5000, 64), (200_000, 256)]:
+        values = rng.permutation(n).astype(float)
+        whole, parts = udf.Quantiles(size), [udf.Quantiles(size) for _ in range(7)]
+        for chunk in np.array_split(values, 40):
+            whole.add(np.append(chunk, np.nan))
+            parts[int(rng.integers(7))].add(chunk)
+        merged = udf.Quantiles(size)
+        for p in parts:
+            merged.merge(udf.Quantiles.load(p.dump()))
+        for state in (whole, merged):
+            assert sum(len(v) << i for i, v in enumerate(state.levels)) == n
+            assert len(state.dump()) < 16 * size * 24
+            bound = n * max(0, np.log2(max(n, 1) / size)) / (2 * size) + 1
+            for q in (0, 0.1, 0.5, 0.99, 1):
+                got = state.quantile(q)
+                assert np.isnan(got) if n == 0 else abs(got - q * (n - 1)) <= bound
+    assert udf.Quantiles().quantile(0.5) != udf.Quantiles().quantile(0.5)
+
+
+def test_partial_aggregate_of_a_large_domain(spark, as_rows):
+    df = spark.range(0, 300_000, 1, 6).selectExpr("id % 3 = 0 as g", "cast(id as double) as v")
+    odd = spark.createDataFrame([(None, 4.0), (None, 5.0), (False, None), (False, float("nan"))], "g boolean, v double")
+    few = spark.createDataFrame([(None, None)], "g boolean, v double")
+    got = udf.aggregate_partial(
+        df.unionByName(odd).unionByName(few), ["g"], "v", lambda: udf.Quantiles(512), lambda s: s.quantile(0.5), "m"
+    )
+    got = {r.g: r.m for r in got.collect()}
+    assert got.pop(None) == 4.5 and set(got) == {True, False}
+    assert all(abs(m - 150_000) < 300_000 * 10 / 1024 + 3 for m in got.values())
+
+
+PYTHON = {"udf_scalar", "udaf_median", "udaf_median_partial", "udtf_tokens", "grouped_map"}
 # These write files or run streams while they are built; their plans are read-backs.
 EAGER = {"ingest_typed", "write_partitioned", "load_incremental", "upsert", "compact_files", "elt_daily"}
 

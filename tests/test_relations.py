@@ -1,5 +1,7 @@
 """Joins, aggregates, sets, event time and nested values on small frames."""
 
+import math
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -19,12 +21,38 @@ def test_semi_and_anti_with_nulls_and_repeats(spark, as_rows):
 
 def test_band_join_overlap_edges_and_gaps(spark, as_rows):
     bands = spark.createDataFrame(
-        [("low", -1.0, 10.0), ("mid", 5.0, 20.0), ("empty", 30.0, 30.0)], "band string, lo double, hi double"
+        [("low", -1.0, 10.0), ("mid", 5.0, 20.0), ("empty", 30.0, 30.0), ("back", 9.0, 1.0)], "band string, lo double, hi double"
     )
     df = spark.createDataFrame([(-1.0,), (5.0,), (10.0,), (20.0,), (30.0,), (None,)], "v double")
-    for width in (1.0, 7.0, 1000.0):
-        got = as_rows(joins.band_join(df, bands, "v", width), "v", "band")
-        assert got == sorted([(-1.0, "low"), (5.0, "low"), (5.0, "mid"), (10.0, "mid")], key=repr)
+    got = as_rows(joins.band_join(df, bands, "v"), "v", "band")
+    assert got == sorted([(-1.0, "low"), (5.0, "low"), (5.0, "mid"), (10.0, "mid")], key=repr)
+    assert joins.band_join(df, bands.limit(0), "v").count() == 0 == joins.band_join(df.limit(0), bands, "v").count()
+
+
+def test_band_join_of_all_widths_equals_a_nested_loop(spark):
+    rng = random.Random(3)
+    inf, nan = float("inf"), float("nan")
+    number = lambda: rng.choice([0.0, rng.uniform(-1, 1), rng.uniform(-1, 1) * 10 ** rng.uniform(-12, 12)])
+    values = [number() for _ in range(300)] + [inf, -inf, nan, 1.7e308, -1.7e308, 5e-324, -0.0]
+    bands = [(i, *sorted((number(), number()))) for i in range(150)]
+    bands += [(200 + i, v, v + abs(v) * 1e-15) for i, v in enumerate(values[:20])]
+    edges = [None, inf, -inf, -1.7e308, 1.7e308, 0.0, nan]
+    bands += [(300 + i, a, b) for i, (a, b) in enumerate((a, b) for a in edges for b in edges)]
+    # Spark and SQL alike: NaN is above all other numbers.
+    less = lambda a, b: (not math.isnan(a)) and (math.isnan(b) or a < b)
+    want = sorted((i, n) for n, lo, hi in bands for i, v in enumerate(values)
+                  if (lo is None or not less(v, lo)) and (hi is None or less(v, hi)))
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    joined = joins.band_join(df, spark.createDataFrame(bands, "band int, lo double, hi double"), "v")
+    assert sorted((r.i, r.band) for r in joined.collect()) == want
+    assert "NestedLoop" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_wide_band_is_listed_a_few_times(spark):
+    bands = spark.createDataFrame([(1, 0, 10**9), (2, 5, 6), (3, None, None)], "band int, lo long, hi long")
+    df = spark.range(10).selectExpr("id * 100000000 as v")
+    joined = joins.band_join(df, bands, "v")
+    assert sorted((r.v, r.band) for r in joined.collect()) == sorted((i * 10**8, b) for i in range(10) for b in (1, 3))
 
 
 def test_densify_fills_every_day(spark, as_rows):

@@ -6,6 +6,7 @@ exchange Arrow batches; none receives an unbounded group in one call.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Callable, Iterator, Sequence
 
@@ -63,6 +64,117 @@ def weighted_median(values: pd.Series, counts: pd.Series) -> float:
     return float((v[low] + v[high]) / 2)
 
 
+class Quantiles:
+    """A mergeable summary of numbers in bounded memory, for ``aggregate_partial``.
+
+    Buffers of ``size`` numbers stand for ``2 ** level`` times as many.  Two full buffers of
+    a level are sorted together and every other number goes to the next level.  One such
+    step moves a rank by at most ``2 ** level``, so after ``n`` numbers a rank is off by at
+    most ``n * log2(n / size) / (2 * size)``; up to ``size`` numbers nothing is lost.
+    """
+
+    def __init__(self, size: int = 2048):
+        self.size = size
+        self.levels: list[np.ndarray] = []
+
+    def add(self, values: np.ndarray, level: int = 0) -> None:
+        """Take in numbers that stand for ``2 ** level`` each; NaN is left out."""
+        values = values[~np.isnan(values)]
+        while len(self.levels) <= level:
+            self.levels.append(np.zeros(0))
+        held = np.concatenate([self.levels[level], values])
+        full = len(held) // (2 * self.size) * 2 * self.size
+        self.levels[level] = held[full:]
+        if full:
+            pairs = np.sort(held[:full].reshape(-1, 2 * self.size), axis=1)
+            # Odd and even places in turn, so that errors do not add up.
+            self.add(pairs[:, level % 2 :: 2].ravel(), level + 1)
+
+    def merge(self, other: Quantiles) -> None:
+        for level, values in enumerate(other.levels):
+            self.add(values, level)
+
+    def dump(self) -> bytes:
+        lengths = np.array([self.size, *map(len, self.levels)], np.int64)
+        return np.int64(len(lengths)).tobytes() + lengths.tobytes() + b"".join(v.tobytes() for v in self.levels)
+
+    @classmethod
+    def load(cls, state: bytes) -> Quantiles:
+        n = int(np.frombuffer(state, np.int64, 1)[0])
+        size, *lengths = np.frombuffer(state, np.int64, n, 8).tolist()
+        out, values = cls(size), np.frombuffer(state, np.float64, offset=8 * (n + 1))
+        out.levels = np.split(values, np.cumsum(lengths)[:-1]) if lengths else []
+        return out
+
+    def quantile(self, p: float) -> float:
+        """The number at rank ``p``, between the middle two where there are two."""
+        if not sum(map(len, self.levels)):
+            return float("nan")
+        values = np.concatenate(self.levels)
+        weights = np.concatenate([np.full(len(v), 2**i, np.int64) for i, v in enumerate(self.levels)])
+        order = np.argsort(values, kind="stable")
+        upto = np.cumsum(weights[order])
+        at = p * (upto[-1] - 1)
+        low, high = upto.searchsorted([np.floor(at), np.ceil(at)], side="right")
+        a, b = values[order[low]], values[order[high]]
+        return float(a if a == b else a + (b - a) * (at - np.floor(at)))
+
+
+def aggregate_partial(
+    df: DataFrame, by: Sequence[str], col: str, make: Callable[[], Quantiles], finish: Callable, name: str
+) -> DataFrame:
+    """An aggregate in Python in two phases, for groups and domains of any size.
+
+    ``make()`` gives an empty state of bounded size with ``add(array)``, ``merge(state)``,
+    ``dump()`` and ``load(bytes)``; ``finish(state)`` is the group's result.  Every task
+    makes a state per group; states of a group meet in as many tasks as the root of the
+    input's number of tasks first, and then in one, so no call sees the group's rows.
+    """
+    salts = math.isqrt(df.rdd.getNumPartitions()) + 1
+    key = F.xxhash64(*[F.lit(0)], *by).alias("__key")
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[int, Quantiles] = {}
+        for batch in batches:
+            keys = batch.column("__key").to_numpy()
+            values = batch.column("__value").to_numpy(zero_copy_only=False)
+            order = np.argsort(keys, kind="stable")
+            found, first = np.unique(keys[order], return_index=True)
+            for k, part in zip(found.tolist(), np.split(values[order], first[1:])):
+                states.setdefault(k, make()).add(part)
+            if len(states) > 1000:  # many groups: pass them on
+                yield dumped(states)
+                states = {}
+        yield dumped(states)
+
+    def dumped(states: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(states), pa.int64()), pa.array([s.dump() for s in states.values()], pa.binary())],
+            names=["__key", "__state"],
+        )
+
+    def merged(states: pd.Series) -> Quantiles:
+        whole = make()
+        for state in states:
+            whole.merge(type(whole).load(state))
+        return whole
+
+    @F.pandas_udf("binary")
+    def merge(states: pd.Series) -> bytes:
+        return merged(states).dump()
+
+    @F.pandas_udf("double")
+    def last(states: pd.Series) -> float:
+        return finish(merged(states))
+
+    rows = df.select(key, F.col(col).cast("double").alias("__value")).where(F.col("__value").isNotNull())
+    states = rows.mapInArrow(partial, "__key long, __state binary").withColumn("__salt", F.spark_partition_id() % salts)
+    few = states.groupBy("__key", "__salt").agg(merge("__state").alias("__state"))
+    result = few.groupBy("__key").agg(last("__state").alias(name))
+    groups = df.select(*by).distinct().withColumn("__key", key)
+    return groups.join(result, "__key", "left").drop("__key")
+
+
 def register_table_fn(
     spark: SparkSession, name: str, cls: type, schema: str, batches: bool = False
 ):

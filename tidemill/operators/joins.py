@@ -7,6 +7,7 @@ shuffles it otherwise; adaptive execution splits skewed partitions.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from datetime import timedelta
 from functools import reduce
@@ -22,6 +23,8 @@ from tidemill.session import stage
 # Distinct items up to which a group's pairs are listed directly: at most half as
 # many pairs per input row.  Larger groups take the other way in ``pairs``.
 DIRECT_ITEMS = 100
+# Cells of band joins are four times as wide from level to level.
+LEVEL_STEP = 2
 
 
 def enrich(fact: DataFrame, dims: Sequence[tuple[DataFrame, dict[str, str]]]) -> DataFrame:
@@ -128,21 +131,50 @@ def interval_join(
     return looking.join(held, match & later & close).drop("__lb", "__rb", "__ls", "__rs")
 
 
-def band_join(
-    df: DataFrame, bands: DataFrame, col: str, width: float, lo: str = "lo", hi: str = "hi"
-) -> DataFrame:
+def band_join(df: DataFrame, bands: DataFrame, col: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Each row with every band whose ``[lo, hi)`` holds ``col``; bands may overlap.
 
-    Values are cut into cells of ``width`` and a band is listed once per cell it
-    touches, so the range condition becomes an equality plus a residual test and
-    never a nested loop over all bands.  Bands must be finite.
+    A null edge leaves a band open on that side.  Cells come in several widths, powers of
+    ``2 ** LEVEL_STEP``: a band is listed in the two or three cells it touches of the width
+    next above its own, however wide it is, and a value is looked for once per width in
+    use, of which there are as many as the bands' widths have orders of magnitude.  So the
+    range condition becomes an equality plus a residual test and never a nested loop over
+    all bands.  Open bands are as wide as the values reach.  Infinite values and NaN meet
+    bands that are open or have such an edge.
     """
-    cells = F.sequence(F.floor(F.col(lo) / F.lit(width)), F.floor(F.col(hi) / F.lit(width)))
-    listed = bands.withColumn("__cell_b", F.explode(cells))
-    placed = df.withColumn("__cell", F.floor(F.col(col) / F.lit(width)))
-    inside = (F.col(col) >= F.col(lo)) & (F.col(col) < F.col(hi))
-    match = (F.col("__cell") == F.col("__cell_b")) & inside
-    return placed.join(listed, match).drop("__cell", "__cell_b")
+    number = F.col(col).cast("double")
+    endless = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
+    seen = df.where(~endless(number)).agg(F.min(number), F.max(number)).first()
+    least, most = seen[0] or 0.0, seen[1] or 0.0
+    edge = lambda c, open_at: F.when(F.col(c).isNull() | endless(F.col(c).cast("double")), F.lit(open_at)).otherwise(F.col(c).cast("double"))
+    sized = bands.withColumns({"__lo": edge(lo, least), "__hi": edge(hi, most)})
+    # No cell is so narrow that numbers of this size could not be told apart in it.
+    size = F.greatest(F.abs(F.col("__lo")), F.abs(F.col("__hi")))
+    span = F.greatest(F.col("__hi") - F.col("__lo"), size * 2.0**-50, F.lit(2.0**-900))
+    level = F.ceil(F.log2(F.least(span, F.lit(sys.float_info.max))) / LEVEL_STEP)
+    sized = sized.withColumn("__level_b", level.cast("int"))
+    cells = F.sequence(_cell(F.col("__lo"), F.col("__level_b")), _cell(F.col("__hi"), F.col("__level_b")))
+    special = F.col(lo).isNull() | F.col(hi).isNull() | endless(F.col(lo).cast("double")) | endless(F.col(hi).cast("double"))
+    # A band that ends before it starts holds nothing.
+    cells = F.when(F.col("__hi") >= F.col("__lo"), cells).otherwise(F.array().cast("array<bigint>"))
+    at = lambda level, cell: F.struct(level.alias("level"), cell.alias("cell"))
+    listed = F.transform(cells, lambda c: at(F.col("__level_b"), c))
+    none = at(F.lit(None).cast("int"), F.lit(0).cast("bigint"))
+    listed = F.when(special, F.concat(listed, F.array(none))).otherwise(listed)
+    sized = sized.withColumn("__at_b", F.explode(listed)).drop("__lo", "__hi", "__level_b")
+    # Not more than there are powers of two in a double.
+    levels = [r[0] for r in sized.select("__at_b.level").distinct().collect() if r[0] is not None]
+    looked = F.array(*[at(F.lit(n).cast("int"), _cell(number, F.lit(n))) for n in levels]) if levels else F.array().cast("array<struct<level:int,cell:bigint>>")
+    placed = df.where(F.col(col).isNotNull()).withColumn("__at", F.explode(F.when(endless(number), F.array(none)).otherwise(looked)))
+    inside = (F.col(lo).isNull() | (F.col(col) >= F.col(lo))) & (F.col(hi).isNull() | (F.col(col) < F.col(hi)))
+    match = F.col("__at.level").eqNullSafe(F.col("__at_b.level")) & (F.col("__at.cell") == F.col("__at_b.cell")) & inside
+    return placed.join(sized, match).drop("__at", "__at_b")
+
+
+def _cell(x: Column, level: Column) -> Column:
+    """The cell a number is in; larger numbers are never in an earlier one."""
+    at = x / F.pow(F.lit(2.0**LEVEL_STEP), level)
+    return F.floor(F.greatest(F.least(at, F.lit(2.0**62)), F.lit(-(2.0**62))))
 
 
 def pairs(

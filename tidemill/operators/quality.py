@@ -12,28 +12,40 @@ from pyspark.sql import functions as F
 from tidemill.operators.clean import dedup_latest
 
 
-def profile(df: DataFrame) -> DataFrame:
+def profile(df: DataFrame, exact: Sequence[str] = (), rsd: float = 0.02) -> DataFrame:
     """One row per column: rows, nulls, distinct values, smallest and largest as text.
 
-    Each column is grouped by itself, and everything follows from its values and
-    their counts.  A columnar scan reads each column once in all, repeated values
-    are combined before the shuffle, and no row is copied per column, as it is when
-    one aggregation counts several distinct columns.
+    All columns come from one scan and one aggregation, whose sketches of distinct values
+    have a fixed size and are merged by column: no value is shuffled.  Sketched counts have
+    the relative standard deviation ``rsd``.  Columns in ``exact`` are counted exactly, each
+    grouped by its values.
     """
+    value = {c: F.col(f"`{c}`") for c in df.columns}
+    measures = [F.count(F.lit(1)).alias("rows")]
+    for i, (name, col) in enumerate(value.items()):
+        measures += [
+            F.count(col).alias(f"n{i}"),
+            F.min(col).cast("string").alias(f"lo{i}"),
+            F.max(col).cast("string").alias(f"hi{i}"),
+        ]
+        if name not in exact:
+            measures.append(F.approx_count_distinct(col, rsd).alias(f"d{i}"))
+    one = df.agg(*measures)
     found = []
-    for name in df.columns:
-        value = F.col("v")
-        counts = df.groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        found.append(
-            counts.agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-                F.coalesce(F.sum(F.when(value.isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"),
-                F.count(value).alias("n_distinct"),
-                F.min(value).cast("string").alias("min_value"),
-                F.max(value).cast("string").alias("max_value"),
-            ).select(F.lit(name).alias("column"), "*")
-        )
-    return reduce(DataFrame.unionByName, found)
+    for i, name in enumerate(value):
+        distinct = F.lit(None).cast("bigint") if name in exact else F.col(f"d{i}")
+        row = [F.lit(name).alias("column"), F.col("rows").alias("n_rows"), (F.col("rows") - F.col(f"n{i}")).alias("n_nulls"),
+               distinct.alias("n_distinct"), F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value")]
+        found.append(F.struct(*row))
+    profiled = one.select(F.inline(F.array(*found)))
+    if not exact:
+        return profiled
+    counted = [
+        df.groupBy(value[c].alias("v")).agg(F.lit(1)).agg(F.count("v").alias("__n")).select(F.lit(c).alias("column"), "__n")
+        for c in exact
+    ]
+    both = profiled.join(reduce(DataFrame.unionByName, counted), "column", "left")
+    return both.withColumn("n_distinct", F.coalesce("__n", "n_distinct")).drop("__n")
 
 
 @dataclass(frozen=True)

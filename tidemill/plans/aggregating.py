@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.operators import aggregate, joins
 from tidemill.plans.registry import query
 from tidemill.plans.revenue import NET
+from tidemill.session import stage
 from tidemill.sources.tables import read_table
 
 
@@ -141,6 +142,36 @@ def distinct_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.join(guess, by).select(*by, *close)
 
 
+@query(
+    "distinct_rollup",
+    """
+    SELECT year(l_shipdate)::INTEGER AS y, month(l_shipdate)::INTEGER AS m, TRUE AS close_to_raw, TRUE AS close
+    FROM lineitem GROUP BY 1, 2
+    """,
+)
+def distinct_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct parts per month from stored sketches of days, which are merged without the rows.
+
+    Whether the estimate is within four standard errors of that from the month's rows, and
+    of the exact count.
+    """
+    lg_k, month = 12, ["y", "m"]
+    lines = read_table(spark, sf_dir, "lineitem").select(
+        F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m"), F.dayofmonth("l_shipdate").alias("day"), "l_partkey"
+    )
+    daily = stage(aggregate.distinct_sketches(lines, [*month, "day"], ["l_partkey"], lg_k), "sketches-of-days")
+    rolled = aggregate.sketched_counts(aggregate.merge_sketches(daily, month))
+    raw = aggregate.sketched_counts(aggregate.distinct_sketches(lines, month, ["l_partkey"], lg_k))
+    raw = raw.withColumnRenamed("n_l_partkey", "raw")
+    exact = aggregate.distinct_counts(lines, month, ["l_partkey"]).withColumnRenamed("n_l_partkey", "exact")
+    error = 4 * 1.04 / 2 ** (lg_k / 2)
+    return rolled.join(raw, month).join(exact, month).select(
+        *month,
+        (F.abs(F.col("n_l_partkey") - F.col("raw")) <= error * F.col("raw")).alias("close_to_raw"),
+        (F.abs(F.col("n_l_partkey") - F.col("exact")) <= error * F.col("exact")).alias("close"),
+    )
+
+
 @query(
     "percentiles",
     """

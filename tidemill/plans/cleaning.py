@@ -209,7 +209,24 @@ _PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orde
 )
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, nulls, distinct values and range of the order columns."""
-    return quality.profile(read_table(spark, sf_dir, "orders"))
+    return quality.profile(read_table(spark, sf_dir, "orders"), exact=_PROFILED)
+
+
+@query(
+    "profile_sketched",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_nulls,"
+        f" count(DISTINCT {c}) AS n_exact, TRUE AS close FROM orders"
+        for c in _PROFILED
+    ),
+)
+def profile_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile from one scan, and whether its estimates are within four standard errors."""
+    orders, rsd = read_table(spark, sf_dir, "orders"), 0.02
+    guess = quality.profile(orders, rsd=rsd).select("column", "n_rows", "n_nulls", F.col("n_distinct").alias("guess"))
+    exact = quality.profile(orders, exact=_PROFILED).select("column", F.col("n_distinct").alias("n_exact"))
+    close = F.abs(F.col("guess") - F.col("n_exact")) <= 4 * rsd * F.col("n_exact")
+    return guess.join(exact, "column").withColumn("close", close).drop("guess")
 
 
 @query(

@@ -54,6 +54,33 @@ def udaf_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return udf.aggregate_counts(lines, by, "l_quantity", median, "median_quantity")
 
 
+@query(
+    "udaf_median_partial",
+    """
+    SELECT l_returnflag, l_linestatus, count(*) AS n, TRUE AS close
+    FROM lineitem GROUP BY 1, 2
+    """,
+)
+def udaf_median_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median price from partial states of bounded size, and whether its rank is within their bound.
+
+    Nearly all prices differ, so no count of values would bound a group.
+    """
+    by, price, size = ["l_returnflag", "l_linestatus"], "l_extendedprice", 2048
+    lines = read_table(spark, sf_dir, "lineitem").select(*by, price)
+    guess = udf.aggregate_partial(
+        lines, by, price, lambda: udf.Quantiles(size), lambda s: s.quantile(0.5), "guess"
+    )
+    ranked = lines.join(guess, by).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col(price) < F.col("guess")).alias("below"),
+        F.count_if(F.col(price) <= F.col("guess")).alias("upto"),
+    )
+    error = F.greatest(F.log2(F.col("n") / size), F.lit(0.0)) * F.col("n") / (2 * size) + 1
+    close = (F.col("below") <= F.col("n") / 2 + error) & (F.col("upto") >= F.col("n") / 2 - error)
+    return ranked.select(*by, "n", close.alias("close"))
+
+
 @query(
     "udtf_tokens",
     r"""

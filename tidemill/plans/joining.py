@@ -13,7 +13,10 @@ from tidemill.sources.tables import read_table
 
 DAY = timedelta(days=1)
 # Half-open price bands.
-PRICE_BANDS = [("budget", 0.0, 930.0), ("middle", 930.0, 960.0), ("premium", 960.0, 10000.0)]
+PRICE_BANDS = [
+    ("budget", None, 930.0), ("middle", 930.0, 960.0), ("premium", 960.0, None),
+    ("exactly", 950.0, 950.01), ("all", None, None), ("wide", 900.0, 1e9),
+]
 
 
 @query(
@@ -144,17 +147,16 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     "band_join",
     """
     SELECT p_partkey, p_retailprice, band
-    FROM part JOIN (VALUES ('budget', 0.0, 930.0), ('middle', 930.0, 960.0),
-                           ('premium', 960.0, 10000.0)) AS b(band, lo, hi)
-      ON p_retailprice >= lo AND p_retailprice < hi
+    FROM part JOIN (VALUES ('budget', NULL, 930.0), ('middle', 930.0, 960.0), ('premium', 960.0, NULL),
+                           ('exactly', 950.0, 950.01), ('all', NULL, NULL), ('wide', 900.0, 1e9)) AS b(band, lo, hi)
+      ON (lo IS NULL OR p_retailprice >= lo) AND (hi IS NULL OR p_retailprice < hi)
     """,
 )
 def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts with their price band."""
+    """Parts with their price bands, some of them open, narrow, wide or within others."""
     bands = spark.createDataFrame(PRICE_BANDS, "band string, lo double, hi double")
     parts = read_table(spark, sf_dir, "part")
-    placed = joins.band_join(parts, bands, "p_retailprice", width=10.0)
-    return placed.select("p_partkey", "p_retailprice", "band")
+    return joins.band_join(parts, bands, "p_retailprice").select("p_partkey", "p_retailprice", "band")
 
 
 @query(
