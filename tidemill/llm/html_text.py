@@ -40,6 +40,8 @@ CLOSES = {
     "th": frozenset(["td", "th"]),
     "option": frozenset(["option"]),
 }
+#: What these rules look for, and what they don't look beyond.
+_MARKED = frozenset({"p", "blockquote", "form", "aside", "nav", "dl", "select"}) | LISTS | CONTAINER | frozenset().union(CLOSES, *CLOSES.values())
 #: Controls, which hold no article whatever their share of the text.
 CONTROLS = frozenset("button select menu svg canvas audio video object".split())
 #: Share of a page's text outside links from which a part is kept whatever its name.
@@ -64,6 +66,9 @@ def _consists_of(words: str) -> re.Pattern:
 
 
 NOISE_WORDS = _consists_of(_NOISE)
+#: Words that may as well be what a part of the article is about; its text decides there.
+TOPIC_WORDS = _consists_of("share|sharing|social|related|recommended|search|promotion|copyright")
+_SENTENCE = re.compile(r"[.!?…。!?](?:[\s\"'”’)»]|\Z)")
 #: Words that do so outside the article only.
 OUTER_WORDS = _consists_of("header|topbar")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -72,6 +77,9 @@ _TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>",
     re.S,
 )
+_OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
+#: A tag that the page ends in: no text, as in browsers.
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _MARKS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
@@ -83,9 +91,14 @@ class Page:
         self.tag, self.parent, self.drop = ["html"], [-1], [False]
         # Nodes that are dropped by their own tag or names, and of these the ones that have text to read.
         self.own, self.named = [False], [False]
+        # Nodes inside an article, and those there whose names may be their topic.
+        self.inside, self.topic = [False], [False]
+        #: Places in the stack of open elements that can be closed by others or end the search for them.
+        self.marked: list[int] = []
         # Pieces of text as (node, text); None for a block's edge.
         self.pieces: list[tuple[int, str | None]] = []
         self._read(source)
+        self._keep_topics()
         self._keep_most()
 
     def _open(self, tag: str, attrs: str, stack: list[int]) -> None:
@@ -96,17 +109,23 @@ class Page:
         if tag in ("article", "main") and self.drop[stack[-1]]:
             while len(stack) > 1 and self.drop[stack[-1]]:  # the article can't be in a menu left open
                 stack.pop()
+            while self.marked and self.marked[-1] >= len(stack):
+                self.marked.pop()
         node = len(self.tag)
-        inside = any(self.tag[i] in ("article", "main") for i in stack)
+        inside = self.inside[stack[-1]] or self.tag[stack[-1]] in ("article", "main")
         drop = tag in NOISE or (tag in OUTER_NOISE and not inside)
-        hidden = False
+        hidden = topic = False
         if attrs and tag not in ("html", "body", "article", "main"):
             # The id of a heading, or of a section of the article, tells what it is about.
             plain = tag in HEADINGS or (tag == "section" and inside)
             found = _MARKS.findall(attrs)
             marks = " ".join(a or b or c for name, a, b, c in found if not (plain and name.lower() == "id"))
             hidden = bool(_HIDDEN.search(attrs))
-            drop = drop or bool(marks and (NOISE_WORDS.search(marks) or (not inside and OUTER_WORDS.search(marks))))
+            named = bool(marks and (NOISE_WORDS.search(marks) or (not inside and OUTER_WORDS.search(marks))))
+            topic = named and not drop and not hidden and inside and not NOISE_WORDS.search(TOPIC_WORDS.sub("", marks))
+            drop = drop or named
+        self.inside.append(inside)
+        self.topic.append(topic)
         self.own.append(drop or hidden)
         self.named.append(drop and not hidden and tag not in CONTROLS)
         drop = drop or hidden or self.drop[stack[-1]]
@@ -118,8 +137,31 @@ class Page:
         if tag == "br":
             self.pieces.append((node, " "))
         if tag not in VOID:
+            if tag in _MARKED:
+                self.marked.append(len(stack))
             stack.append(node)
 
+    def _keep_topics(self) -> None:
+        """Keep parts of the article that are named like noise, but hold sentences or a list and few links."""
+        if not any(self.topic):
+            return
+        n = len(self.tag)
+        chars, links, said = [0] * n, [0] * n, [False] * n
+        for node, text in self.pieces:
+            if text:
+                chars[node] += len(text.strip())
+                said[node] = said[node] or bool(_SENTENCE.search(text))
+        for i in range(n - 1, 0, -1):
+            links[i] = chars[i] if self.tag[i] == "a" else links[i]
+            p = self.parent[i]
+            chars[p] += chars[i]
+            links[p] += links[i]
+            said[p] = said[p] or (said[i] and self.tag[i] != "a")
+        for i in range(1, n):
+            if self.topic[i] and 2 * links[i] <= chars[i] and (said[i] or self.tag[i] in ("ul", "ol", "dl", "table")):
+                self.own[i] = self.named[i] = False
+            self.drop[i] = self.drop[self.parent[i]] or self.own[i]
+
     def _keep_most(self) -> None:
         """Keep parts dropped by name that hold most of the page's text, unless an article stands elsewhere."""
         n = len(self.tag)
@@ -130,8 +172,7 @@ class Page:
             gone[i] = gone[i] or gone[self.parent[i]] or self.tag[i] == "a"
         chars, articles = [0] * n, [0] * n
         for node, text in self.pieces:
-            # A tag that is never finished is no text.
-            if text and not gone[node] and not re.match("<[a-zA-Z/!?]", text):
+            if text and not gone[node]:
                 chars[node] += len(text.strip())
         for i in range(n - 1, 0, -1):
             if chars[i] and not self.drop[i] and self.tag[i] in ("article", "main"):
@@ -144,7 +185,7 @@ class Page:
 
     def _close_first(self, tags, stack: list[int], fence) -> None:
         """Close the nearest open element of ``tags`` that no element of ``fence`` hides."""
-        for at in range(len(stack) - 1, 0, -1):
+        for at in reversed(self.marked):
             name = self.tag[stack[at]]
             if name in tags:
                 self._pop_to(at, stack)
@@ -155,21 +196,27 @@ class Page:
     def _pop_to(self, at: int, stack: list[int]) -> None:
         while len(stack) > at:
             node = stack.pop()
+            if self.marked and self.marked[-1] == len(stack):
+                self.marked.pop()
             if self.tag[node] in BLOCK:
                 self.pieces.append((node, None))
 
     def _read(self, source: str) -> None:
         stack, at, n = [0], 0, len(source)
+        last = source.rfind(">")
         count: dict[str, int] = {}
         while at < n:
-            m = _TOKEN.search(source, at)
+            # After the last tag only an open comment can follow.
+            m = _TOKEN.search(source, at) if at <= last else _OPEN_COMMENT.search(source, at)
             text = source[at : m.start() if m else n]
+            if not m:
+                text = _UNFINISHED.sub("", text)
             if text:
                 self.pieces.append((stack[-1], text))
             if not m:
                 break
             at = m.end()
-            tag = (m["tag"] or m["tag2"] or "").lower()
+            tag = "" if m.re is _OPEN_COMMENT else (m["tag"] or m["tag2"] or "").lower()
             if not tag:
                 continue
             if m["end"] or m["end2"]:
@@ -238,18 +285,18 @@ def content_roots(page: Page) -> set[int]:
         if page.tag[node] == "body":
             break
         node = page.parent[node]
-    threshold = min(density[i] for i in path)
+    threshold, on_path = min(density[i] for i in path), set(path)
     root = next((i for i in path[::-1] if page.tag[i] in ("article", "main")), up)
     if page.tag[root] not in ("article", "main"):
         for i, tag in enumerate(page.tag):
-            if i not in path and tag in LISTS and 2 * links[i] > chars[i]:
+            if i not in on_path and tag in LISTS and 2 * links[i] > chars[i]:
                 page.drop[i] = True
     roots, inside = {root}, [False] * len(page.tag)
     for i in range(len(page.tag)):
         p = page.parent[i]
         inside[i] = i == root or (p >= 0 and inside[p])
         # Other containers as dense as the way to the article, such as further sections.
-        if not inside[i] and i not in path and page.tag[i] in CONTAINER and density[i] >= threshold > 0 and not page.drop[i]:
+        if not inside[i] and i not in on_path and page.tag[i] in CONTAINER and density[i] >= threshold > 0 and not page.drop[i]:
             roots.add(i)
             inside[i] = True
     return roots
