@@ -1,5 +1,6 @@
 """Sources, sinks and the daily job: rerun laws, rejects, pruning."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 from tidemill.plans import daily
 from tidemill.schemas import TABLES
 from tidemill.sources import files
+from tidemill.sources import ingest as ingest_module
 from tidemill.sources.ingest import flatten_json, ingest
 from tidemill.sources.tables import read_table
 
@@ -49,6 +51,36 @@ def test_ingest_parquet(spark, tmp_path):
     assert good.count() == 1 and bad.count() == 0
 
 
+@pytest.mark.parametrize("split, told", [("128m", 10), ("200b", 1000), ("200b", 0)])
+def test_ingest_csv_with_breaks_in_quotes(spark, tmp_path, split, told, monkeypatch):
+    monkeypatch.setattr(ingest_module.quoted_records, "__defaults__", (told,))  # pieces told, or sorted
+    rng, want, bad = random.Random(5), [], []
+    for f in range(3):
+        out = ["k,note"]
+        for i in range(60):
+            k = 1000 * f + i
+            note = "\n".join("".join(rng.choices('ab ,"é', k=rng.randint(0, 30))) for _ in range(rng.choice([1, 1, 2, 3, 40])))
+            if rng.random() < 0.1:
+                out.append(f"x{k},plain")
+                bad.append(f"x{k},plain")
+            else:
+                out.append(f'{k},"' + note.replace('"', '""') + 'z"')
+                want.append((k, note + "z"))
+        (tmp_path / f"{f}.csv").write_text("\n".join(out) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b" if split != "128m" else "4m")
+    try:
+        schema = T.StructType.fromDDL("k int, note string")
+        good, rejects = ingest_module.ingest(spark, str(tmp_path), "csv", schema, quoted_breaks=True)
+        if split != "128m":
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        assert sorted((r.k, r.note) for r in good.collect()) == sorted(want)
+        assert sorted(r.raw for r in rejects.collect()) == sorted(bad)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_flatten_json_keeps_bad_text_as_nulls(spark, as_rows):
     df = spark.createDataFrame([(1, '{"k": 5}'), (2, "no json"), (3, None)], "id int, j string")
     assert as_rows(flatten_json(df, "j", T.StructType([T.StructField("k", T.IntegerType())]))) == [

@@ -62,6 +62,23 @@ def ingest_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good
 
 
+@query(
+    "ingest_quoted",
+    """
+    SELECT c_custkey, c_name || chr(10) || 'of "' || c_mktsegment || '",' || chr(10) || chr(10) || c_nationkey AS note, c_acctbal
+    FROM customer
+    """,
+)
+def ingest_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with a note of several lines, written as CSV and read back in splits."""
+    path, br = fresh_path(spark, "customers-csv"), F.lit("\n")
+    note = F.concat("c_name", br, F.lit('of "'), "c_mktsegment", F.lit('",'), br, br, F.col("c_nationkey").cast("string"))
+    noted = read_table(spark, sf_dir, "customer").select("c_custkey", note.alias("note"), "c_acctbal")
+    noted.write.option("header", True).option("escape", '"').csv(path)
+    good, _ = ingest(spark, path, "csv", noted.schema, quoted_breaks=True)
+    return good
+
+
 @query("flatten_json", "SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k FROM events")
 def flatten_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON properties of events as a typed column."""
