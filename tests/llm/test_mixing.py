@@ -78,3 +78,13 @@ def test_apply_repeats_rows(spark):
     copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
     counts = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert counts == {i: c for i, c in copies.items() if c}
+
+
+def test_empty_texts_get_no_extra_copies(spark):
+    """A source of one word at its limit: its empty texts are taken twice, not three times."""
+    rows = [(i, "", "en", "a", 0) for i in range(39)] + [(39, "word", "en", "a", 4), (40, "word " * 50, "en", "b", 250)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    copies = {r.doc_id: r.copies for r in mixing.mix(df).collect()}
+    assert all(copies[i] <= 2 for i in range(40))
+    counts = mixing.apply_mix(df).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in counts} == {k: v for k, v in copies.items() if v}

@@ -129,7 +129,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """How much of every document the mix takes: doc_id, source, size, source_size, target, copies, taken.
 
     One row per input row.  ``size`` is the number of words (0 for null and empty
-    texts, which the mix takes or leaves without effect).  A null source is a source of
+    texts, which are taken as often as their source is as a whole).  A null source is a source of
     its own, last in order.  Rows with the same id (repeats, null ids) have the same
     hash, so they are taken together; a source's sum then misses its target by at most
     half of such a group, otherwise by at most half of one document.  An empty table
@@ -163,7 +163,9 @@ def _copies(sized: DataFrame, cut: DataFrame) -> DataFrame:
         rows = rows.select("d.*", *[F.col(f"s.{c}") for c in cut.columns if c != "source"])
     else:
         rows = _with_source(sized, cut)
-    return rows.withColumn("copies", F.col("_whole") + (F.col("_h") < F.col("_below")).cast("long"))
+    # Empty texts bring a source no nearer to its target, so the threshold adds none of them.
+    more = (F.col("_h") < F.col("_below")) & (F.col("size") > 0)
+    return rows.withColumn("copies", F.col("_whole") + more.cast("long"))
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
