@@ -53,6 +53,8 @@ OPENER, JOIN = "\x04", "\x05"
 BETWEEN = rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}{NUMBER}{UNIT}{OPENER}{JOIN}]+"
 #: Scripts without spaces, of which every letter is a word.
 UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+#: All of these and of the marks lie in here, and hardly anything that texts of other scripts have.
+FAR = rf"[{NAME}-{JOIN}\u0E00-\u1FFF\u2E80-\x{{3FFFF}}]"
 CAPITALISED = r"\p{Lu}\p{Ll}\p{L}*"
 _NO_WORD_BEFORE = r"(?<![\p{L}\p{N}])"
 _UNIT_NAME = rf"(?i:({'|'.join(UNITS)}))(?![\p{{L}}\p{{N}}])"
@@ -62,7 +64,7 @@ def _spaced(text: Column) -> Column:
     """A text without the characters used as marks, and with letters of unspaced scripts apart."""
     marks = f"[{NAME}{NUMBER}{UNIT}{OPENER}{JOIN}]"
     apart = F.regexp_replace(F.regexp_replace(text, marks, " "), f"([{UNSPACED}])", " $1 ")
-    return F.when(text.rlike(f"[{NAME}{NUMBER}{UNIT}{OPENER}{JOIN}{UNSPACED}]"), apart).otherwise(text)
+    return F.when(text.rlike(FAR), apart).otherwise(text)
 
 
 def _split(text: Column, ends: bool = True) -> Column:
@@ -80,7 +82,9 @@ def template_words(text: Column, ends: bool = True) -> Column:
 
     The same in fewer steps, for all documents.
     """
-    t = F.regexp_replace(_spaced(text), rf"{_NO_WORD_BEFORE}{CAPITALISED}(?: {CAPITALISED})*", NAME)
+    # What stands before a name is looked at after its capital, so that few places are.
+    name = rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}]\p{{Lu}})\p{{Ll}}\p{{L}}*+(?: {CAPITALISED}+)*+"
+    t = F.regexp_replace(_spaced(text), name, NAME)
     n = F.regexp_replace(t, rf"[0-9](?:[0-9]|(?<=[0-9])[.,](?=[0-9]))* ?{_UNIT_NAME}", f"{NUMBER} {UNIT}")
     n = F.regexp_replace(n, r"[0-9](?:[0-9]|[.,](?=[0-9]))*", NUMBER)
     return _split(F.lower(F.when(t.rlike("[0-9]"), n).otherwise(t)), ends)
@@ -218,9 +222,8 @@ def suspects(keyed: DataFrame, items: _Benchmark, share: float) -> DataFrame:
     found = [counted.where((F.col("_c") >= share * F.col("_n")) | (F.col("_c") > RUN - WORDS)).select(*key)]
 
     words = keyed.select(*key, literal_words(F.col("text"), ends=False).alias("_w"))
-    places = F.when(F.size("_w") >= WORDS, F.sequence(F.lit(1), F.size("_w") - (WORDS - 1), F.lit(WORDS)))
-    fifth = words.select(*key, F.explode(F.transform(places, lambda i: F.slice("_w", i, WORDS))).alias("_x"))
-    fifth = fifth.select(*key, F.xxhash64(*[F.col("_x")[k] for k in range(WORDS)]).alias("_h"))
+    every = words.select(*key, F.posexplode(_in_a_row("_w", WORDS)).alias("_at", "_x"))
+    fifth = every.where(f"_at % {WORDS} = 0 AND _x.`{WORDS - 1}` IS NOT NULL").select(*key, _hash("_x").alias("_h"))
     found.append(fifth.join(items.literals.select("_h"), "_h", "left_semi").select(*key))
 
     if items.short is not None:
