@@ -120,3 +120,72 @@ def test_language_evidence(spark):
     assert by[200] == "fr" and by[201] == "fr" and by[202] == "en" and by[203] in ("en", "fr", "de", "es")
     assert got.count() == docs.count() + len(rows)
     assert language.identify(docs.limit(0), pages.limit(0)).count() == 0
+
+
+def _fused_plainly(rows, langs):
+    """Language and probability per row of (id, log likelihoods, host, domain, suffix, declared), by dictionaries."""
+    def normal(ll):
+        w = [math.exp(x - max(ll)) for x in ll]
+        return [x / sum(w) for x in w]
+
+    n, p = len(langs), [normal(r[1]) for r in rows]
+    base = [1 + sum(q[i] for q in p) for i in range(n)]
+    base = [x / sum(base) for x in base]
+    out = {}
+    for k, r in enumerate(rows):
+        def rest(at):
+            """Rows that share this row's value, and their mass per language, without the row."""
+            others = [j for j, o in enumerate(rows) if j != k and r[at] is not None and o[at] == r[at]]
+            return len(others), [sum(p[j][i] for j in others) for i in range(n)]
+
+        log = []
+        for i in range(n):
+            count, mass = rest(3)
+            domain = (mass[i] + language.HOST_WEIGHT * base[i]) / (count + language.HOST_WEIGHT)
+            count, mass = rest(2)
+            x = r[1][i] + math.log((mass[i] + language.HOST_WEIGHT * domain) / (count + language.HOST_WEIGHT))
+            for at in (4, 5):
+                count, mass = rest(at)
+                if r[at] is not None:
+                    x += math.log((mass[i] + language.VALUE_WEIGHT * base[i]) / (count + language.VALUE_WEIGHT) / base[i])
+            log.append(x)
+        best = max(log)
+        out[r[0]] = langs[log.index(best)], 1 / sum(math.exp(x - best) for x in log)
+    return out
+
+
+def test_fusion_against_a_plain_version(spark):
+    """Weak evidence, so that every term matters; nulls, values of one row, repeated rows and ties."""
+    rng = np.random.default_rng(3)
+    langs = ["de", "en", "es", "fr", "pt"]
+    rows = []
+    for i in range(60):
+        h = int(rng.integers(6))
+        host = [None, "a.x.de", "b.x.de", "x.fr", f"only{i}.org", "www.y.es"][h]
+        domain = [None, "x.de", "x.de", "x.fr", f"only{i}.org", "y.es"][h]
+        ll = [0.0] * 5 if i % 7 == 0 else [float(x) for x in rng.normal(0, 1.5, 5)]
+        declared = [None, "de", "fr", "zz"][int(rng.integers(4))]
+        rows.append((i, ll, host, domain, domain and domain.rsplit(".", 1)[1], declared))
+    rows.append((60, *rows[8][1:]))
+    fields = "_id long, _ll array<double>, host string, domain string, suffix string, declared string"
+    got = {r["_id"]: r for r in language.fuse(spark.createDataFrame(rows, fields), langs).collect()}
+    want = _fused_plainly(rows, langs)
+    assert got.keys() == want.keys() and len({r.language for r in got.values()}) > 2
+    assert min(r.probability for r in got.values()) < 0.7
+    for i, (lang, chance) in want.items():
+        assert got[i].language == lang and math.isclose(got[i].probability, chance, rel_tol=1e-9)
+
+
+def test_hundreds_of_languages(spark):
+    """The plan has no part that is there once per language."""
+    langs = [f"l{i:03}" for i in range(300)]
+    fields = "_id long, _ll array<double>, host string, domain string, suffix string, declared string"
+    rows = [(i, [-0.01 * abs(j - i) for j in range(300)], f"h{i % 3}", None, None, None) for i in range(30)]
+    few = [(i, [0.0, -1.0], f"h{i % 3}", None, None, None) for i in range(30)]
+    plan = lambda r, names: language.fuse(spark.createDataFrame(r, fields), names)
+    many = plan(rows, langs)
+    # Names hold numbers of any length, so operators and columns are counted.
+    size = lambda df: (len(df._jdf.queryExecution().analyzed().toString().splitlines()), len(df.columns))
+    assert size(many) == size(plan(few, langs[:2]))
+    got, want = {r["_id"]: r.language for r in many.collect()}, _fused_plainly(rows, langs)
+    assert got == {i: lang for i, (lang, _) in want.items()}

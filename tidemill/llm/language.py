@@ -32,6 +32,11 @@ EVIDENCE = 60
 HOST_WEIGHT = 5.0
 VALUE_WEIGHT = 2.0
 PARTS = 32
+#: A text's share below which a language has none: far less than sums of doubles tell apart.
+LEAST_MASS = 1e-12
+#: Rows whose posteriors are worked out together.
+SLICE = 512
+KEYS = ("declared", "suffix", "domain", "host")
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -128,57 +133,91 @@ def _spread_join(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _mass(ll: Column) -> Column:
+    """Entries (i, p) of the languages that a text may be in; -1 stands for the row itself."""
+    top = F.array_max(ll)
+    total = F.aggregate(ll, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+    entries = F.transform(ll, lambda x, i: F.struct(i.cast("int").alias("i"), (F.exp(x - top) / total).alias("p")))
+    one = F.array(F.struct(F.lit(-1).alias("i"), F.lit(1.0).alias("p")))
+    return F.concat(F.filter(entries, lambda e: e["p"] >= LEAST_MASS), one)
+
+
+def _parallel(entries: Column, prefix: str) -> list[Column]:
+    return [F.transform(entries, lambda e: e["i"]).alias(f"{prefix}_i"), F.transform(entries, lambda e: e["p"]).alias(f"{prefix}_p")]
+
+
+def group_sums(rows: DataFrame) -> DataFrame:
+    """kind, value and _sums, the summed entries of ``_mass``, of every value of every key.
+
+    Entries are summed as rows, combined before the shuffle, so the plan is the same for
+    any number of languages.
+    """
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in KEYS]))
+    named = rows.select(keys.alias("_k"), "_mass").where("_k.value IS NOT NULL")
+    entries = named.select("_k.kind", "_k.value", F.explode("_mass").alias("_m"))
+    sums = entries.groupBy("kind", "value", F.col("_m.i").alias("i")).agg(F.sum("_m.p").alias("p"))
+    # An array of at most one entry per language and one more.
+    return sums.groupBy("kind", "value").agg(F.collect_list(F.struct("i", "p")).alias("_sums"))
+
+
+def posterior(ll: np.ndarray, own: np.ndarray, sums: dict[str, np.ndarray], base: np.ndarray) -> np.ndarray:
+    """Log posterior per row and language; the last column of ``own`` and ``sums`` counts rows.
+
+    A group's sums go in without the row itself, so that a text is not evidence twice.
+    """
+    rest = {k: np.maximum(v - own, 0) for k, v in sums.items()}
+    smooth = lambda k, prior, weight: (rest[k][:, :-1] + weight * prior) / (rest[k][:, -1:] + weight)
+    log = ll + np.log(smooth("host", smooth("domain", base, HOST_WEIGHT), HOST_WEIGHT))
+    for key in ("declared", "suffix"):
+        # P(value | language) up to a factor that is the same for every language.
+        told = sums[key][:, -1:] > 0
+        log = log + np.where(told, np.log(smooth(key, base, VALUE_WEIGHT) / base), 0.0)
+    return log
+
+
 def fuse(rows: DataFrame, langs: list[str]) -> DataFrame:
     """``rows`` (_ll, host, domain, suffix, declared and others) with ``language`` and ``probability``."""
     n = len(langs)
-    idx = range(n)
-    top = F.array_max("_ll")
-    weights = [F.exp(F.col("_ll")[i] - top) for i in idx]
-    total = sum(weights[1:], weights[0])
-    names = [f"_p{i}" for i in idx]
-    rows = rows.withColumns(dict(zip(names, [w / total for w in weights])))
+    rows = rows.withColumn("_mass", _mass(F.col("_ll")))
     rows = rows.withColumn("_part", F.pmod(F.xxhash64("_id", "_ll"), F.lit(PARTS)).cast("int"))
     rows = stage(rows, "language-evidence")
-
-    def sums(key: str, prefix: str) -> DataFrame:
-        return rows.where(F.col(key).isNotNull()).groupBy(key).agg(
-            *[F.sum(p).alias(f"{prefix}{i}") for i, p in enumerate(names)], F.count("*").alias(f"{prefix}n")
-        )
-
-    # One row: the corpus's own mix of languages.
-    world = rows.agg(*[F.coalesce(F.sum(p), F.lit(0.0)).alias(p) for p in names]).collect()[0]
-    mass = [world[p] + 1.0 for p in names]
-    base = [m / sum(mass) for m in mass]
-    n_values = {}
-    for key in ("declared", "suffix"):
-        rows = _spread_join(rows, sums(key, f"_{key}"), key)
-        n_values[key] = F.coalesce(F.col(f"_{key}n"), F.lit(0))
-    rows = _spread_join(rows, sums("domain", "_dom"), "domain")
-    rows = _spread_join(rows, sums("host", "_host"), "host")
-
-    def own(prefix: str, i: int) -> Column:
-        """A group's sum without the row itself, so that a text is not evidence twice."""
-        return F.greatest(F.coalesce(F.col(f"{prefix}{i}") - F.col(names[i]), F.lit(0.0)), F.lit(0.0))
-
-    def count(prefix: str) -> Column:
-        return F.greatest(F.coalesce(F.col(f"{prefix}n") - 1, F.lit(0)), F.lit(0))
-
-    logs = []
-    for i in idx:
-        domain = (own("_dom", i) + HOST_WEIGHT * base[i]) / (count("_dom") + HOST_WEIGHT)
-        host = (own("_host", i) + HOST_WEIGHT * domain) / (count("_host") + HOST_WEIGHT)
-        log = F.col("_ll")[i] + F.log(host)
-        for key in ("declared", "suffix"):
-            # P(value | language) up to a factor that is the same for every language.
-            share = (own(f"_{key}", i) + VALUE_WEIGHT * base[i]) / (count(f"_{key}") + VALUE_WEIGHT)
-            log = log + F.when(F.col(key).isNotNull(), F.log(share / base[i])).otherwise(F.lit(0.0))
-        logs.append(log)
-    rows = rows.withColumn("_post", F.array(*logs))
-    best = F.array_max("_post")
-    names_col = F.array(*[F.lit(x) for x in langs])
-    return rows.withColumn("language", F.element_at(names_col, F.array_position("_post", best).cast("int"))).withColumn(
-        "probability", 1 / F.aggregate("_post", F.lit(0.0), lambda acc, x: acc + F.exp(x - best))
-    )
+    groups = stage(group_sums(rows), "language-groups")
+
+    # The corpus's own mix of languages: one row for each.
+    base = np.ones(n)
+    world = rows.select(F.explode("_mass").alias("_m")).groupBy("_m.i").agg(F.sum("_m.p").alias("p")).where("i >= 0")
+    for i, p in world.collect():
+        base[i] += p
+    base /= base.sum()
+
+    for key in KEYS:
+        entries = _parallel(F.col("_sums"), f"_{key}")
+        rows = _spread_join(rows, groups.where(F.col("kind") == key).select(F.col("value").alias(key), *entries), key)
+
+    def dense(at: pd.Series, values: pd.Series) -> np.ndarray:
+        """A matrix of a row for each; entry -1 comes last."""
+        out = np.zeros((len(at), n + 1))
+        for row, i, p in zip(out, at, values):
+            if i is not None:
+                row[i] = p
+        return out
+
+    def decided(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            names, chances = [], []
+            for k in range(0, len(batch[0]), SLICE):
+                ll, *entries = [c.iloc[k : k + SLICE] for c in batch]
+                own, *of = [dense(entries[j], entries[j + 1]) for j in range(0, len(entries), 2)]
+                log = posterior(np.stack(ll.to_list()), own, dict(zip(KEYS, of)), base)
+                best = log.argmax(1)
+                names += [langs[i] for i in best]
+                chances += list(1 / np.exp(log - log.max(1, keepdims=True)).sum(1))
+            yield pd.DataFrame({"language": names, "probability": chances})
+
+    inputs = ["_ll", "_own_i", "_own_p", *[f"_{k}_{x}" for k in KEYS for x in "ip"]]
+    rows = rows.select("*", *_parallel(F.col("_mass"), "_own"))
+    told = F.pandas_udf(decided, "language string, probability double")(*inputs)
+    return rows.withColumn("_told", told).select("*", "_told.language", "_told.probability")
 
 
 def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
