@@ -189,3 +189,51 @@ def test_hundreds_of_languages(spark):
     assert size(many) == size(plan(few, langs[:2]))
     got, want = {r["_id"]: r.language for r in many.collect()}, _fused_plainly(rows, langs)
     assert got == {i: lang for i, (lang, _) in want.items()}
+
+
+def test_convolution_against_a_plain_version():
+    """Every filter at every place of every text, by loops; empty texts, one word, repeats, and a text in pieces."""
+    rng = np.random.default_rng(5)
+    model = toxicity.TextCNN()
+    model.bias[:] = rng.normal(0, 0.3, len(model.bias))
+    model.shift[:] = 0.25
+    words = [f"word{i}" for i in range(40)] + ["ähnlich", "x", "y"]
+    texts = [[], ["x"], ["x", "x"], ["never", "seen"]] + [[words[i] for i in rng.integers(0, len(words), n)] for n in (3, 4, 9, 200)]
+
+    def plain(text):
+        vector = lambda w: sum(model.emb[b].astype(float) for b in toxicity.buckets(w)) if w else np.zeros(toxicity.DIM)
+        padded = [vector(w) for w in text] + [vector("")] * max(toxicity.WIDTHS)
+        z, col, unit = float(model.shift[0]), 0, 0
+        for width in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                at = lambda k: model.conv[:, (col + k) * toxicity.FILTERS + f].astype(float)  # noqa: B023, E731
+                best = max(sum(padded[p + k] @ at(k) for k in range(width)) for p in range(max(len(text), 1)))
+                z += max(best + model.bias[unit], 0) * model.out[unit]
+                unit += 1
+            col += width
+        return z
+
+    want = [plain(t) for t in texts]
+    assert np.allclose(model.scorer().logits(texts), want, atol=1e-4)
+    # One after the other, the cache filled by those before.
+    scorer = model.scorer()
+    assert np.allclose([scorer.logits([t])[0] for t in texts], want, atol=1e-4)
+    assert np.ptp(want) > 0.01 and len(scorer.logits([])) == 0
+
+
+def test_training_moves_against_the_loss():
+    """A word tells the label, whatever stands around it; training finds it and leaves row 0 empty."""
+    rng = np.random.default_rng(9)
+    other = [f"w{i}" for i in range(60)]
+    texts, y = [], []
+    for i in range(240):
+        text = [other[j] for j in rng.integers(0, len(other), 12)]
+        if i % 2:
+            text[int(rng.integers(12))] = "vile"
+        texts.append(text)
+        y.append(i % 2)
+    y = np.array(y)
+    model = toxicity.TextCNN()
+    model.fit(texts[:160], y[:160], np.ones(160, np.float32))
+    z = model.scorer().logits(texts[160:])
+    assert auc(z, y[160:]) > 0.95 and not model.emb[0].any()
