@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -123,3 +124,36 @@ def test_query_digest(spark, sf_dir):
         base = ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in plain(docs[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert [x for x in r.spans.split(",") if x and not x.startswith("term")] == [x for x in base.split(",") if x]
+
+
+def test_many_spans_in_one_text(spark):
+    """More spans than a part holds, of all kinds and overlapping, and twenty thousand in seconds."""
+    rng = random.Random(9)
+    bits = ["a.b@c.de ", "1.2.3.4 ", "4111 1111 1111 1111 ", "+1 (555) 010-9999 ", "Zorblax ", "word, ", "+14111111111111111@x.de ", "x@4.3.2.1 "]
+    texts = ["".join(rng.choice(bits) for _ in range(n)) for n in (1, pii.PART, pii.PART + 1, 700, 1500)]
+    got = {r.doc_id: r for r in digest(pii.find(frame(spark, texts))).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].b == ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in plain(t))
+    many = " ".join(f"user{i}@host{i % 700}.org" for i in range(20_000))
+    began = time.monotonic()
+    assert pii.find(frame(spark, [many])).select(pii.F.size("email").alias("n")).first().n == 20_000
+    assert pii.redact(frame(spark, [many])).first().text == " ".join(["<EMAIL>"] * 20_000)
+    assert time.monotonic() - began < 120
+
+
+def test_terms_beside_entities(spark):
+    """Terms that touch an entity are no spans, against a look at every pair."""
+    rng = random.Random(3)
+    kind = lambda k, rows: [(s, e, k, "v", None, None) for s, e in rows]
+    rows = []
+    for _ in range(60):
+        cut = sorted(rng.sample(range(900), 2 * rng.randint(1, 200)))
+        terms = [(a, b) for a, b in zip(cut[::2], cut[1::2])]
+        spans = [(a, a + rng.randint(1, 40)) for a in rng.sample(range(900), rng.randint(0, 12))]
+        rows.append((kind(0, spans[::2]) or None, kind(1, spans[1::2]), None, None, kind(4, terms)))
+    df = spark.createDataFrame(rows, ", ".join(f"{k} array<{pii._SPAN}>" for k in pii.KINDS))
+    got = df.select(pii.F.struct(*pii.KINDS[:2]).alias("e"), "term", pii._apart().alias("left")).collect()
+    for r in got:
+        spans = [*(r.e.email or []), *(r.e.ip or [])]
+        assert r.left == [t for t in r.term if not any(x.s <= t.e and t.s <= x.e for x in spans)]
+    assert sum(len(r.left) for r in got) > 100

@@ -12,6 +12,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,9 @@ ALPHA = 0.9
 #: Disclosing terms up to this many are sent to every executor; more are joined by
 #: shuffling the words of all documents.
 BROADCAST_TERMS = 200_000
+#: Spans of a text are put together in parts of this many, since an array that grows one by
+#: one is copied each time.
+PART = 128
 
 # The kinds in their order and the patterns that find them.  Possessive
 # forms and the look-behind change nothing in what is found: they only keep long runs of
@@ -49,6 +53,34 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 _TERM = r"\p{L}[\p{L}\p{N}'-]+[\p{L}\p{N}]"
 #: Addresses come first, so that their parts are no words.
 _TOKEN = f"{PATTERNS['email']}|{_TERM}"
+_SPAN = "struct<s:int,e:int,k:int,v:string,l:string,r:string>"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, which a lambda otherwise does at each mention."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def in_parts(items: Column) -> Column:
+    """An array cut into arrays of PART items, in order; an empty one gives one empty part."""
+    many = lambda a: F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / PART).cast("int") - 1, F.lit(0)))
+    return let(items, lambda a: F.transform(many(a), lambda k: F.slice(a, k * PART + 1, PART)))
+
+
+def walk(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The spans found on a way over ``items``: ``step`` gives the next state and an array of new spans."""
+    none = F.array().cast(f"array<{_SPAN}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        after, new = step(acc["p"], x)
+        return F.struct(after.alias("p"), F.concat(acc["o"], new).alias("o"))
+
+    def part(acc: Column, xs: Column) -> Column:
+        done = F.aggregate(xs, F.struct(acc["p"].alias("p"), none.alias("o")), one)
+        return let(done, lambda d: F.struct(d["p"].alias("p"), F.concat(acc["o"], F.array(d["o"])).alias("o")))
+
+    start = F.struct(state.alias("p"), F.array().cast(f"array<array<{_SPAN}>>").alias("o"))
+    return F.aggregate(in_parts(items), start, part, lambda acc: F.flatten(acc["o"]))
 
 
 def luhn(digits: Column) -> Column:
@@ -84,28 +116,24 @@ def _spans(kind: str, text: Column) -> Column:
     up to the places.
     """
     between, found = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    none = F.lit(None).cast("array<struct<s:int,e:int,k:int,v:string,l:string,r:string>>")
+    none = F.array().cast(f"array<{_SPAN}>")
     order = KINDS.index(kind)
+    # Each match with the text before and after it.
+    turns = let(F.struct(between.alias("b"), found.alias("f")), lambda t: F.arrays_zip(
+        t["f"].alias("f"), F.slice(t["b"], F.lit(1), F.size(t["f"])).alias("b"), F.slice(t["b"], F.lit(2), F.size(t["f"])).alias("a"),
+    ))
 
-    def step(acc: Column, i: Column) -> Column:
-        match = F.get(acc["f"], i)
-        start = acc["p"] + F.length(F.get(acc["b"], i))
-        end = start + F.length(match)
+    def step(at: Column, z: Column) -> tuple[Column, Column]:
+        start = at + F.length(z["b"])
+        end = start + F.length(z["f"])
         span = F.struct(
-            start.alias("s"), end.alias("e"), F.lit(order).alias("k"), match.alias("v"),
-            F.right(F.get(acc["b"], i), F.lit(NEAR)).alias("l"), F.left(F.get(acc["b"], i + 1), F.lit(NEAR)).alias("r"),
+            start.alias("s"), end.alias("e"), F.lit(order).alias("k"), z["f"].alias("v"),
+            F.right(z["b"], F.lit(NEAR)).alias("l"), F.left(z["a"], F.lit(NEAR)).alias("r"),
         )
-        more = F.when(valid(kind, match), F.concat(acc["o"], F.array(span))).otherwise(acc["o"])
-        return F.struct(end.alias("p"), more.alias("o"), acc["b"].alias("b"), acc["f"].alias("f"))
+        return end, F.when(valid(kind, z["f"]), F.array(span)).otherwise(none)
 
-    start = F.struct(
-        F.lit(0).alias("p"), F.array().cast("array<struct<s:int,e:int,k:int,v:string,l:string,r:string>>").alias("o"),
-        between.alias("b"), found.alias("f"),
-    )
-    places = F.sequence(F.lit(0), F.size(found) - 1)
-    spans = F.aggregate(places, start, step, lambda acc: acc["o"])
     # Nested, so that nothing but the hint is worked out for texts without one.
-    return F.when(_hinted(kind, text), F.when(F.size(found) > 0, spans)).otherwise(none)
+    return F.when(_hinted(kind, text), F.when(F.size(found) > 0, walk(turns, F.lit(0), step)))
 
 
 def words(text: Column) -> Column:
@@ -125,7 +153,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def _entities(found: DataFrame) -> DataFrame:
     """_k1, _k2, entity and its first context, once for every document that has it."""
-    none = F.array().cast("array<struct<s:int,e:int,k:int,v:string,l:string,r:string>>")
+    none = F.array().cast(f"array<{_SPAN}>")
     every = F.concat(*[F.coalesce(F.col(k), none) for k in KINDS[:4]])
     return (
         found.select("_k1", "_k2", F.explode(every).alias("x"))
@@ -136,7 +164,7 @@ def _entities(found: DataFrame) -> DataFrame:
 
 def _near_terms(found: DataFrame) -> DataFrame:
     """entity, context and term of every term near an entity."""
-    every = F.concat(*[F.coalesce(F.col(k), F.array().cast("array<struct<s:int,e:int,k:int,v:string,l:string,r:string>>")) for k in KINDS[:4]])
+    every = F.concat(*[F.coalesce(F.col(k), F.array().cast(f"array<{_SPAN}>")) for k in KINDS[:4]])
     span = found.select("_k1", "_k2", F.explode(every).alias("x")).select(
         "_k1", "_k2", F.concat_ws(":", "x.k", F.lower("x.v")).alias("entity"), "x.s", "x.e", "x.l", "x.r",
         F.xxhash64("x.l", "x.r").alias("context"),
@@ -222,18 +250,33 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, alpha:
 def _places(text: Column, terms: Column) -> Column:
     """The places in ``text`` of the words in ``terms``, as spans."""
     turns = F.arrays_zip(F.split(text, _TOKEN, -1).alias("b"), F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)).alias("f"))
-    kind = "array<struct<s:int,e:int,k:int,v:string,l:string,r:string>>"
     none = F.lit(None).cast("string")
 
-    def step(acc: Column, z: Column) -> Column:
-        start = acc["p"] + F.length(z["b"])
+    def step(at: Column, z: Column) -> tuple[Column, Column]:
+        start = at + F.length(z["b"])
         end = start + F.length(z["f"])
         word = F.lower(z["f"])
         span = F.struct(start.alias("s"), end.alias("e"), F.lit(4).alias("k"), word.alias("v"), none.alias("l"), none.alias("r"))
-        more = F.when(F.array_contains(terms, word), F.concat(acc["o"], F.array(span))).otherwise(acc["o"])
-        return F.struct(end.alias("p"), more.alias("o"))
+        return end, F.when(F.array_contains(terms, word), F.array(span)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+    return walk(turns, F.lit(0), step)
+
+
+def _apart() -> Column:
+    """The spans of column term that touch none of the other kinds.
 
-    return F.aggregate(turns, F.struct(F.lit(0).alias("p"), F.array().cast(kind).alias("o")), step, lambda acc: acc["o"])
+    In one pass: entities by start and terms by end, in order, so that at each term the
+    greatest end so far belongs to an entity that starts in time to touch it.
+    """
+    none = F.array().cast(f"array<{_SPAN}>")
+    event = lambda at, is_term: lambda x: F.struct(x[at].alias("at"), F.lit(is_term).alias("t"), x.alias("x"))
+    every = F.concat(F.transform("term", event("e", 1)), *[F.transform(F.coalesce(F.col(k), none), event("s", 0)) for k in KINDS[:4]])
+
+    def step(reach: Column, v: Column) -> tuple[Column, Column]:
+        stays = (v["t"] == 1) & (reach < v["x"]["s"])
+        return F.when(v["t"] == 0, F.greatest(reach, v["x"]["e"])).otherwise(reach), F.when(stays, F.array(v["x"])).otherwise(none)
+
+    return F.when(F.size("term") > 0, walk(F.array_sort(every), F.lit(-1), step))
 
 
 def _term_spans(docs: DataFrame, told: DataFrame) -> DataFrame:
@@ -259,10 +302,7 @@ def find(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataF
     plain = docs.select("doc_id", "text")
     found = stage(base_spans(plain), "pii-spans")
     spans = stage(_term_spans(plain, disclosing(plain, found, support, alpha)), "pii-term-spans")
-    touches = lambda t: reduce(lambda a, b: a | b, [
-        F.coalesce(F.exists(k, lambda x: (x["s"] <= t["e"]) & (t["s"] <= x["e"])), F.lit(False)) for k in KINDS[:4]
-    ])
-    return found.drop("_words").join(spans, ["_k1", "_k2"], "left").withColumn("term", F.filter("term", lambda t: ~touches(t)))
+    return found.drop("_words").join(spans, ["_k1", "_k2"], "left").withColumn("term", _apart())
 
 
 def _joined(kinds: tuple[str, ...]) -> Column:
@@ -294,15 +334,24 @@ def redact(docs: DataFrame) -> DataFrame:
         skip = x["e"] <= acc["p"]
         # A span that begins inside the one before it only removes what is left of it.
         start = F.greatest(x["s"], acc["p"])
-        new = F.concat(
-            acc["o"],
-            F.array(F.substring("text", acc["p"] + 1, start - acc["p"]), F.when(x["s"] < acc["p"], "").otherwise(F.get(marks, x["k"]))),
+        new = F.concat(acc["o"], F.array(
+            F.substring(acc["t"], acc["p"] - acc["z"] + 1, start - acc["p"]), F.when(x["s"] < acc["p"], "").otherwise(F.get(marks, x["k"])),
+        ))
+        return F.struct(
+            F.when(skip, acc["p"]).otherwise(x["e"]).alias("p"), F.when(skip, acc["o"]).otherwise(new).alias("o"), acc["t"].alias("t"), acc["z"].alias("z")
         )
-        return F.struct(F.when(skip, acc["p"]).otherwise(x["e"]).alias("p"), F.when(skip, acc["o"]).otherwise(new).alias("o"))
+
+    def part(acc: Column, xs: Column) -> Column:
+        # The text of a part is cut out first: finding a place takes a pass over all before it.
+        last = F.greatest(acc["p"], F.array_max(F.transform(xs, lambda x: x["e"])))
+        piece = F.substring(F.col("text"), acc["p"] + 1, last - acc["p"])
+        start = F.struct(acc["p"].alias("p"), F.array().cast("array<string>").alias("o"), piece.alias("t"), acc["p"].alias("z"))
+        done = F.aggregate(xs, start, step, lambda d: F.struct(d["p"].alias("p"), F.array_join(d["o"], "").alias("o")))
+        return let(done, lambda d: F.struct(d["p"].alias("p"), F.concat(acc["o"], F.array(d["o"])).alias("o")))
 
     zero = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("o"))
     tail = lambda acc: F.concat(F.array_join(acc["o"], ""), F.substring("text", acc["p"] + 1, F.length("text")))
-    changed = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", zero, step, tail))
+    changed = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate(in_parts(F.col("_spans")), zero, part, tail))
     return keyed.join(spans, ["_k1", "_k2"], "left").select(
         *[changed.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     )
