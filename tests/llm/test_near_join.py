@@ -56,10 +56,11 @@ def frame(spark, docs):
     return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], SCHEMA)
 
 
-@pytest.mark.parametrize("block", [near_join.BLOCK, 7])
-def test_against_all_pairs(spark, monkeypatch, block):
-    """Small blocks send the same families over many cells."""
+@pytest.mark.parametrize("block, hot", [(near_join.BLOCK, near_join.HOT), (7, near_join.HOT), (7, 3)])
+def test_against_all_pairs(spark, monkeypatch, block, hot):
+    """Small blocks send the same families over many cells; small bands count as hot and are split."""
     monkeypatch.setattr(near_join.in_cells, "__defaults__", (block,))
+    monkeypatch.setattr(near_join, "HOT", hot)
     docs = made(random.Random(5), 40, 12) + made(random.Random(6), 1, 60)
     docs = [(i, t) for i, (_, t) in enumerate(docs)]
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in near_join.near_duplicates(frame(spark, docs)).collect())
@@ -92,3 +93,35 @@ def test_odd_rows(spark):
     kept = sorted((repr(r.doc_id), (r.text or "")[:9]) for r in near_join.keep_one(df).collect())
     assert kept == sorted([("None", ""), ("1", ""), ("2", " \n"), ("3", "a B"), ("4", long[:9]), ("None", "only null")])
     assert near_join.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rare_shingles_meet():
+    """Sets at or above the threshold share a rare shingle, whatever the counters say."""
+    rng = np.random.default_rng(2)
+    for n in range(1, 80):
+        both = rng.integers(0, 2**63, n, dtype=np.uint64)
+        one, two = rng.integers(0, 2**63, n // 8, dtype=np.uint64), rng.integers(0, 2**63, n // 8, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([both, x])) for x in (one, two)]
+        if 10 * n < 8 * len(np.union1d(*sets)):
+            continue
+        counts = rng.integers(2, 5, near_join.COUNTERS)
+        assert len(np.intersect1d(*[near_join.rare_shingles(s, counts) for s in sets]))
+
+
+def test_boilerplate_band(spark):
+    """A passage that 12,000 unlike texts share makes hot bands; only near copies stay in them."""
+    rng = random.Random(8)
+    shared = " ".join(f"b{i}" for i in range(45))
+    docs = [(i, shared + " " + " ".join(f"u{rng.randrange(10**8)}" for _ in range(15))) for i in range(12_000)]
+    docs += [(12_000 + i, docs[i * 300][1] + " more") for i in range(40)]
+    df = frame(spark, docs)
+    reps = near_join.keyed_sets(df).groupBy("_c").agg(near_join.F.min(near_join._order()).alias("f"), near_join.F.first("_sig").alias("_sig"))
+    bands = near_join.F.array(*[near_join.F.substring("_sig", 1 + 16 * i, 16) for i in range(near_join.BANDS)])
+    banded = reps.select("_c", near_join.F.posexplode(bands).alias("i", "v")).selectExpr("_c", "xxhash64(i, v) as _band")
+    members = near_join._groups(banded)
+    assert members.agg({"_n": "max"}).first()[0] > near_join.HOT
+    split = near_join.split_bands(df, members, reps.select("_c", "f.*"))
+    assert split.agg({"_n": "max"}).first()[0] <= near_join.HOT
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_join.near_duplicates(df).collect()}
+    twins = {i * 300: (i * 300, 1) for i in range(40)} | {12_000 + i: (i * 300, 1) for i in range(40)}
+    assert got == {i: twins.get(i, (i, 0)) for i, _ in docs}

@@ -7,7 +7,10 @@ that they reach the threshold falls below a tolerance; the rest are verified exa
 the shingle sets.
 
 Work is shared out in cells.  A group of candidates is cut into blocks, and a cell holds
-two blocks, so no task ever holds a whole large group.  Pairs never become rows: a cell
+two blocks, so no task ever holds a whole large group.  Large bands are split first:
+unlike texts meet in one through the passages they share, but a pair at the threshold also
+shares one of its rarest shingles (prefix filter), so only members that those connect stay
+together.  Pairs never become rows: a cell
 gives each member its number of links and a root, and roots are joined into classes.
 """
 
@@ -35,6 +38,10 @@ TOLERANCE = 1e-6
 STEP = 16
 #: Members of a block; a cell holds at most two blocks.
 BLOCK = 400
+#: Bands of more members than this are split by the rare shingles that their members share.
+HOT = 4 * BLOCK
+#: Counters of the sketch that tells rare shingles from frequent ones.
+COUNTERS = 2**20
 
 HASHES = ROWS * BANDS
 _MAX_MEMO = 400_000
@@ -299,6 +306,93 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    """The counter of each shingle."""
+    return ((shingles * _MUL[0]) >> np.uint64(44)).astype(np.int64)
+
+
+def _count_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The counters of a task's texts, those above zero."""
+    shingler, total = Shingler(), np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for text in batch["_text"]:
+            np.add.at(total, _counter(shingler(text)), 1)
+    used = np.flatnonzero(total)
+    yield pd.DataFrame({"_k": used, "_n": total[used]})
+
+
+def rare_shingles(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set: two sets that reach THRESHOLD have one of theirs in common.
+
+    They share THRESHOLD of either, so of its n shingles each must show the first
+    n - ceil(THRESHOLD * n) + 1 in any order that is the same for all sets.  ``counts`` makes
+    the order: its counters are shared and may be too high, which costs work and loses
+    nothing.  They are never too low, so a shingle counted once is in no other set.
+    """
+    n = len(shingles)
+    need = -(-round(1000 * THRESHOLD) * n // 1000)
+    seen = counts[_counter(shingles)]
+    first = np.lexsort((shingles, seen))[: n - need + 1]
+    return shingles[first[seen[first] > 1]]
+
+
+def connected(texts: DataFrame) -> DataFrame:
+    """_c and _label for the rows of _c and _text that rare shingles connect; the others are left out."""
+    # A fixed number of counters, whatever the texts are.
+    sums = texts.select("_text").mapInPandas(_count_shingles, "_k long, _n long").groupBy("_k").agg(F.sum("_n").alias("_n"))
+    some = sums.where("_n > 1").toPandas()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[some["_k"].to_numpy(np.int64)] = some["_n"].to_numpy(np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler()
+        for batch in batches:
+            sets = [rare_shingles(shingler(t), shared.value).view(np.int64) for t in batch["_text"]]
+            sizes = [len(s) for s in sets]
+            yield pd.DataFrame({"_c": batch["_c"].repeat(sizes), "_s": np.concatenate(sets) if sets else np.zeros(0, np.int64)})
+
+    rows = stage(texts.select("_c", "_text").mapInPandas(rare, "_c binary, _s long"), "rare-shingles")
+    roots = rows.groupBy("_s").agg(F.min("_c").alias("_root"), F.count("*").alias("_n")).where("_n > 1").select("_s", "_root")
+    return components(rows.join(roots, "_s").select("_c", "_root"))
+
+
+def _groups(banded: DataFrame) -> DataFrame:
+    """_c, _band and _n (its members) for bands of two and more.
+
+    Bands that hold the very same members do the same work: one of them stays.
+    """
+    shared = (
+        banded.groupBy("_band")
+        .agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("_c")).alias("_x"), F.bit_xor(F.xxhash64("_c", F.lit(1))).alias("_y"))
+        .where("_n > 1")
+        .groupBy("_n", "_x", "_y")
+        .agg(F.min("_band").alias("_band"))
+        .select("_band", "_n")
+    )
+    return banded.join(shared, "_band").select("_c", "_band", "_n")
+
+
+def _with_text(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``sets``, which name a document by d, t1 and t2, with its _text; one row per _c."""
+    keyed = docs.select(
+        F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.xxhash64("text").alias("t1"),
+        F.xxhash64(F.lit("second"), "text").alias("t2"), F.col("text").alias("_text"),
+    )
+    return keyed.join(sets, ["d", "t1", "t2"]).drop("d", "t1", "t2").dropDuplicates(["_c"])
+
+
+def split_bands(docs: DataFrame, members: DataFrame, first: DataFrame) -> DataFrame:
+    """``members`` with bands of more than HOT members cut into parts that rare shingles connect."""
+    hot = members.where(F.col("_n") > HOT)
+    sets = stage(hot.select("_c").distinct(), "hot-sets")
+    if sets.isEmpty():
+        return members
+    texts = stage(_with_text(docs, first.select("_c", "d", "t1", "t2").join(sets, "_c")), "hot-texts")
+    parts = hot.join(connected(texts), "_c").select("_c", F.xxhash64("_band", "_label").alias("_band"))
+    return members.where(F.col("_n") <= HOT).unionByName(_groups(stage(parts, "parts")))
+
+
 def _read_sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     shingler = Shingler()
     for texts in batches:
@@ -340,28 +434,13 @@ def classes(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
         F.xxhash64(F.lit(i), F.substring("_sig", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(BANDS)
     ])
     banded = reps.select("_c", F.explode(bands).alias("_band"))
-    # Bands that hold the very same members do the same work: one of them stays.
-    shared = (
-        banded.groupBy("_band")
-        .agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("_c")).alias("_x"), F.bit_xor(F.xxhash64("_c", F.lit(1))).alias("_y"))
-        .where("_n > 1")
-        .groupBy("_n", "_x", "_y")
-        .agg(F.min("_band").alias("_band"))
-        .select("_band", "_n")
-    )
-    members = stage(banded.join(shared, "_band"), "candidates")
+    first = reps.select("_c", "_copies", "_first.*")
+    members = split_bands(docs, stage(_groups(banded), "candidates"), first)
     cells = in_cells(members.join(reps.select("_c", "_sig"), "_c"), "_band", "_n")
     likely = _dealt(cells).mapInPandas(by_cell(_edges_of_cell), "_c binary, _root binary")
     grouped = components(likely)
     sized = grouped.join(grouped.groupBy("_label").agg(F.count("*").alias("_n")), "_label")
-    first = reps.select("_c", "_copies", "_first.*")
-    texts = (
-        docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.xxhash64("text").alias("t1"),
-                    F.xxhash64(F.lit("second"), "text").alias("t2"), F.col("text").alias("_text"))
-        .join(sized.join(first, "_c"), ["d", "t1", "t2"])
-        .select("_c", "_label", "_n", "_copies", "_text")
-        .dropDuplicates(["_c"])
-    )
+    texts = _with_text(docs, sized.join(first, "_c")).select("_c", "_label", "_n", "_copies", "_text")
     cells = in_cells(texts, "_label", "_n")
     verified = stage(
         _dealt(cells).mapInPandas(by_cell(_links_of_cell), "_c binary, _root binary, _links long"), "verified"
