@@ -157,3 +157,56 @@ def test_terms_beside_entities(spark):
         spans = [*(r.e.email or []), *(r.e.ip or [])]
         assert r.left == [t for t in r.term if not any(x.s <= t.e and t.s <= x.e for x in spans)]
     assert sum(len(r.left) for r in got) > 100
+
+
+def plain_disclosing(texts, support=3, alpha=0.9):
+    """(entity, term) pairs above the threshold, by dictionaries; addresses of the kinds email and ip."""
+    term = re.compile(r"[A-Za-z][A-Za-z0-9'-]+[A-Za-z0-9]")
+    token = re.compile(rf"(?P<email>{BASE['email']})|{term.pattern}")
+    held, close, meet, words = {}, {}, {}, []
+    for d, text in enumerate(texts):
+        words.append([m[0].lower() for m in token.finditer(text or "") if not m["email"]])
+        for k, kind in enumerate(("email", "ip")):
+            found = list(re.finditer(BASE[kind], text or ""))
+            for i, m in enumerate(found):
+                left = text[found[i - 1].end() if i else 0 : m.start()][-pii.NEAR :]
+                right = text[m.end() : found[i + 1].start() if i + 1 < len(found) else len(text)][: pii.NEAR]
+                entity, context = f"{k}:{m[0].lower()}", (left, right)
+                if good(kind, m[0]):
+                    held.setdefault(entity, {}).setdefault(d, context)
+                    for side in (left, right):  # words at an edge may be cut, or part of the entity
+                        for w in term.finditer(side):
+                            if w.start() > 0 and w.end() < len(side):
+                                close.setdefault((entity, w[0].lower()), set()).add(context)
+    near = {pair for pair, contexts in close.items() if len(contexts) >= support}
+    for entity, docs in held.items():
+        if len(docs) >= support or any(e == entity for e, _ in near):
+            for d, context in docs.items():
+                for w in set(words[d]):
+                    at = max(words[d].index(w) - pii.AROUND // 2, 0)
+                    meet.setdefault((entity, w), []).append((context, tuple(words[d][at : at + pii.AROUND])))
+    n_t = {w: sum(w in x for x in words) for w in {w for _, w in meet}}
+    out = set()
+    for (entity, w), rows in meet.items():
+        contexts = max(len({c for c, _ in rows}), len({a for _, a in rows}))
+        if (contexts >= support or (entity, w) in near) and len(rows) / n_t[w] >= (len(held[entity]) / len(texts)) ** (1 - alpha):
+            out.add((entity, w))
+    return out
+
+
+def test_terms_equal_brute_force(spark):
+    rng = random.Random(12)
+    pool = [f"word{chr(97 + a)}{chr(97 + b)}" for a in range(6) for b in range(6)]
+    people = [(f"P{i}.x@mail{i % 3}.org" if i % 2 else f"10.0.{i}.7", f"Name{i}", f"it's-nick{i}") for i in range(14)]
+    texts = [None, ""]
+    for k in range(260):
+        say = lambda n: " ".join(rng.choices(pool, k=n))
+        text = say(rng.randint(0, 20))
+        for entity, name, nick in rng.sample(people, rng.choice([0, 0, 1, 1, 2])):
+            text += f" {name} {say(rng.choice([1, 3, 30]))} {entity} " + rng.choice([nick, say(2), f"'{nick}' {entity}", ""])
+        texts.append(text + rng.choice(["", " ", f" {rng.choice(people)[1]} again"]))
+    docs = frame(spark, texts).select("doc_id", "text")
+    for support, alpha in ((3, 0.9), (5, 0.8)):
+        got = {(r.entity, r.term) for r in pii.disclosing(docs, pii.base_spans(docs), support, alpha).collect()}
+        assert got == plain_disclosing(texts, support, alpha)
+        assert {e for e, _ in got} and len(got) > 10
