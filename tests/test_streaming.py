@@ -182,6 +182,33 @@ def test_runs_expire_and_keys_return(feed):
     assert (1, 100, 100, 1, "back", True) in got
 
 
+def test_state_is_kept_per_bucket_of_keys(feed):
+    """Many keys, few buckets: as many states, and the runs of a plain loop over each key."""
+    rng, idle, seen = random.Random(6), 10, {}
+    keys = [None, 2**53, 2**53 + 1, *range(200)]
+    for first in (0, 100):
+        rows = [row(i, rng.choice(keys), first + rng.randrange(90), f"k{i}") for i in range(first * 10, first * 10 + 700)]
+        feed.deliver(rows)
+        for i, user, ts, kind in rows:
+            seen.setdefault(user, []).append(((ts - T0) // HOUR, i, kind))
+        runs = activity_runs(feed.stream(), "user", "ts", "id", "kind", HOUR, idle * HOUR, buckets=4)
+        query = run.run_upserts(runs, feed.out, feed.checkpoint, ["user", "started"], ["seq"], mode="update")
+    # The states, and no more timers than that; timers may be counted twice.
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= 12
+    end = max(e[0] for events_ in seen.values() for e in events_) - 1
+    want = []
+    for user, events_ in seen.items():
+        for t, i, kind in sorted(events_):
+            if want and want[-1][0] == user and t - want[-1][2] <= idle:
+                want[-1] = (user, want[-1][1], t, want[-1][3] + 1, kind, True)
+            else:
+                want.append((user, t, t, 1, kind, True))
+    want = [(*r[:5], r[2] + idle <= end) for r in want]
+    got = run.read_upserted(feed.spark, feed.out, runs.schema, ["user", "started"], ["seq"]).filter("n_events > 0").collect()
+    at = lambda t: (t - T0) // HOUR
+    assert sorted(((r.user, at(r.started), at(r.ended), r.n_events, r.last_event, r.expired) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_upsert_sink_replays_without_effect(feed, as_rows, tmp_path):
     path, order = str(tmp_path / "table"), ["ts", "id"]
     feed.deliver([row(1, 1, 0, "x"), row(2, 1, 5, "y"), row(3, 2, 1, "z")])
