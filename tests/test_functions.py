@@ -154,3 +154,15 @@ def test_shared_folder(spark):
 
 def test_every_query_has_sql_or_a_reason():
     assert not [n for n, q in QUERIES.items() if not q.sql]
+
+
+def test_words_of_a_batch_come_in_bounded_tables():
+    import pyarrow as pa
+
+    texts = [" a  b\n" * 5, None, "", "  ", "w" * 3_000_000, "x y " * 700_000 + "ü  z", *["short text é "] * 300_000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    tables = list(udf.TokenBatches().eval(batch))
+    assert max(t.num_rows for t in tables) <= udf.SLICE_BYTES
+    got = pa.concat_tables(tables).to_pydict()
+    want = [(i, p, w) for i, t in enumerate(texts) for p, w in enumerate((t or "").split())]
+    assert list(zip(got["doc_id"], got["pos"], got["token"])) == want

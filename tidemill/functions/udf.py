@@ -7,6 +7,7 @@ exchange Arrow batches; none receives an unbounded group in one call.
 from __future__ import annotations
 
 import math
+import re
 import sys
 from collections.abc import Callable, Iterator, Sequence
 
@@ -22,6 +23,9 @@ from tidemill.operators import hotkeys
 
 # Rows of one group that one Python call receives.
 GROUP_ROWS = 500_000
+# Text that is made into words at a time.
+SLICE_BYTES = 1 << 20
+_SPACE = re.compile(r"[ \t\r\n]")
 
 # Executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -197,23 +201,44 @@ class Tokens:
 
 
 class TokenBatches:
-    """Words of a batch of ``(doc_id, text)`` rows with their position."""
+    """Words of a batch of ``(doc_id, text)`` rows with their position.
+
+    Some ``SLICE_BYTES`` of text are taken at a time, also of one long text, so that memory
+    follows neither the words of a batch nor those of a text.
+    """
 
     def eval(self, batch: pa.RecordBatch):
-        words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(batch.column("text")))
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + SLICE_BYTES, side="right")) - 1)
+            ids, texts = batch.column("doc_id").slice(at, to - at), batch.column("text").slice(at, to - at)
+            if sizes[at] > SLICE_BYTES:
+                yield from self._long(ids, texts[0].as_py())
+            else:
+                yield self._words(ids, texts)
+            at = to
+
+    def _long(self, ids: pa.Array, text: str) -> Iterator[pa.Table]:
+        """Words of one text, cut at white space that any rule for words knows."""
+        at = pos = 0
+        while at < len(text):
+            space = _SPACE.search(text, at + SLICE_BYTES)
+            to = space.start() if space else len(text)
+            words = self._words(ids, pa.array([text[at:to]]), pos)
+            yield words
+            at, pos = to, pos + words.num_rows
+
+    def _words(self, ids: pa.Array, texts: pa.Array, start: int = 0) -> pa.Table:
+        words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
         owner, token = pc.list_parent_indices(words), pc.list_flatten(words)
         # Position within a text: the running index less that of the text's first word.
         rows = np.arange(len(token))
         first = np.searchsorted(owner.to_numpy(), np.arange(len(words)))
-        pos = rows - first[owner.to_numpy()]
-        out = pa.table(
-            {
-                "doc_id": batch.column("doc_id").take(owner),
-                "pos": pa.array(pos, pa.int32()),
-                "token": token,
-            }
-        )
-        yield out.filter(pc.not_equal(token, ""))
+        pos = rows - first[owner.to_numpy()] + start
+        out = pa.table({"doc_id": ids.take(owner), "pos": pa.array(pos, pa.int32()), "token": token})
+        return out.filter(pc.not_equal(token, ""))
 
 
 def map_groups(
