@@ -154,6 +154,22 @@ def test_pairs_with_a_group_that_has_a_third_of_all_rows(spark, direct_items, mi
     assert len(got) == len({(r.a, r.b) for r in got})
 
 
+@pytest.mark.parametrize("direct_items", [100, 6])
+def test_pairs_are_counted_in_more_tasks_where_there_are_more(spark, monkeypatch, direct_items):
+    monkeypatch.setattr(joins, "TASK_ROWS", 100)
+    rows = [(g, (g * 7 + i) % 90) for g in range(400) for i in range(5)] + [(g, i) for g in range(400) for i in (90, 91)]
+    df = spark.createDataFrame(rows + [(1, i) for i in range(30)], "g int, i int").repartition(2)
+    groups = defaultdict(set)
+    for g, i in rows + [(1, i) for i in range(30)]:
+        groups[g].add(i)
+    want = Counter(p for items in groups.values() for p in itertools.combinations(sorted(items), 2))
+    got = joins.pairs(df, "g", "i", 3, direct_items)
+    assert {(r.a, r.b): r.n for r in got.collect()} == {p: n for p, n in want.items() if n >= 3}
+    if direct_items == 100:
+        n_pairs = sum(len(x) * (len(x) - 1) // 2 for x in groups.values())
+        assert got.rdd.getNumPartitions() >= n_pairs // 100
+
+
 def test_paths_and_nests_come_in_bounded_parts(feed, as_rows):
     for max_rows in (None, 25):
         parts = aggregate.paths(feed, ["user"], ["ts", "id"], "kind", "", steps=7, max_rows=max_rows).collect()

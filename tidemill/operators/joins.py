@@ -7,6 +7,7 @@ shuffles it otherwise; adaptive execution splits skewed partitions.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Sequence
 from datetime import timedelta
@@ -23,6 +24,10 @@ from tidemill.session import stage
 # Distinct items up to which a group's pairs are listed directly: at most half as
 # many pairs per input row.  Larger groups take the other way in ``pairs``.
 DIRECT_ITEMS = 100
+# Rows, groups or pairs that one task of ``pairs`` counts: tasks grow in number, not in memory.
+TASK_ROWS = 500_000
+# Slices per task, so that tasks get about as much as each other.
+TASK_SLICES = 8
 # Cells of band joins are four times as wide from level to level.
 LEVEL_STEP = 2
 
@@ -201,16 +206,17 @@ def pairs(
     """
     rows = df.select(F.col(group).alias("g"), F.col(item).alias("i")).dropna()
     # A group with few rows has few items; only the others need their items counted.
-    suspects = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > direct_items)
-    if suspects.isEmpty():
-        counted = _listed(rows).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-        return counted.filter(F.col("n") >= min_n)
+    sizes = _counted(rows, ["g"], ["g", "i"], _tasks(df, df.count()))
+    listed = F.least(F.col("n"), F.lit(direct_items))
+    most, n_pairs = sizes.agg(F.max("n"), F.sum(listed * (listed - 1) / 2)).first()
+    tasks = _tasks(df, n_pairs or 0)
+    if (most or 0) <= direct_items:
+        return _listed_counts(rows, tasks).filter(F.col("n") >= min_n)
 
     members = rows.distinct()
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
     large = stage(sizes.filter(F.col("size") > direct_items), "large-groups")
-    counted = _listed(members.join(large, "g", "left_anti")).groupBy("a", "b")
-    counted = counted.agg(F.count(F.lit(1)).alias("n"))
+    counted = _listed_counts(members.join(large, "g", "left_anti"), tasks)
     in_large = stage(members.join(large, "g"), "large-group-items")
     largest = _largest_groups(in_large, min_n - 1)
     # An item in too few large groups forms no candidate there.
@@ -232,13 +238,35 @@ def pairs(
     return _add_large(known, in_large.select("i", "g")).filter(F.col("n") >= min_n)
 
 
-def _listed(members: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of each small group, from its items as one short array."""
+def _tasks(df: DataFrame, rows: float) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
+
+
+def _counted(rows: DataFrame, by: Sequence[str], spread_by: Sequence[str], tasks: int) -> DataFrame:
+    """Rows per ``by`` in ``tasks`` tasks, counted in slices first, so that a busy value sends
+    a row per slice."""
+    return _summed(_sliced(rows, spread_by, tasks), by, tasks)
+
+
+def _sliced(rows: DataFrame, by: Sequence[str], tasks: int) -> DataFrame:
+    slice_no = F.pmod(F.xxhash64(*by), F.lit(tasks * TASK_SLICES)).cast("int")
+    return rows.withColumn("slice", slice_no).repartition(tasks, "slice")
+
+
+def _summed(slices: DataFrame, by: Sequence[str], tasks: int) -> DataFrame:
+    """Rows per ``by`` of rows that are dealt by ``slice``."""
+    parts = slices.groupBy("slice", *by).agg(F.count(F.lit(1)).alias("n"))
+    return parts.repartition(tasks, *by).groupBy(*by).agg(F.sum("n").alias("n"))
+
+
+def _listed_counts(members: DataFrame, tasks: int) -> DataFrame:
+    """Pairs ``a < b`` of small groups with the number of groups, each group's items as one
+    short array."""
     items = F.array_sort(F.collect_set("i"))
-    baskets = members.groupBy("g").agg(items.alias("items")).filter(F.size("items") > 1)
-    first = baskets.select("items", F.posexplode("items").alias("at", "a"))
+    baskets = _sliced(members, ["g"], tasks).groupBy("slice", "g").agg(items.alias("items"))
+    first = baskets.filter(F.size("items") > 1).select("slice", "items", F.posexplode("items").alias("at", "a"))
     rest = F.slice("items", F.col("at") + 2, F.size("items"))
-    return first.select("a", F.explode(rest).alias("b"))
+    return _summed(first.select("slice", "a", F.explode(rest).alias("b")), ["a", "b"], tasks)
 
 
 def _paired(members: DataFrame) -> DataFrame:
